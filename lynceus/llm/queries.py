@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, simhash, urlrules
+from . import bpe, decontam, extract, hpylm, licenses, quality, simhash, substring, urlrules
 
+#: The rank file that op7 encodes with.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The host and path rules that op3 is asked to judge by.
 HOST_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
@@ -17,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    first = F.col("tiles")[0]["text_word"].cast("long")
+    return found.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").cast("long").alias("n_tiles"), first.alias("first_word"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = [(p, p, action, "pattern") for p, action in urlrules.DEFAULT_PATTERNS]
     rules = urlrules.rules_table(spark, urlrules.host_rules(HOST_RULES) + patterns)
@@ -32,10 +41,40 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[F.col(f"stats.{x}") for x in quality.BASE], "base_failed", "kept", "rule")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(table(spark, sf_dir, "pages"), carry=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_url_rules": op3_url_rules,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_bpe": op7_bpe,
+    "op8_pitman_yor": op8_pitman_yor,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {}
