@@ -29,6 +29,7 @@ from .words import Words
 SAMPLE, LAYOUTS = 240, 3
 HIDDEN, PATH, TERMS, SHARES = 12, 48, 16, 4
 WIDTH = PATH + TERMS + SHARES
+CELL = 3.0
 
 #: Elements that stand inside a block's text, and elements without an end.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -176,7 +177,7 @@ class Labeller:
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN : 3 * HIDDEN]
             g = np.tanh(z[:, 3 * HIDDEN :])
-            new = f * c + i * g
+            new = np.clip(f * c + i * g, -CELL, CELL)  # so that a long run of like blocks ends as a short one does
             tanh = np.tanh(new)
             m = mask[:, t, None]
             if keep:
@@ -205,7 +206,7 @@ class Labeller:
             for t, h, c, i, f, o, g, tanh, m in runs[way][1][::-1]:
                 total = dh + dh_out[:, t]
                 dh_new, dc_in = total * m, dc * m
-                dc_new = dc_in + dh_new * o * (1 - tanh**2)
+                dc_new = (dc_in + dh_new * o * (1 - tanh**2)) * (np.abs(f * c + i * g) < CELL)
                 dz = np.concatenate([dc_new * g * i * (1 - i), dc_new * c * f * (1 - f), dh_new * tanh * o * (1 - o), dc_new * i * (1 - g**2)], axis=1)
                 dx += x[:, t].T @ dz
                 dhh += h.T @ dz
@@ -225,6 +226,7 @@ class Labeller:
             for k in range(0, len(order), size):
                 part = order[k : k + size]
                 x, mask = padded([pages[j] for j in part])
+                x[rng.random(len(part)) < 0.3, :, PATH : PATH + TERMS] = 0  # words differ from site to site
                 y = np.zeros(mask.shape, bool)
                 for row, j in enumerate(part):
                     y[row, : len(labels[j])] = labels[j]
@@ -306,8 +308,12 @@ def trained(pages: list[str], layouts: int = LAYOUTS, seed: int = 12) -> Labelle
             rows.append(vectors([b]))
             labels.append(own)
         body = [t for (_, t, _), good in zip(b, own) if good] or [t for _, t, _ in b if len(t) > 60]
-        for _ in range(layouts):
-            page, truth = layout(body[: int(rng.integers(1, 30))], titles, rng)
+        for k in range(layouts):
+            some = body[: int(rng.integers(1, 30))]
+            if k == 0 and rng.random() < 0.2:  # long pages, of which some repeat themselves
+                some = some * int(rng.integers(2, 8))
+            some = [x if rng.random() < 0.85 else x.split()[-1] for x in some]  # main text has short blocks too
+            page, truth = layout(some, titles, rng)
             found = blocks(page)
             if len(found) == len(truth):
                 rows.append(vectors([found]))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, extract, hpylm, licenses, quality, simhash, substring, urlrules
+from . import bpe, decontam, extract, hpylm, licenses, quality, simhash, substring, urlrules, warc
 
 #: The rank file that op7 encodes with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").cast("long").alias("n_tiles"), first.alias("first_word"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type",
+        "content_length", "block_digest", "payload_digest", "source_headers", F.sha2("header", 256).alias("header_sha256"),
+    )
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = [(p, p, action, "pattern") for p, action in urlrules.DEFAULT_PATTERNS]
     rules = urlrules.rules_table(spark, urlrules.host_rules(HOST_RULES) + patterns)
@@ -67,6 +75,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_url_rules": op3_url_rules,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,

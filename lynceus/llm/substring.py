@@ -173,7 +173,7 @@ def _least(table: pa.Table) -> pa.Table:
     return _packets(out)
 
 
-def _removal(schema: pa.Schema):
+def _removal(schema: pa.Schema, tidy: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -197,7 +197,7 @@ def _removal(schema: pa.Schema):
                 words = [w for w, s in zip(words, stay.tolist()) if s]
             else:
                 removed.append(0)
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
+            kept.append((b" ".join(words) if tidy or len(at) else text).decode("utf-8", "replace"))
         table = docs.combine_chunks().drop_columns(["block", docs.column_names[2]])
         for name, values, kind in (("n_words", block.n_words, pa.int64()), ("n_removed", removed, pa.int64()), ("kept_text", kept, pa.string())):
             table = table.append_column(name, pa.array(values, kind))
@@ -206,10 +206,11 @@ def _removal(schema: pa.Schema):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), tidy: bool = True) -> DataFrame:
     """(id, carried columns, n_words, n_removed, kept_text) for every document.
 
-    Words are the runs of bytes other than space and \\x09-\\x0D; kept words are joined by one space.
+    Words are the runs of bytes other than space and \\x09-\\x0D; kept words are joined by one space, but
+    with ``tidy`` false a text of which nothing goes stays as it is.
     Null and empty texts have no words.  Rows that repeat an id count as one document; a null id counts
     as the largest.  The id is an integer; an empty table gives an empty table.
     """
@@ -220,5 +221,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     smaller = asked.groupBy("shard").applyInArrow(_least, PACKET)
     fields = [docs.schema[c] for c in (id_col, *carry)]
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return texts.groupBy("block").cogroup(maybe.unionByName(smaller).groupBy("block")).applyInArrow(_removal(to_arrow_schema(schema)), schema)
+    return texts.groupBy("block").cogroup(maybe.unionByName(smaller).groupBy("block")).applyInArrow(_removal(to_arrow_schema(schema), tidy), schema)
 
