@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 K = 2
+#: Template positions that are sent to every executor, at most; more are joined by a shuffle.
+SMALL = 20_000
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,6 +89,8 @@ def spans(keyed: DataFrame, templates: DataFrame, drift: int = 2, least: float =
     rolled = keyed.select("doc_key", F.posexplode(grams(words_of(F.col("text")))).alias("pos", "g")).select(
         "doc_key", "pos", F.col("g.gram").alias("gram"), F.col("g.parts").alias("found")
     )
+    if templates.limit(SMALL + 1).count() <= SMALL:
+        templates = F.broadcast(templates)
     votes = rolled.join(templates, "gram").filter(F.col("found") == F.col("parts"))
     diagonals = votes.groupBy(
         "doc_key", "template", "label", "whole", "length", (F.col("pos") - F.col("at")).alias("diagonal")
