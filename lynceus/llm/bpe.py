@@ -24,8 +24,9 @@ from .blocks import chunks, texts_of
 
 #: Pieces whose tokens a worker remembers, at most; beyond it starts anew.
 REMEMBERED = 400_000
-#: Pieces and bytes of one recursive query, about.
-BATCH, BATCH_BYTES = 20_000, 1 << 18
+#: A piece of n bytes has at most n * n / 2 rows over all steps of a recursion: the sum of n * n in one
+#: query, and the bytes of a piece beyond which the steps replace each other in a table instead.
+BATCH, LONG = 3_000_000, 512
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -55,6 +56,33 @@ WITH RECURSIVE step AS (
 SELECT s.w, s.tok FROM step s JOIN ended e ON s.w = e.w AND s.n = e.n ORDER BY s.w, s.pos
 """
 
+#: One step over long pieces: all pairs of least rank of a piece at once, the leftmost of any that
+#: overlap.  No pair that such a merge makes ranks lower, so this is what one pair at a time gives.
+STEP = """
+CREATE OR REPLACE TEMP TABLE now AS
+WITH best AS (
+  SELECT w, min(rank) AS rank FROM now WHERE rank IS NOT NULL GROUP BY w
+), hit AS (
+  SELECT c.w, c.pos, c.npos, CASE WHEN lag(c.npos) OVER (PARTITION BY c.w ORDER BY c.pos) = c.pos THEN 0 ELSE 1 END AS head
+  FROM now c JOIN best b ON c.w = b.w AND c.rank = b.rank
+), run AS (
+  SELECT w, pos, npos, sum(head) OVER (PARTITION BY w ORDER BY pos) AS run FROM hit
+), pick AS (
+  SELECT w, pos, npos FROM run QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1
+), left_over AS (
+  SELECT c.w, c.pos, CASE WHEN p.pos IS NULL THEN c.tok ELSE c.rank END AS tok
+  FROM now c LEFT JOIN pick p ON c.w = p.w AND c.pos = p.pos
+  WHERE NOT EXISTS (FROM pick g WHERE g.w = c.w AND g.npos = c.pos)
+), linked AS (
+  SELECT w, pos, tok, lead(pos) OVER q AS npos, lead(tok) OVER q AS ntok FROM left_over WINDOW q AS (PARTITION BY w ORDER BY pos)
+)
+SELECT x.*, m.rank FROM linked x LEFT JOIN merges m ON m.a = x.tok AND m.b = x.ntok
+"""
+START = """
+CREATE OR REPLACE TEMP TABLE now AS
+SELECT s.*, m.rank FROM start s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
+"""
+
 DECODE = """
 SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM toks t JOIN vocabulary v ON v.id = t.id GROUP BY t.doc
 """
@@ -73,7 +101,8 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = ranks_of(path), regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}  # of the pieces known: their ids as int32, and joined by commas
+        self.text: dict[str, str] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [
             (self.ranks[t[:k]], self.ranks[t[k:]], rank)
@@ -89,7 +118,8 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Tokens of all pieces in a row, and where each piece's begin and end."""
         sizes = np.array([len(p) for p in pieces])
         ends = np.cumsum(sizes)
         tok = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -99,47 +129,57 @@ class Coder:
         last[ends - 1] = True
         rows = {"w": w, "pos": pos, "tok": tok, "npos": pa.array(pos + 1, mask=last), "ntok": pa.array(np.append(tok[1:], 0), pa.int32(), mask=last)}
         self.db.register("start", pa.table(rows))
-        found = self.db.execute(ENCODE).fetchnumpy()
+        if sizes.max() <= LONG:
+            found = self.db.execute(ENCODE).fetchnumpy()
+        else:
+            self.db.execute(START)
+            while self.db.execute("SELECT count(rank) FROM now").fetchone()[0]:
+                self.db.execute(STEP)
+            found = self.db.execute("SELECT w, tok FROM now ORDER BY w, pos").fetchnumpy()
+            self.db.execute("DROP TABLE now")
         self.db.unregister("start")
-        bounds = np.searchsorted(found["w"], np.arange(1, len(pieces)))
-        return np.split(np.asarray(found["tok"]), bounds)
+        bounds = np.searchsorted(found["w"], np.arange(len(pieces) + 1))
+        return np.asarray(found["tok"], np.int32), bounds.tolist()
 
     def learn(self, pieces: set[str]) -> None:
         """Tokens of pieces that are not known yet; a piece that is a token is that token."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         todo: list[tuple[str, bytes]] = []
         size = 0
 
         def flush():
-            for (piece, _), ids in zip(todo, self._contract([b for _, b in todo]) if todo else []):
-                self.known[piece] = tuple(ids.tolist())
-            todo.clear()
-
-        for piece in pieces:
+            if todo:
+                flat, at = self._contract([data for _, data in todo])
+                raw, words = flat.tobytes(), list(map(str, flat.tolist()))
+                for (piece, _), i, j in zip(todo, at, at[1:]):
+                    self.ids[piece], self.text[piece] = raw[4 * i : 4 * j], ",".join(words[i:j])
+                todo.clear()
+
+        for piece in sorted(pieces, key=len):
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.known[piece] = (rank,)
+                self.ids[piece], self.text[piece] = np.int32(rank).tobytes(), str(rank)
                 continue
-            if todo and (len(todo) >= BATCH or size + len(data) > BATCH_BYTES):
+            if todo and size + len(data) ** 2 > BATCH:
                 flush()
                 size = 0
             todo.append((piece, data))
-            size += len(data)
+            size += len(data) ** 2
         flush()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text, and the same joined by commas."""
         split = [self.pattern.findall(x) for x in texts]
         seen = set().union(*split)
-        if len(self.known) + len(seen) > REMEMBERED:  # then all of this batch's pieces are new
-            self.known.clear()
-        self.learn(seen - self.known.keys())
-        get = self.known.__getitem__
-        return [[i for piece in pieces for i in get(piece)] for pieces in split]
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        if len(self.ids) + len(seen) > REMEMBERED:  # then all of this batch's pieces are new
+            self.ids.clear()
+            self.text.clear()
+        self.learn(seen - self.ids.keys())
+        ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), np.int32) for pieces in split]
+        return ids, [",".join(map(self.text.__getitem__, pieces)) for pieces in split]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(x) for x in ids])
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+        flat = np.concatenate(ids)
         rows = {"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}
         self.db.register("toks", pa.table(rows))
         found = self.db.execute(DECODE).fetchall()
@@ -177,19 +217,21 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             texts = texts_of(batch.column(batch.num_columns - 1))
             for a, b in chunks(texts, 1 << 20):
-                ids = own.encode([x.decode("utf-8", "replace") for x in texts[a:b]])
+                ids, joined = own.encode([x.decode("utf-8", "replace") for x in texts[a:b]])
                 back = own.decode(ids)
                 sha = lambda x: hashlib.sha256(x).hexdigest()
-                columns = [
-                    ids,
-                    [len(x) for x in ids],
-                    [sha(",".join(map(str, x)).encode()) for x in ids],
-                    [x.decode("utf-8", "replace") for x in back],
-                    [sha(x) for x in back],
+                sizes = np.array([len(x) for x in ids])
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                made = [
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                    pa.array(sizes.astype(np.int64)),
+                    pa.array([sha(x.encode()) for x in joined]),
+                    pa.array([x.decode("utf-8", "replace") for x in back]),
+                    pa.array([sha(x) for x in back]),
                 ]
                 part = batch.slice(a, b - a)
                 own_columns = [part.column(k) for k in range(len(kept))]
-                made = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(kept) :])]
+                made = [x.cast(f.type) for x, f in zip(made, list(arrow)[len(kept) :])]
                 yield pa.RecordBatch.from_arrays([*own_columns, *made], names=arrow.names)
 
     return docs.select(id_col, *carry, text_col).mapInArrow(run, schema)
