@@ -35,7 +35,7 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
         verb = verb.when(F.col("o_orderstatus") == status, text)
     piece = F.concat(
         F.lit("["), _pick(key % 6, HEADERS), F.lit("] "), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - "), verb, F.lit(". PRIMARY NAME: Holder "),
-        F.element_at(F.array(*map(F.lit, NAMES)), (key % len(NAMES) + 1).cast("int")), F.lit(" DOB: 1970. SDN Ref No "), key.cast("string"), F.lit("; Passport No P"), (key * 7919).cast("string"), F.lit(". "),
+        F.element_at(F.array(*map(F.lit, NAMES)), (key % len(NAMES) + 1).cast("int")), F.lit(" DOB: 1970. SDN Ref No "), key.cast("string"), F.lit("; Passport No P"), ((key + 1) * 7919).cast("string"), F.lit(". "),
     )
     told = orders.select("o_custkey", F.struct("o_orderkey", piece.alias("piece")).alias("p")).groupBy("o_custkey")
     joined = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "").alias("orders"))
@@ -51,3 +51,24 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Surnames of principals, by order key.
 NAMES = ("Marlow", "Okafor", "Lindqvist", "Petrov", "Haddad")
+
+
+def first_words(text: Column, n: int = 3) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, n), " ")
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name): documents as listed names, their first three words."""
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), first_words(F.col("text")).alias("name"))
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, entity_type): the same names as people write them: turned round, cut, in capitals."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    a, b, c = (F.coalesce(F.get(words, F.lit(k)), F.lit("")) for k in range(3))
+    turned = F.concat_ws(" ", c, a, b)
+    cut = F.concat_ws(" ", a, b, F.left(c, F.greatest(F.length(c) - 1, F.lit(0))))
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, turned).when(k == 1, cut).when(k == 2, F.upper(F.concat_ws(" ", a, b, c))).otherwise(F.concat_ws(" ", a, b))
+    kind = F.when(F.col("doc_id") % 2 == 0, "INDIVIDUAL").otherwise("ORGANISATION")
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name.alias("name"), kind.alias("entity_type"))
