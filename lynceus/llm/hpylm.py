@@ -10,7 +10,7 @@ Everything that grows with the corpus stays dealt out.  Blocks of documents coun
 they hold once each; the shard of an n-gram is chosen by the last two bytes of its context, so that a
 shard has every restaurant of those contexts with all of its parents down to two bytes, and samples
 their seating by Gibbs sweeps: all customers of one context and byte leave and are seated again, the
-seat of each drawn given all others.  Restaurants of one byte and of none, of which there are at most
+seat of each drawn given all others.  The parent's probabilities stand still during a sweep.  Restaurants of one byte and of none, of which there are at most
 257, are seated on the driver; the others' tables reach them summed, at most 65,536 counts.  Shards
 answer the blocks with predictive probabilities, averaged over the samples after the first ones.
 """
@@ -22,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import chunks, dealt, partitions, split, texts_of, written
-from .words import LOWER, Words, mix
+from .words import Words, mix
 
 #: Bytes of context; discounts and concentrations by context length, as usual for such hierarchies.
-ORDER = 4
+ORDER = 5
 DISCOUNT = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
 SWEEPS, BURN = 6, 2
-END, SPACE = 10, 32
 FOLDS, HELD_OUT = 7, 2
 
 PACKET = "block int, shard int, kind int, size long, a binary, b binary"
@@ -90,9 +90,6 @@ class Block:
             yield a, b, grams[inside[ORDER:]], sizes, w.hashes(3), np.diff(w.first)
 
 
-END_WORD = U(0)  # the end is a token that no word's hash is
-
-
 def _count(shards: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -160,6 +157,10 @@ class Level:
         mask = U((1 << 8 * self.length) - 1)
         return _unique(self.grams & mask, self.t)
 
+    def upward_to_none(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tables as customers of the restaurant of the empty context."""
+        return _unique(self.grams & U(255), self.t)
+
     def predict(self, grams: np.ndarray, above: np.ndarray) -> np.ndarray:
         """Probability of each n-gram's byte, given the parents' probabilities of it."""
         out = np.array(above, float)
@@ -214,13 +215,6 @@ def top_probabilities(customers: dict[int, int], seed: int = 8) -> np.ndarray:
     return out / (SWEEPS - BURN)
 
 
-def _none(self: Level) -> tuple[np.ndarray, np.ndarray]:
-    return _unique(self.grams & U(255), self.t)
-
-
-Level.upward_to_none = _none
-
-
 def _answers(top: np.ndarray):
     """A shard's seating, sampled, and its averaged log10 probabilities for each block's n-grams."""
 
@@ -340,10 +334,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType())])
     for name, kind in (("n_tokens", number), ("n_known", number), ("train_tokens", number), ("base_score", real), ("score", real)):
         schema = schema.add(name, kind)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     run = _score(id_col, ends, tokens, distinct, to_arrow_schema(schema))
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
-
-del LOWER
