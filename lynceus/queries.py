@@ -200,6 +200,7 @@ def extraction_summary(spark, sf_dir):
 # ---------------------------------------------------------------- names
 
 from lynceus.functions import names as NM  # noqa: E402
+from lynceus.functions import phonetics as PH  # noqa: E402
 from lynceus.operators import benchmark as BM  # noqa: E402
 from lynceus.operators import blocking as B  # noqa: E402
 from lynceus.operators import operations as OP  # noqa: E402
@@ -295,6 +296,14 @@ def trigram_index(spark, sf_dir):
     return classes.select(F.explode(NM.trigrams(F.col("name"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 
+@query("phonetic_codes")
+def phonetic_codes(spark, sf_dir):
+    """Soundex, Double Metaphone and NYSIIS codes of every listed name class."""
+    rows = B.name_classes(synthetic.listed(spark, sf_dir), "id", "name")
+    words = NM.tokens(F.col("name"))
+    return rows.select("name", NM.phonetic(F.col("name")).alias("soundex"), PH.double_metaphone_codes(words).alias("double_metaphone"), PH.nysiis_code("name").alias("nysiis"))
+
+
 @query("name_measures", SQL_NAMES + f"""
 SELECT id, round({sql_jaccard(sql_tokens('l'), sql_tokens('r'))}, 6) AS jaccard, round({sql_dice(sql_tri('l'), sql_tri('r'))}, 6) AS ngram,
   round({SQL_EDIT}, 6) AS edit, round({sql_jaccard(sql_phonetic('l'), sql_phonetic('r'))}, 6) AS phonetic,

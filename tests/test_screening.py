@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lynceus.functions import names as NM
+from lynceus.functions import phonetics as PH
 from lynceus.operators import blocking as B
 from lynceus.operators import operations as OP
 from lynceus.operators import scoring as SC
@@ -43,6 +44,22 @@ def test_string_distances_agree_with_another_engine():
         assert abs(NM._jaro_winkler(a, b) - jw) < 1e-9 and NM._damerau(a, b) == dl
 
 
+NAMES = """Smith Schmidt Garcia Rogers Wagner Laugh McLaughlin Bacchus Accident Hochmeier Pizza Filipowicz Knight Psycho Xavier Jose Villa Bough Night
+Dumb Michael Character Church Edge Judge Sugar School Island Ghana Gerald Danger McHugh Czerny Nation Thames Caesar Focaccia Tagliaro Raphael Artois
+Mohammed Hussein Petrov Kowalski Zhang Nguyen Whale Breaux Rogier Cabrillo""".split()
+
+
+def test_phonetic_codes_agree_with_the_codec_library(spark):
+    codec = spark._jvm.org.apache.commons.codec.language
+    other, third = codec.DoubleMetaphone(), codec.Nysiis()
+    for n in NAMES:
+        assert PH.double_metaphone(n) == (other.doubleMetaphone(n), other.doubleMetaphone(n, True)), n
+        assert PH.nysiis(n) == third.nysiis(n), n
+    assert PH.double_metaphone("") == ("", "") and PH.nysiis("12") == ""
+    row = spark.createDataFrame([(["Smith", "Ghana"],), (None,)], "w array<string>").select(PH.double_metaphone_codes("w")).collect()
+    assert row[0][0] == ["KN", "SM0", "XMT"] and row[1][0] is None
+
+
 def test_prefix_filter_loses_no_pair(spark):
     rng = random.Random(2)
     words = ["the", "of", *[f"w{k}" for k in range(25)]]
