@@ -101,8 +101,7 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = ranks_of(path), regex.compile(pattern)
-        self.ids: dict[str, bytes] = {}  # of the pieces known: their ids as int32, and joined by commas
-        self.text: dict[str, str] = {}
+        self.known: dict[str, str] = {}  # the ids of pieces, joined by commas
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [
             (self.ranks[t[:k]], self.ranks[t[k:]], rank)
@@ -110,13 +109,23 @@ class Coder:
             for k in range(1, len(t))
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
-        merges = pa.table(list(np.array(pairs, np.int32).T), names=["a", "b", "rank"])
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
+        self.merges = pa.table(list(np.array(pairs, np.int32).T), names=["a", "b", "rank"])
+        self.vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        self.db = None
+
+    def __enter__(self) -> Coder:
+        """Opens the connection for a partition."""
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        for name, rows in (("merges", self.merges), ("vocabulary", self.vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Gives back what the partition took, as the worker may serve other operators next."""
+        self.db.close()
+        self.known.clear()
 
     def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Tokens of all pieces in a row, and where each piece's begin and end."""
@@ -149,15 +158,15 @@ class Coder:
         def flush():
             if todo:
                 flat, at = self._contract([data for _, data in todo])
-                raw, words = flat.tobytes(), list(map(str, flat.tolist()))
+                words = list(map(str, flat.tolist()))
                 for (piece, _), i, j in zip(todo, at, at[1:]):
-                    self.ids[piece], self.text[piece] = raw[4 * i : 4 * j], ",".join(words[i:j])
+                    self.known[piece] = ",".join(words[i:j])
                 todo.clear()
 
         for piece in sorted(pieces, key=len):
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.ids[piece], self.text[piece] = np.int32(rank).tobytes(), str(rank)
+                self.known[piece] = str(rank)
                 continue
             if todo and size + len(data) ** 2 > BATCH:
                 flush()
@@ -170,12 +179,11 @@ class Coder:
         """Ids of each text, and the same joined by commas."""
         split = [self.pattern.findall(x) for x in texts]
         seen = set().union(*split)
-        if len(self.ids) + len(seen) > REMEMBERED:  # then all of this batch's pieces are new
-            self.ids.clear()
-            self.text.clear()
-        self.learn(seen - self.ids.keys())
-        ids = [np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), np.int32) for pieces in split]
-        return ids, [",".join(map(self.text.__getitem__, pieces)) for pieces in split]
+        if len(self.known) + len(seen) > REMEMBERED:  # then all of this batch's pieces are new
+            self.known.clear()
+        self.learn(seen - self.known.keys())
+        joined = [",".join(map(self.known.__getitem__, pieces)) for pieces in split]
+        return [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x in joined], joined
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.array([len(x) for x in ids])
@@ -191,7 +199,7 @@ class Coder:
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """This worker's coder; workers serve many partitions, and keep it."""
+    """This worker's coder; workers serve many partitions, and keep its tables."""
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = Coder(path, pattern)
     return _CODERS[path, pattern]
@@ -213,25 +221,25 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        own = coder(path, pattern)
-        for batch in batches:
-            texts = texts_of(batch.column(batch.num_columns - 1))
-            for a, b in chunks(texts, 1 << 20):
-                ids, joined = own.encode([x.decode("utf-8", "replace") for x in texts[a:b]])
-                back = own.decode(ids)
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                sizes = np.array([len(x) for x in ids])
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                made = [
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array([sha(x.encode()) for x in joined]),
-                    pa.array([x.decode("utf-8", "replace") for x in back]),
-                    pa.array([sha(x) for x in back]),
-                ]
-                part = batch.slice(a, b - a)
-                own_columns = [part.column(k) for k in range(len(kept))]
-                made = [x.cast(f.type) for x, f in zip(made, list(arrow)[len(kept) :])]
-                yield pa.RecordBatch.from_arrays([*own_columns, *made], names=arrow.names)
+        with coder(path, pattern) as own:
+            for batch in batches:
+                texts = texts_of(batch.column(batch.num_columns - 1))
+                for a, b in chunks(texts, 1 << 20):
+                    ids, joined = own.encode([x.decode("utf-8", "replace") for x in texts[a:b]])
+                    back = own.decode(ids)
+                    sha = lambda x: hashlib.sha256(x).hexdigest()
+                    sizes = np.array([len(x) for x in ids])
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    made = [
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.array([sha(x.encode()) for x in joined]),
+                        pa.array([x.decode("utf-8", "replace") for x in back]),
+                        pa.array([sha(x) for x in back]),
+                    ]
+                    part = batch.slice(a, b - a)
+                    own_columns = [part.column(k) for k in range(len(kept))]
+                    made = [x.cast(f.type) for x, f in zip(made, list(arrow)[len(kept) :])]
+                    yield pa.RecordBatch.from_arrays([*own_columns, *made], names=arrow.names)
 
     return docs.select(id_col, *carry, text_col).mapInArrow(run, schema)

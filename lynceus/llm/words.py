@@ -30,7 +30,7 @@ def _powers(seed: int, n: int) -> tuple:
         rng = np.random.default_rng(seed)
         table = rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
         base = int(rng.integers(1, 2**63, dtype=np.uint64)) * 2 + 1
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         ahead, back = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
         ahead[0] = back[0] = 1
         _SEEDS[seed] = table, np.multiply.accumulate(ahead), np.multiply.accumulate(back)

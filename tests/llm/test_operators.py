@@ -277,7 +277,8 @@ def test_bpe_as_the_library(docs, documents, none):
 def test_bpe_long_pieces(text):
     path = public_tokenizers.path(queries.VOCABULARY)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(path), special_tokens={})
-    ids, joined = bpe.coder(path, public_tokenizers.PATTERN).encode([text])
+    with bpe.coder(path, public_tokenizers.PATTERN) as coder:
+        ids, joined = coder.encode([text])
     assert ids[0].tolist() == own.encode_ordinary(text) and joined[0] == ",".join(map(str, ids[0].tolist()))
 
 
