@@ -23,11 +23,16 @@ def name_classes(rows: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, items: Column, counts: DataFrame, overlap: float) -> DataFrame:
-    """(name, item) for the rarest items of each set: any set with the given share in common has one of them."""
+    """(name, set, item) for the rarest items of each set: any set with the given share in common has one of them.
+
+    ``set`` has the hashes of all items, so that pairs are verified on arrays of longs.
+    """
     rows = classes.select("name", F.explode(items).alias("item")).join(counts, "item")
     sets = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))  # one name's items
     size = F.size("items") - F.ceil(F.size("items") * overlap).cast("int") + 1
-    return sets.select("name", F.explode(F.transform(F.slice("items", F.lit(1), size), lambda x: x["item"])).alias("item"))
+    first = F.transform(F.slice("items", F.lit(1), size), lambda x: x["item"])
+    hashes = F.transform("items", lambda x: F.xxhash64(x["item"]))
+    return sets.select("name", hashes.alias("set"), F.explode(first).alias("item"))
 
 
 def similar(left: DataFrame, right: DataFrame, items, measure, threshold: float, overlap: float, strategy: str) -> DataFrame:
@@ -37,9 +42,9 @@ def similar(left: DataFrame, right: DataFrame, items, measure, threshold: float,
     """
     both = left.select("name").unionByName(right.select("name")).distinct()
     counts = both.select(F.explode(items(F.col("name"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    side = lambda frame, as_: _prefixes(frame, items(F.col("name")), counts, overlap).select("item", F.col("name").alias(as_))
-    pairs = side(left, "l").join(side(right, "r"), "item").select("l", "r").distinct()
-    return pairs.filter(measure(items(F.col("l")), items(F.col("r"))) >= threshold).select("l", "r", F.lit(strategy).alias("strategy"))
+    side = lambda frame, as_: _prefixes(frame, items(F.col("name")), counts, overlap).select("item", F.col("name").alias(as_), F.col("set").alias(as_ + "s"))
+    pairs = side(left, "l").join(side(right, "r"), "item").filter(measure(F.col("ls"), F.col("rs")) >= threshold)
+    return pairs.select("l", "r").distinct().withColumn("strategy", F.lit(strategy))
 
 
 def exact(left: DataFrame, right: DataFrame) -> DataFrame:
