@@ -7,12 +7,13 @@ restaurant is a customer of its parent, and bytes are uniform above the empty co
 of a text is the product over its stream, so one model covers known and unknown words alike.
 
 Everything that grows with the corpus stays dealt out.  Blocks of documents count the n-grams and words
-they hold once each; the shard of an n-gram is chosen by the last two bytes of its context, so that a
-shard has every restaurant of those contexts with all of its parents down to two bytes, and samples
-their seating by Gibbs sweeps: all customers of one context and byte leave and are seated again, the
+they hold once each, and shards by a hash of the key merge the counts.  The n-grams, now once each, go
+to houses by the last two bytes of their contexts: a house has every restaurant of those contexts with
+all of its parents down to two bytes, and samples their seating by Gibbs sweeps: all customers of one context and byte leave and are seated again, the
 seat of each drawn given all others.  The parent's probabilities stand still during a sweep.  Restaurants of one byte and of none, of which there are at most
-257, are seated on the driver; the others' tables reach them summed, at most 65,536 counts.  Shards
-answer the blocks with predictive probabilities, averaged over the samples after the first ones.
+257, are seated on the driver; the others' tables reach them summed, at most 65,536 counts.  Houses
+answer the shards, and those the blocks, with predictive probabilities, averaged over the samples after
+the first ones.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _packets(rows: list[tuple]) -> pa.Table:
 
 
 def home(grams: np.ndarray) -> np.ndarray:
-    """A 64-bit hash that n-grams share if the last two bytes of their contexts are alike."""
+    """A hash that n-grams share if the last two bytes of their contexts are alike."""
     return mix((grams >> U(8)) & U(0xFFFF))
 
 
@@ -61,6 +62,26 @@ def _unique(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray
     return x[at], np.add.reduceat(weight, at) if len(x) else weight
 
 
+class Tally:
+    """Distinct keys and sums of their counts, merged whenever what is new outweighs what there is."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, U), np.zeros(0, np.uint32)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.fresh.append((keys, counts.astype(np.uint32)))
+        if sum(len(k) for k, _ in self.fresh) > len(self.keys) + 500_000:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fresh:
+            keys, counts = zip((self.keys, self.counts), *self.fresh)
+            self.fresh = []
+            self.keys, self.counts = _unique(np.concatenate(keys), np.concatenate(counts))
+        return self.keys, self.counts
+
+
 def stream(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
@@ -93,7 +114,7 @@ class Block:
 def _count(shards: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
-        found, counts = [[], []], [[], []]
+        found = [Tally(), Tally()]
         tokens = 0
         for a, b, grams, sizes, words, n_words in block.parts():
             own = block.trained[a:b]
@@ -102,11 +123,10 @@ def _count(shards: int):
                 learned = np.repeat(own, n)
                 for part, weight in ((x[learned], 1), (x[~learned], 0)):
                     keys, c = _unique(part)
-                    found[kind].append(keys)
-                    counts[kind].append(c * weight)
+                    found[kind].add(keys, c * weight)
         rows = [(block.id, 0, TOTAL, tokens, None, None)]
-        for kind, by in ((NGRAMS, home), (WORDS, lambda x: x)):
-            keys, c = _unique(np.concatenate(found[kind]), np.concatenate(counts[kind]))
+        for kind, by in ((NGRAMS, mix), (WORDS, lambda x: x)):
+            keys, c = found[kind].merged()
             if kind == NGRAMS:
                 order = np.argsort(by(keys), kind="stable")
                 keys, c = keys[order], c[order]
@@ -175,9 +195,10 @@ class Level:
         return out
 
 
-def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(rows: list[dict], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts over all packets, whose counts are of a kind: a block's fit 32 bits."""
     keys = np.concatenate([np.frombuffer(r["a"], U) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(r["b"], kind) for r in rows]).astype(np.int64)
     return _unique(keys, counts)
 
 
@@ -190,9 +211,36 @@ def _levels(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
     return levels
 
 
+def _housed(shards: int):
+    """A shard's n-grams, counted over all blocks, to the houses; in these packets block is the shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        grams, counts = _merged(rows)
+        order = np.argsort(home(grams), kind="stable")
+        grams, counts = grams[order], counts[order]
+        me = rows[0]["shard"]
+        return _packets([(me, k, NGRAMS, j - i, grams[i:j].tobytes(), counts[i:j].tobytes()) for k, i, j in split(home(grams), shards)])
+
+    return run
+
+
+def _forwarded(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """What the houses answered to a shard, to each of its blocks."""
+    if not asked.num_rows:
+        return _packets([])
+    rows = asked.to_pylist()
+    grams, _ = _merged(rows)
+    parts = sorted((r["shard"], r["a"]) for r in answers.select(["shard", "a"]).to_pylist())
+    logs = np.zeros(len(grams))
+    logs[np.argsort(home(grams), kind="stable")] = np.concatenate([np.frombuffer(a, float) for _, a in parts])
+    of = lambda r: logs[np.searchsorted(grams, np.frombuffer(r["a"], U))].tobytes()
+    return _packets([(r["block"], r["shard"], NGRAMS, r["size"], of(r), None) for r in rows])
+
+
 def _tables(table: pa.Table) -> pa.Table:
-    """What a shard's restaurants send to those of one byte: customers by (byte, byte)."""
-    low = _levels(*_merged(table.to_pylist()))[-1]
+    """What a house's restaurants send to those of one byte: customers by (byte, byte)."""
+    low = _levels(*_merged(table.to_pylist(), np.int64))[-1]
     keys, t = _unique(low.grams & U(0xFFFF), low.t)
     return pa.table({"gram": pa.array(keys.astype(np.int64)), "customers": pa.array(t)})
 
@@ -216,11 +264,11 @@ def top_probabilities(customers: dict[int, int], seed: int = 8) -> np.ndarray:
 
 
 def _answers(top: np.ndarray):
-    """A shard's seating, sampled, and its averaged log10 probabilities for each block's n-grams."""
+    """A house's seating, sampled, and its averaged log10 probabilities for each shard's n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        grams, counts = _merged(rows)
+        grams, counts = _merged(rows, np.int64)
         first = top[((grams >> U(8)) & U(255)).astype(int), (grams & U(255)).astype(int)]
         levels = _levels(grams, counts)
         rng = np.random.default_rng(int(rows[0]["shard"]) + 1)
@@ -264,7 +312,7 @@ def _word_counts(table: pa.Table) -> pa.Table:
     out = [(-1, rows[0]["shard"], TOTAL, int((counts > 0).sum()), None, None)]
     for r in rows:
         own = counts[np.searchsorted(keys, np.frombuffer(r["a"], U))]
-        out.append((r["block"], r["shard"], WORDS, r["size"], own.astype(np.uint32).tobytes(), None))
+        out.append((r["block"], r["shard"], WORDS, r["size"], own.tobytes(), None))
     return _packets(out)
 
 
@@ -277,16 +325,16 @@ def _score(id_name: str, ends: int, tokens: int, distinct: int, schema: pa.Schem
         block = Block(docs)
         replies = answers.select(["shard", "kind", "a"]).to_pylist()
         of = {}
-        for kind, dtype in ((NGRAMS, float), (WORDS, np.uint32)):
+        for kind, dtype in ((NGRAMS, float), (WORDS, np.int64)):
             parts = sorted((r["shard"], r["a"]) for r in replies if r["kind"] == kind)
             of[kind] = np.concatenate([np.frombuffer(a, dtype) for _, a in parts]) if parts else np.zeros(0, dtype)
-        found = [[], []]
+        found = [Tally(), Tally()]
         for _, _, grams, _, words, _ in block.parts():
-            found[0].append(_unique(grams)[0])
-            found[1].append(_unique(words)[0])
-        keys, words_held = np.unique(np.concatenate(found[0])), np.unique(np.concatenate(found[1]))
+            found[0].add(*_unique(grams))
+            found[1].add(*_unique(words))
+        keys, words_held = found[0].merged()[0], found[1].merged()[0]
         logs = np.zeros(len(keys))
-        logs[np.argsort(home(keys), kind="stable")] = of[NGRAMS]
+        logs[np.argsort(mix(keys), kind="stable")] = of[NGRAMS]
         columns = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         scale = np.log10(float(tokens + distinct + 1))
         total = lambda x, n: np.diff(np.concatenate(([0.0], np.cumsum(x)))[np.concatenate(([0], np.cumsum(n)))])
@@ -321,7 +369,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = dealt(rows, id_col, "text", "trained")
     asked = written(texts.groupBy("block").applyInArrow(_count(shards), PACKET), "counts")
     grams = asked.filter(F.col("kind") == NGRAMS)
-    low = grams.groupBy("shard").applyInArrow(_tables, "gram long, customers long")
+    housed = written(grams.groupBy("shard").applyInArrow(_housed(shards), PACKET), "houses")
+    low = housed.groupBy("shard").applyInArrow(_tables, "gram long, customers long")
     customers = {r[0]: r[1] for r in low.groupBy("gram").agg(F.sum("customers")).collect()}  # at most 65,536
     top = top_probabilities(customers) if customers else np.full((256, 256), 1 / 256)
     ends = rows.filter("trained").count()
@@ -329,7 +378,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counted = asked.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(_word_counts, PACKET)
     counted = written(counted, "words")
     distinct = (counted.filter(F.col("kind") == TOTAL).agg(F.sum("size")).first()[0] or 0) + (ends > 0)
-    replies = counted.filter(F.col("kind") == WORDS).unionByName(grams.groupBy("shard").applyInArrow(_answers(top), PACKET))
+    answers = housed.groupBy("shard").applyInArrow(_answers(top), PACKET)
+    answers = grams.groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(_forwarded, PACKET)
+    replies = counted.filter(F.col("kind") == WORDS).unionByName(answers)
     number, real = T.LongType(), T.DoubleType()
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType())])
     for name, kind in (("n_tokens", number), ("n_known", number), ("train_tokens", number), ("base_score", real), ("score", real)):

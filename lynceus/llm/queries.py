@@ -60,7 +60,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hpylm.score(table(spark, sf_dir, "documents"))
+    scored = hpylm.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
