@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     tree = components(links(firsts.select("fp")))
     rooted = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labels = rooted.select("fp", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = rooted.join(names, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
