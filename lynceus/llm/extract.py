@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .blocks import lowest
 from .words import Words
 
 #: Pages that the labeller is trained on, at most, and how often each is laid out anew.
@@ -330,7 +331,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     empty text; a page of any length is read whole; rows that repeat are each extracted; an empty table
     gives an empty table.
     """
-    chosen = pages.filter(F.length(html_col).between(1, 200_000)).orderBy(F.xxhash64(F.col(id_col).cast("string")), html_col).limit(sample)
+    usable = pages.filter(F.length(html_col).between(1, 200_000)).select(id_col, html_col)
+    chosen = lowest(usable, sample, id_col, html_col)
     model = trained([r[0] for r in chosen.select(html_col).collect()])
     fields = [T.StructField(c, pages.schema[c].dataType) for c in (id_col, *carry)]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_kept", T.LongType())])

@@ -15,6 +15,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import lowest
+
 SPACE = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Labelled documents that the list is learned from, at most.
@@ -174,13 +176,8 @@ def learn(
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> list[dict]:
     """Features and ``bad`` of at most ``sample`` labelled documents, those whose ids hash lowest."""
-    chosen = (
-        labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg(F.min("quality").alias("_quality"))
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(sample)
-    )
+    known = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
+    chosen = lowest(known.groupBy(id_col).agg(F.min("quality").alias("_quality")), sample, id_col)
     rows = with_stats(docs.join(F.broadcast(chosen), id_col))  # the sample bounds what is broadcast
     picked = rows.select(id_col, (F.col("_quality") == 0).cast("int").alias("bad"), *[c.alias(k) for k, c in features(F.col("stats")).items()])
     found = [r.asDict() for r in picked.orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
