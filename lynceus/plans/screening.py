@@ -4,17 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lynceus.functions import names as NM
 from lynceus.operators import blocking as B
 from lynceus.operators import scoring as SC
 
 
-def screen(subjects: DataFrame, listed: DataFrame, config: dict = SC.CONFIG) -> DataFrame:
+#: Columns beside id and name that scoring takes from either side, and what it calls them.
+ASKED = {"entity_type": "entity_type", "dob": "dob", "country": "country"}
+LISTED = {"entity_type": "listed_type", "dob": "listed_dob", "country": "listed_country", "whitelisted": "whitelisted", "status": "status"}
+
+
+def profiled(rows: DataFrame, attributes: dict[str, str], hits: DataFrame | None, name: str, rep: str, n: str) -> DataFrame:
+    """The rows with their profile: normalised name, attributes, least id and number of those that have the same.
+
+    A row whose identifier is found is a profile of its own.
+    """
+    alone = F.lit(None)
+    rows = rows.withColumn(name, F.coalesce(NM.normalised(F.col("name")), F.lit("")))
+    if hits is not None:
+        rows = rows.join(hits.select(F.col(rep).alias("id"), F.lit(True).alias("_hit")).distinct(), "id", "left")
+        alone = F.when(F.col("_hit"), F.col("id"))
+    named = [F.col(c).alias(a) for c, a in attributes.items() if c in rows.columns]
+    named = rows.select("id", name, *named, alone.alias("_alone"))
+    same = Window.partitionBy(*[c for c in named.columns if c != "id"])
+    return named.withColumns({rep: F.min("id").over(same), n: F.count("*").over(same)}).drop("_alone")
+
+
+def identified(subject_ids: DataFrame | None, listed_ids: DataFrame | None) -> DataFrame | None:
+    """(subject, entity) ids with an identifier in common; none where either side has no table of them."""
+    if subject_ids is None or listed_ids is None:
+        return None
+    return B.by_identifier(subject_ids, listed_ids).toDF("subject", "entity")
+
+
+def screen_profiles(asked: DataFrame, given: DataFrame, hits: DataFrame | None, config: dict = SC.CONFIG) -> DataFrame:
+    """As screen(), for profiles of either side: names and identifiers unite, attributes adjust the score."""
+    packed = lambda rows, as_: rows.drop("id").distinct().select(F.struct("*").alias(as_))
+    left, right = packed(asked, "a"), packed(given, "b")
+    names = lambda rows, c: rows.select(F.col(c).alias("name")).filter("name <> ''").distinct()
+    found = B.candidates(names(asked, "l"), names(given, "r"))
+    found = found.join(left, F.col("l") == F.col("a.l")).join(right, F.col("r") == F.col("b.r")).select("a", "b", "strategies")
+    if hits is not None:
+        more = hits.join(left, F.col("subject") == F.col("a.subject")).join(right, F.col("entity") == F.col("b.entity"))
+        found = found.unionByName(more.select("a", "b", F.array(F.lit("identifier")).alias("strategies")))
+    each = F.array_sort(F.array_distinct(F.flatten(F.collect_list("strategies")))).alias("strategies")
+    pairs = found.groupBy("a", "b").agg(each).select("a.*", "b.*", "strategies")
+    pairs = SC.features(pairs.withColumn("identifier_match", F.array_contains("strategies", "identifier")))
+    pairs = pairs.withColumns({f: F.coalesce(f, F.lit(0.0)) for f in SC.FEATURES})  # a name may be missing
+    order = Window.partitionBy("subject", "l").orderBy(F.col("score").desc(), "r", "entity")
+    return SC.scored(pairs, config).withColumns({"rank": F.row_number().over(order), "config_version": F.lit(config["version"])})
+
+
+def screen(
+    subjects: DataFrame, listed: DataFrame, config: dict = SC.CONFIG, subject_ids: DataFrame | None = None, listed_ids: DataFrame | None = None
+) -> DataFrame:
     """(l, r, subject, n_subjects, entity, n_entities, strategies, features, name_score, score, band, rank, versions).
 
     subjects have id, name and entity_type, listed ones id and name.  Equal normalised names are scored
     once, for the class: subject and entity are its least ids, and n_subjects and n_entities its sizes.
+
+    Tables of identifiers (id, type, value) add the pairs that share one, whatever the names; dob and country
+    of either side, and entity_type, whitelisted and status of listed ones, adjust scores.  Where any of
+    these is given, equal names are one class only if their attributes are equal, too.
     """
+    hits = identified(subject_ids, listed_ids)
+    if hits is not None or {"dob", "country"} & set(subjects.columns) or set(LISTED) & set(listed.columns):
+        asked = profiled(subjects, ASKED, hits, "l", "subject", "n_subjects")
+        return screen_profiles(asked, profiled(listed, LISTED, hits, "r", "entity", "n_entities"), hits, config)
     left, right = B.name_classes(subjects, "id", "name"), B.name_classes(listed, "id", "name")
     kinds = subjects.select(F.col("id").alias("rep"), "entity_type").dropDuplicates(["rep"])
     pairs = B.candidates(left, right)
