@@ -88,3 +88,19 @@ def outcome(listed_empty: bool, rows: DataFrame) -> DataFrame:
     if listed_empty:
         return rows.select("l").distinct().withColumn("outcome", F.lit("ERROR"))
     return SC.request_outcome(rows, "l")
+
+
+def outcomes(
+    subjects: DataFrame, listed: DataFrame, config: dict = SC.CONFIG, subject_ids: DataFrame | None = None, listed_ids: DataFrame | None = None
+) -> DataFrame:
+    """(id, l, outcome) for every subject: NO_MATCH without a candidate, ERROR without a usable name or without a list."""
+    hits = identified(subject_ids, listed_ids)
+    asked = profiled(subjects, ASKED, hits, "l", "subject", "n_subjects")
+    if listed.isEmpty():
+        return asked.select("id", "l", F.lit("ERROR").alias("outcome"))
+    rows = screen(subjects, listed, config, subject_ids, listed_ids)
+    # where screen() has classes of names alone, their least id is not that of a profile
+    keys = ["l", "subject"] if "identifier_match" in rows.columns else ["l"]
+    found = rows.withColumn("_of", F.struct(*keys)).transform(lambda x: SC.request_outcome(x, "_of"))
+    joined = asked.withColumn("_of", F.struct(*keys)).join(found, "_of", "left")
+    return joined.select("id", "l", F.when(F.col("l") == "", "ERROR").otherwise(F.coalesce("outcome", F.lit("NO_MATCH"))).alias("outcome"))

@@ -435,6 +435,16 @@ def request_outcome(spark, sf_dir):
     return SC.request_outcome(_screened(spark, sf_dir), "l")
 
 
+@query("request_outcomes", SCORED + """, o AS (
+  SELECT l, max(CASE band WHEN 'STRONG' THEN 2 WHEN 'POSSIBLE' THEN 1 ELSE 0 END) AS grave FROM k GROUP BY 1
+)
+SELECT n.id, n.l, CASE WHEN n.l = '' THEN 'ERROR' WHEN grave = 2 THEN 'STRONG' WHEN grave = 1 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS outcome FROM n LEFT JOIN o ON n.l = o.l
+""")
+def request_outcomes(spark, sf_dir):
+    """An outcome for every request; request_outcome has those of names with a candidate."""
+    return screening.outcomes(synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir))
+
+
 @query("explanation", SCORED + "SELECT l, r, score, score AS recomputed FROM k")
 def explanation(spark, sf_dir):
     return _screened(spark, sf_dir).select("l", "r", "score", SC.recomputed(F.col("explanation")).alias("recomputed"))

@@ -15,3 +15,15 @@ def test_identifiers_and_attributes_reach_the_score(spark):
     assert got[1, 10].band == "STRONG" and got[1, 10].strategies == ["identifier"] and got[3, 13].band == "STRONG"
     assert got[4, 11].score == 85.0 and got[4, 12].score == 100.0 and got[4, 12]["rank"] == 1  # 100 - 15; 100 + 10 - 10
     assert {e.reason: e.effect for e in got[4, 12].explanation.effects}["STATUS"] == -10.0
+
+
+def test_every_subject_has_an_outcome(spark):
+    asked = [(1, "John Smith", "INDIVIDUAL"), (2, "Nobody Known", "INDIVIDUAL"), (3, None, "INDIVIDUAL"), (4, " ", None), (5, "John Smith", "ORGANISATION"), (6, "!?", None)]
+    subjects = spark.createDataFrame(asked, "id long, name string, entity_type string")
+    listed = spark.createDataFrame([(10, "John Smith")], "id long, name string")
+    want = {1: "STRONG", 2: "NO_MATCH", 3: "ERROR", 4: "ERROR", 5: "STRONG", 6: "ERROR"}
+    assert {r.id: r.outcome for r in screening.outcomes(subjects, listed).collect()} == want
+    assert {r.outcome for r in screening.outcomes(subjects, listed.limit(0)).collect()} == {"ERROR"}
+    ids = lambda x: spark.createDataFrame([(x, "PASSPORT", "1")], "id long, type string, value string")
+    got = screening.outcomes(subjects, listed, subject_ids=ids(2), listed_ids=ids(10)).collect()
+    assert {r.id: r.outcome for r in got} == want | {2: "STRONG"} and len(got) == 6
