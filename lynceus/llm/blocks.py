@@ -2,8 +2,7 @@
 
 A block is the documents whose id hashes to it; a shard is a range of 64-bit key hashes.  Blocks send
 each shard one packed row, shards merge what they get and answer each block, and the answers meet the
-block's documents again.  Blocks and shards number as the session's shuffle partitions, so either kind
-holds a bounded share of the data, and keys that are frequent in the corpus are sent once a block.
+block's documents again.  Keys that are frequent in the corpus are sent once a block.
 """
 
 from __future__ import annotations
@@ -16,14 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text in a block, at most on average: what a task holds at once, with its words and hashes.
+BLOCK_BYTES = 48 << 20
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where all run on this machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local["):  # a local-cluster has executors of its own
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="spark-"))
     return folder
 
@@ -42,11 +47,16 @@ def lowest(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.filter(share).orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 31)), *keys).limit(n)
 
 
-def dealt(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """The named columns, dealt into blocks by a hash of the id."""
-    n = partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), id_col, *columns).repartition(n, "block")
+def dealt(docs: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """The named columns, dealt into blocks by a hash of id and text, so that rows of one id are spread.
+
+    There are as many blocks as shuffle partitions, and more where they would hold over ``BLOCK_BYTES``
+    of text on average.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(n)).cast("int")
+    return docs.select(block.alias("block"), id_col, text_col, *columns).repartition(n, "block")
 
 
 def cuts(shards: int) -> np.ndarray:

@@ -6,14 +6,22 @@ that end alike share it.  Customers of the longest contexts are the stream's byt
 restaurant is a customer of its parent, and bytes are uniform above the empty context.  The probability
 of a text is the product over its stream, so one model covers known and unknown words alike.
 
+The seating is sampled by a blocked Gibbs sampler.  Its state is, for every restaurant, the masses of a
+random measure drawn from its posterior.  A sweep goes up the tree and draws, for each context and byte,
+the number of tables at which its customers sit, given the parent's measure and with the own one
+integrated out; then it goes down the tree and draws every measure anew, given the tables.  The discount
+is one half at every level, the strength of each level is sampled with the rest.  With that discount each of these conditionals has a closed form (the numbers of
+seatings are Bessel coefficients, the mass of fresh tables is inverse Gaussian), so that every draw is
+exact, whether there are two customers or ten million, and no customer has to be visited by itself.
+
 Everything that grows with the corpus stays dealt out.  Blocks of documents count the n-grams and words
 they hold once each, and shards by a hash of the key merge the counts.  The n-grams, now once each, go
-to houses by the last two bytes of their contexts: a house has every restaurant of those contexts with
-all of its parents down to two bytes, and samples their seating by Gibbs sweeps: all customers of one context and byte leave and are seated again, the
-seat of each drawn given all others.  The parent's probabilities stand still during a sweep.  Restaurants of one byte and of none, of which there are at most
-257, are seated on the driver; the others' tables reach them summed, at most 65,536 counts.  Houses
-answer the shards, and those the blocks, with predictive probabilities, averaged over the samples after
-the first ones.
+to houses by the last three bytes of their contexts: a house has the restaurants of five to three bytes.
+Restaurants of two bytes are dealt by their last byte, at most 65,536 counts for each; those of one byte
+and of none, at most 257 with 65,536 counts, are on the driver.  The sampler runs twice: first from the
+houses up, each tier with its own guess of what is above, so that tables reach the top; then from the top
+down, each tier's sweeps given the samples of the tier above.  Predictive probabilities are averaged over
+the samples after the first ones; houses answer the shards with them, and those the blocks.
 """
 
 from __future__ import annotations
@@ -28,10 +36,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .blocks import chunks, dealt, partitions, split, texts_of, written
 from .words import Words, mix
 
-#: Bytes of context; discounts and concentrations by context length, as usual for such hierarchies.
-ORDER = 5
-DISCOUNT = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
-STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
+#: Bytes of context, and how many of them a house's restaurants share.
+ORDER, SHARED = 5, 3
+DISCOUNT = 0.5
+#: Values that a level's strength is sampled from, with equal prior weight.
+STRENGTHS = np.geomspace(0.02, 50, 48)
 SWEEPS, BURN = 6, 2
 FOLDS, HELD_OUT = 7, 2
 
@@ -46,8 +55,8 @@ def _packets(rows: list[tuple]) -> pa.Table:
 
 
 def home(grams: np.ndarray) -> np.ndarray:
-    """A hash that n-grams share if the last two bytes of their contexts are alike."""
-    return mix((grams >> U(8)) & U(0xFFFF))
+    """A hash that n-grams share if the last bytes of their contexts are alike."""
+    return mix((grams >> U(8)) & U((1 << 8 * SHARED) - 1))
 
 
 def _unique(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,49 +146,110 @@ def _count(shards: int):
     return run
 
 
+def tables_drawn(customers: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables t, from 1 to the number of customers c, drawn with P(t) ~ S(c, t) weight**t.
+
+    S(c, t) counts seatings at discount one half, where S(c, t + 1) / S(c, t) = 4 (c - t) / (t (2c - t - 1)).
+    These ratios fall, so P has one mode; it is summed over eight deviations and more on either side of it,
+    beyond which less than the precision of a float is left.
+    """
+    c, w = customers.astype(float), np.maximum(weight, 1e-300)
+    b = 2 * c - 1 + 4 * w
+    mode = 8 * w * c / (b + np.sqrt(np.maximum(b * b - 16 * w * c, 0)))
+    wide = 8 / np.sqrt(1 / np.maximum(mode, 0.5) + 1 / (c - mode + 0.5) - 1 / np.maximum(2 * c - mode, 1)) + 8
+    low, high = np.maximum(1, np.floor(mode - wide)), np.minimum(c, np.ceil(mode + wide))
+    t = low.astype(np.int64)
+    size = (high - low + 1).astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    at = int(np.searchsorted(size[order], 2))  # the others have one possible number
+    while at < len(order):
+        n = int(size[order[at]])
+        n = max(n + n // 4, 4)
+        end = min(at + max(1, (1 << 19) // n), int(np.searchsorted(size[order], n, "right")))
+        rows = order[at:end]
+        x = low[rows, None] + np.arange(n - 1)
+        own = c[rows, None]
+        ratio = 4 * w[rows, None] * np.maximum(own - x, 0) / (x * np.maximum(2 * own - x - 1, 1))
+        ratio[x >= high[rows, None]] = 0
+        steps = np.zeros((len(rows), n))
+        with np.errstate(divide="ignore"):
+            np.cumsum(np.log(ratio), axis=1, out=steps[:, 1:])
+        mass = np.cumsum(np.exp(steps - steps.max(axis=1, keepdims=True)), axis=1)
+        t[rows] += (mass < rng.random(len(rows))[:, None] * mass[:, -1:]).sum(axis=1)
+        at = end
+    return t
+
+
+def inverse_gaussian(mean: np.ndarray, shape: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Draws by the root that the square of a normal one gives, in a form without cancellation."""
+    mean, shape = np.maximum(mean, 1e-150), np.maximum(shape, 1e-300)
+    a = mean * rng.standard_normal(len(mean)) ** 2 / (2 * shape)
+    x = mean / (1 + a + np.sqrt(a * (a + 2)))
+    return np.where(rng.random(len(mean)) * (mean + x) <= mean, x, mean * (mean / np.maximum(x, 1e-300)))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, eight places on."""
+    z = x + 8
+    near = np.log(x) + sum(np.log(x + k) for k in range(1, 8))
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - near
+
+
 class Level:
-    """Restaurants of one context length: counts of customers and tables by (context, byte)."""
+    """Restaurants of one context length: customers, tables and the measure's masses by (context, byte)."""
 
-    def __init__(self, grams: np.ndarray, customers: np.ndarray, length: int):
+    def __init__(self, grams: np.ndarray, length: int):
         self.length, self.grams = length, grams  # sorted; context bytes, then the byte
-        self.c = customers.astype(np.int64)
-        self.t = np.minimum(self.c, 1)
         self.contexts, self.of = np.unique(grams >> U(8), return_inverse=True)
-        self.c_all = np.bincount(self.of, self.c, len(self.contexts))
-        self.d, self.s = DISCOUNT[length], STRENGTH[length]
-
-    def t_all(self) -> np.ndarray:
-        return np.bincount(self.of, self.t, len(self.contexts))
-
-    def seat(self, above: np.ndarray, rng: np.random.Generator) -> None:
-        """One sweep: the customers of every (context, byte) are seated anew, given all the others.
+        self.t = np.ones(len(grams), np.int64)
 
-        Customer j finds j others of its byte at t tables; a new table is drawn with probability
-        (s + d T) p / ((s + d T) p + j - d t), where T is the restaurant's number of tables and p the
-        parent's probability.  Few tables open among many customers, so runs of customers past the
-        32nd are drawn at once, each run as long as an eighth of those before.
+    def serve(self, customers: np.ndarray) -> None:
+        self.c = customers.astype(np.int64)
+        self.c_all = self._all(self.c)
+
+    def _all(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, len(self.contexts))
+
+    def begin(self, rng: np.random.Generator, strength: float | None, fixed: bool) -> None:
+        """Some state to start from; without a given ``strength`` it is sampled."""
+        self.strength, self.sampled = strength or 1.0, strength is None
+        prior = -len(self.contexts) * log_gamma(STRENGTHS / DISCOUNT)
+        if fixed:  # the customers' number is never drawn, so its normalisation counts
+            sizes, n = np.unique(self.c_all, return_counts=True)
+            prior += len(self.contexts) * log_gamma(STRENGTHS) - np.array([(n * log_gamma(s + sizes)).sum() for s in STRENGTHS])
+        self.prior = prior
+        self.time = rng.standard_gamma(self.strength / DISCOUNT + self._all(self.t))
+        self.tilt, self.total = np.zeros(len(self.contexts)), np.ones(len(self.contexts))
+
+    def seat(self, above: np.ndarray, rng: np.random.Generator, fixed: bool) -> None:
+        """Draws the tables, given the parent's probabilities of the bytes, and what follows from them alone.
+
+        ``time`` is how long the stable process behind the measure has run, ``tilt`` stands for the
+        measure's normalisation.  Where the customers are the data (``fixed``) both are one variable.
         """
-        others = self.t_all()[self.of] - self.t
-        t = np.minimum(self.c, 1).astype(float)
-        j, top = 1, int(self.c.max(initial=0))
-        rows = np.arange(len(self.c))
-        while j < top:
-            run = max(1, j // 8) if j >= 32 else 1
-            rows = rows[self.c[rows] > j]
-            fresh = (self.s + self.d * (others[rows] + t[rows])) * above[rows]
-            p = np.clip(fresh / (fresh + np.maximum(j - self.d * t[rows], 1e-9)), 0, 1)
-            t[rows] += rng.binomial(np.minimum(run, self.c[rows] - j), p)
-            j += run
-        self.t = t.astype(np.int64)
-
-    def upward(self) -> tuple[np.ndarray, np.ndarray]:
-        """The tables as customers of the parents."""
-        mask = U((1 << 8 * self.length) - 1)
-        return _unique(self.grams & mask, self.t)
-
-    def upward_to_none(self) -> tuple[np.ndarray, np.ndarray]:
-        """The tables as customers of the restaurant of the empty context."""
-        return _unique(self.grams & U(255), self.t)
+        if fixed:
+            self.time = rng.standard_gamma(self.strength / DISCOUNT + self._all(self.t))
+            speed = self.time
+        else:
+            self.tilt = rng.standard_gamma(np.maximum(self.c_all, 1)) / self.total
+            speed = self.time * (1 + self.tilt) ** DISCOUNT
+        self.t = tables_drawn(self.c, DISCOUNT * speed[self.of] * above, rng)
+        if not fixed:
+            self.time = rng.standard_gamma(self.strength / DISCOUNT + self._all(self.t)) / (1 + self.tilt) ** DISCOUNT
+        if self.sampled and len(self.contexts):
+            odds = self.prior + STRENGTHS / DISCOUNT * np.log(np.maximum(self.time, 1e-300)).sum()
+            mass = np.cumsum(np.exp(odds - odds.max()))
+            self.strength = float(STRENGTHS[int((mass < rng.random() * mass[-1]).sum())])
+
+    def measure(self, above: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Draws the measure given the tables; the probabilities of the restaurant's bytes."""
+        scale = 1 + self.tilt
+        left = np.maximum(1 - self._all(above), 1e-12)  # of bytes that the restaurant has not served
+        fresh = lambda share, time, tilt: inverse_gaussian(time * share / (2 * np.sqrt(tilt)), (time * share) ** 2 / 2, rng)
+        mass = rng.standard_gamma(self.c - DISCOUNT * self.t) / scale[self.of]
+        mass += fresh(above, self.time[self.of], scale[self.of])
+        self.total = self._all(mass) + fresh(left, self.time, scale)
+        return mass / self.total[self.of]
 
     def predict(self, grams: np.ndarray, above: np.ndarray) -> np.ndarray:
         """Probability of each n-gram's byte, given the parents' probabilities of it."""
@@ -190,11 +260,66 @@ class Level:
         at, own = at[known], grams[known]
         row = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1) if len(self.grams) else at
         has = self.grams[row] == own if len(self.grams) else np.zeros(0, bool)
-        seats = np.where(has, self.c[row] - self.d * self.t[row], 0) if len(self.grams) else 0
-        out[known] = (seats + (self.s + self.d * self.t_all()[at]) * out[known]) / (self.s + self.c_all[at])
+        seats = np.where(has, self.c[row] - DISCOUNT * self.t[row], 0) if len(self.grams) else 0
+        tables = self._all(self.t)
+        out[known] = (seats + (self.strength + DISCOUNT * tables[at]) * out[known]) / (self.strength + self.c_all[at])
         return out
 
 
+class Tier:
+    """The restaurants of some context lengths, longest first, over n-grams that their customers are."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, longest: int, shortest: int, rng: np.random.Generator, fixed: bool, strength: float | None = None):
+        self.rng, self.fixed = rng, fixed
+        self.levels, self.parent = [Level(grams[counts > 0], longest)], []
+        self.levels[0].serve(counts[counts > 0])
+        for length in range(longest - 1, shortest - 1, -1):
+            keys, parent = np.unique(self.levels[-1].grams & U((1 << 8 * (length + 1)) - 1), return_inverse=True)
+            self.parent.append(parent)
+            self.levels.append(Level(keys, length))
+            self.levels[-1].serve(np.bincount(parent, minlength=len(keys)))
+        for k, level in enumerate(self.levels):
+            level.begin(rng, strength, fixed and not k)
+        self.shares: list[np.ndarray] = []
+
+    @property
+    def outer(self) -> np.ndarray:
+        """The n-grams of the shortest contexts, whose probabilities the tier above has to give."""
+        return self.levels[-1].grams
+
+    def guess(self) -> np.ndarray:
+        """Probabilities for ``outer`` where nothing is known from above: shares of kinds of contexts."""
+        level = self.levels[-1]
+        keys, counts = _unique(level.grams & U((1 << 8 * level.length) - 1))
+        own = counts[np.searchsorted(keys, level.grams & U((1 << 8 * level.length) - 1))]
+        return (own + 1 / 256) / (np.bincount(level.of, own, len(level.contexts))[level.of] + 1)
+
+    def _down(self, above: np.ndarray) -> None:
+        self.shares = [above]
+        for k in range(len(self.levels) - 1, 0, -1):
+            self.shares.insert(0, self.levels[k].measure(self.shares[0], self.rng)[self.parent[k - 1]])
+        if not self.fixed:
+            self.drawn = self.levels[0].measure(self.shares[0], self.rng)
+
+    def sweep(self, above: np.ndarray) -> np.ndarray:
+        """One sweep, given the probabilities of ``outer`` above; the tables there."""
+        if not self.shares:
+            self._down(above)
+        self.shares[-1] = above
+        for k, level in enumerate(self.levels):
+            if k:
+                level.serve(np.bincount(self.parent[k - 1], self.levels[k - 1].t, len(level.grams)))
+            level.seat(self.shares[k], self.rng, self.fixed and not k)
+        self._down(above)
+        return self.levels[-1].t
+
+    def predict(self, grams: np.ndarray, above: np.ndarray) -> np.ndarray:
+        """Predictive probabilities of n-grams of the longest contexts, from those of the tier above."""
+        for level in self.levels[::-1]:
+            above = level.predict(grams & U((1 << 8 * (level.length + 1)) - 1), above)
+        return above
+
+
 def _merged(rows: list[dict], kind: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their counts over all packets, whose counts are of a kind: a block's fit 32 bits."""
     keys = np.concatenate([np.frombuffer(r["a"], U) for r in rows])
@@ -202,15 +327,6 @@ def _merged(rows: list[dict], kind: type = np.uint32) -> tuple[np.ndarray, np.nd
     return _unique(keys, counts)
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """The restaurants of ORDER down to two bytes, at first with one table for every byte they serve."""
-    keep = counts > 0
-    levels = [Level(grams[keep], counts[keep], ORDER)]
-    while levels[-1].length > 2:
-        levels.append(Level(*levels[-1].upward(), levels[-1].length - 1))
-    return levels
-
-
 def _housed(shards: int):
     """A shard's n-grams, counted over all blocks, to the houses; in these packets block is the shard."""
 
@@ -238,73 +354,108 @@ def _forwarded(asked: pa.Table, answers: pa.Table) -> pa.Table:
     return _packets([(r["block"], r["shard"], NGRAMS, r["size"], of(r), None) for r in rows])
 
 
-def _tables(table: pa.Table) -> pa.Table:
-    """What a house's restaurants send to those of one byte: customers by (byte, byte)."""
-    low = _levels(*_merged(table.to_pylist(), np.int64))[-1]
-    keys, t = _unique(low.grams & U(0xFFFF), low.t)
-    return pa.table({"gram": pa.array(keys.astype(np.int64)), "customers": pa.array(t)})
+def _sent_up(table: pa.Table) -> pa.Table:
+    """A house's tables, as customers of the restaurants of two bytes, and all n-grams it asks for there."""
+    rows = table.to_pylist()
+    me = int(rows[0]["shard"])
+    grams, counts = _merged(rows, np.int64)
+    house = Tier(grams, counts, ORDER, SHARED, np.random.default_rng([8, me]), True)
+    guess, tables = house.guess(), np.zeros(0, np.int64)
+    for _ in range(BURN + 1):
+        tables = house.sweep(guess)
+    mask = U((1 << 8 * SHARED) - 1)
+    keys, at = np.unique(grams & mask, return_inverse=True)
+    customers = np.zeros(len(keys), np.int64)
+    if len(house.outer):
+        np.add.at(customers, np.searchsorted(keys, house.outer & mask), tables)
+    by = (keys >> U(8)) & U(255)
+    order = np.argsort(by, kind="stable")
+    bounds = np.searchsorted(by[order], np.arange(257))
+    out = [(me, k, NGRAMS, j - i, keys[order[i:j]].tobytes(), customers[order[i:j]].tobytes()) for k, (i, j) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if j > i]
+    return _packets(out)
+
+
+def _middle(table: pa.Table) -> Tier:
+    """The restaurants of two bytes that share their last byte."""
+    rows = table.to_pylist()
+    return Tier(*_merged(rows, np.int64), SHARED - 1, SHARED - 1, np.random.default_rng([9, int(rows[0]["shard"])]), False)
 
 
-def top_probabilities(customers: dict[int, int], seed: int = 8) -> np.ndarray:
-    """P[previous byte, byte] of the restaurants of one byte and of none, averaged over samples."""
+def _tables(table: pa.Table) -> pa.Table:
+    """What restaurants of two bytes send to those of one byte: customers by (byte, byte)."""
+    tier = _middle(table)
+    guess, t = tier.guess(), np.zeros(0, np.int64)
+    for _ in range(BURN + 1):
+        t = tier.sweep(guess)
+    keys, customers = _unique(tier.outer & U(0xFFFF), t)
+    return pa.table({"gram": pa.array(keys.astype(np.int64)), "customers": pa.array(customers)})
+
+
+def top_samples(customers: dict[int, int], seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """By sweep, previous byte and byte: the measures drawn for one byte of context, and the predictive ones."""
+    every, flat = np.arange(65536, dtype=U), np.full((SWEEPS, 65536), 1 / 256)
+    if not customers:
+        return flat, flat
     keys = np.array(sorted(customers), U)
-    one = Level(keys, np.array([customers[int(k)] for k in keys.tolist()]), 1)
-    rng, out = np.random.default_rng(seed), np.zeros((256, 256))
-    every = np.arange(65536, dtype=U)
-    none = Level(*one.upward_to_none(), 0)
-    for sweep in range(SWEEPS):
-        p0 = none.predict(np.arange(256, dtype=U), np.full(256, 1 / 256))
-        one.seat(p0[(keys & U(255)).astype(int)], rng)
-        none = Level(*one.upward_to_none(), 0)
-        none.seat(np.full(len(none.grams), 1 / 256), rng)
-        p0 = none.predict(np.arange(256, dtype=U), np.full(256, 1 / 256))
-        if sweep >= BURN:
-            out += one.predict(every, p0[(every & U(255)).astype(int)]).reshape(256, 256)
-    return out / (SWEEPS - BURN)
-
-
-def _answers(top: np.ndarray):
-    """A house's seating, sampled, and its averaged log10 probabilities for each shard's n-grams."""
+    tier = Tier(keys, np.array([customers[int(k)] for k in keys.tolist()]), 1, 0, np.random.default_rng(seed), False)
+    drawn, mean = np.zeros((SWEEPS, 65536)), np.zeros((SWEEPS, 65536))
+    uniform = np.full(len(tier.outer), 1 / 256)
+    for k in range(BURN + SWEEPS):
+        tier.sweep(uniform)
+        if k >= BURN:
+            mean[k - BURN] = tier.predict(every, np.full(65536, 1 / 256))
+            drawn[k - BURN, keys.astype(np.int64)] = tier.drawn
+    return drawn, mean
+
+
+def _down(top: tuple[np.ndarray, np.ndarray]):
+    """The samples of restaurants of two bytes, to each house that asked for their n-grams."""
+    drawn, mean = top
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        grams, counts = _merged(rows, np.int64)
-        first = top[((grams >> U(8)) & U(255)).astype(int), (grams & U(255)).astype(int)]
-        levels = _levels(grams, counts)
-        rng = np.random.default_rng(int(rows[0]["shard"]) + 1)
-        mean = np.zeros(len(grams))
-
-        def above(level: int) -> np.ndarray:
-            """The parents' probabilities for the level's n-grams."""
-            own = levels[level].grams
-            p = top[((own >> U(8)) & U(255)).astype(int), (own & U(255)).astype(int)]
-            for parent in levels[:level:-1]:
-                p = parent.predict(own & U((1 << 8 * (parent.length + 1)) - 1), p)
-            return p
-
-        for sweep in range(SWEEPS):
-            for k, level in enumerate(levels):
-                if k:  # its customers are the tables below it
-                    old = level
-                    level = levels[k] = Level(*levels[k - 1].upward(), levels[k - 1].length - 1)
-                    if len(old.grams) == len(level.grams):
-                        level.t = np.minimum(old.t, level.c)
-                level.seat(above(k), rng)
-            if sweep >= BURN:
-                p = first
-                for level in levels[::-1]:
-                    p = level.predict(grams & U((1 << 8 * (level.length + 1)) - 1), p)
-                mean += p
-        logs = np.log10(mean / (SWEEPS - BURN))
+        tier, rows = _middle(table), table.to_pylist()
+        grams, _ = _merged(rows, np.int64)
+        outer, low = (tier.outer & U(0xFFFF)).astype(np.int64), (grams & U(0xFFFF)).astype(np.int64)
+        has = np.searchsorted(grams, tier.levels[0].grams)
+        draws, means = np.zeros((SWEEPS, len(grams))), np.zeros((SWEEPS, len(grams)))
+        for k in range(SWEEPS):
+            tier.sweep(drawn[k][outer])
+            means[k] = tier.predict(grams, mean[k][low])
+            draws[k, has] = tier.drawn
         out = []
         for r in rows:
-            own = np.frombuffer(r["a"], U)
-            out.append((r["block"], r["shard"], NGRAMS, r["size"], logs[np.searchsorted(grams, own)].tobytes(), None))
+            at = np.searchsorted(grams, np.frombuffer(r["a"], U))
+            out.append((r["block"], r["shard"], NGRAMS, r["size"], draws[:, at].tobytes(), means[:, at].tobytes()))
         return _packets(out)
 
     return run
 
 
+def _answers(asked: pa.Table, replies: pa.Table) -> pa.Table:
+    """A house's averaged log10 probabilities for each shard's n-grams."""
+    if not asked.num_rows:
+        return _packets([])
+    rows = asked.to_pylist()
+    me = int(rows[0]["shard"])
+    grams, counts = _merged(rows, np.int64)
+    mask = U((1 << 8 * SHARED) - 1)
+    keys, at = np.unique(grams & mask, return_inverse=True)
+    order = np.argsort((keys >> U(8)) & U(255), kind="stable")
+    drawn, mean = np.zeros((SWEEPS, len(keys))), np.zeros((SWEEPS, len(keys)))
+    parts = sorted((r["shard"], r["a"], r["b"]) for r in replies.select(["shard", "a", "b"]).to_pylist())
+    for k, out in ((1, drawn), (2, mean)):
+        out[:, order] = np.concatenate([np.frombuffer(p[k], float).reshape(SWEEPS, -1) for p in parts], axis=1)
+    house = Tier(grams, counts, ORDER, SHARED, np.random.default_rng([10, me]), True)
+    outer = np.searchsorted(keys, house.outer & mask)
+    total = np.zeros(len(grams))
+    for k in range(SWEEPS):
+        house.sweep(drawn[k][outer])
+        if k >= BURN:
+            total += house.predict(grams, mean[k][at])
+    logs = np.log10(total / (SWEEPS - BURN))
+    return _packets([(r["block"], r["shard"], NGRAMS, r["size"], logs[np.searchsorted(grams, np.frombuffer(r["a"], U))].tobytes(), None) for r in rows])
+
+
 def _word_counts(table: pa.Table) -> pa.Table:
     """A shard's counts of each block's words, and how many of its words were trained on."""
     rows = table.to_pylist()
@@ -370,15 +521,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     asked = written(texts.groupBy("block").applyInArrow(_count(shards), PACKET), "counts")
     grams = asked.filter(F.col("kind") == NGRAMS)
     housed = written(grams.groupBy("shard").applyInArrow(_housed(shards), PACKET), "houses")
-    low = housed.groupBy("shard").applyInArrow(_tables, "gram long, customers long")
+    sent = written(housed.groupBy("shard").applyInArrow(_sent_up, PACKET), "tables")
+    low = sent.groupBy("shard").applyInArrow(_tables, "gram long, customers long")
     customers = {r[0]: r[1] for r in low.groupBy("gram").agg(F.sum("customers")).collect()}  # at most 65,536
-    top = top_probabilities(customers) if customers else np.full((256, 256), 1 / 256)
     ends = rows.filter("trained").count()
     tokens = asked.filter(F.col("kind") == TOTAL).agg(F.sum("size")).first()[0] or 0
     counted = asked.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(_word_counts, PACKET)
     counted = written(counted, "words")
     distinct = (counted.filter(F.col("kind") == TOTAL).agg(F.sum("size")).first()[0] or 0) + (ends > 0)
-    answers = housed.groupBy("shard").applyInArrow(_answers(top), PACKET)
+    samples = sent.groupBy("shard").applyInArrow(_down(top_samples(customers)), PACKET)
+    answers = housed.groupBy("shard").cogroup(samples.groupBy("block")).applyInArrow(_answers, PACKET)
     answers = grams.groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(_forwarded, PACKET)
     replies = counted.filter(F.col("kind") == WORDS).unionByName(answers)
     number, real = T.LongType(), T.DoubleType()

@@ -1,32 +1,17 @@
-"""Near-duplicates by Jaccard similarity of word shingles, for the pipeline; no similar pair is lost.
-
-Two sets whose similarity is t at least share one of the first n - ceil(t n) + 1 of their n shingles in
-any order that all sets follow.  Rare shingles come first: a sketch of bounded size counts cells of
-hashes, and what it misses costs time, never a pair.  Documents meet on these shingles, and pairs are
-verified on the whole sets.  Buckets are not paired off: each is verified against its most central
-member first, and only members that are still in different components meet again.
-"""
+"""Sets of hashed word shingles, and their Jaccard similarity."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .blocks import chunks, texts_of, written
-from .simhash import components
+from .blocks import chunks, texts_of
 from .words import Words, windows
 
 SIZE, SIMILARITY, SEED = 5, 0.8, 42
-CELL_BITS, MOST_CELLS = 22, 1 << 18
-#: Pairs that may be left for each row of the buckets before they are paired off; and rounds at most.
-PAIRS_A_ROW, ROUNDS = 4, 8
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE):
@@ -50,58 +35,12 @@ def node_of(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _lists(sets: list[np.ndarray]) -> pa.Array:
+def lists(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(x) for x in sets])
     values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def commonness(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """By cell of shingle hashes, the logarithm of how many documents it is common in, 0 for rare ones."""
-
-    def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for shingles in shingle_sets(texts_of(batch.column(0)), size):
-                counts[shingles >> np.uint64(64 - CELL_BITS)] += 1
-        cells = np.flatnonzero(counts >= max(8, 4 * counts.mean()))
-        for k in range(0, len(cells), 1 << 16):
-            part = cells[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["cell", "n"])
-
-    cells = docs.select(text_col).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    top = cells.orderBy(F.col("n").desc(), "cell").limit(MOST_CELLS).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    out[top["cell"].to_numpy()] = np.log2(top["n"].to_numpy().astype(float)).astype(np.uint8)
-    return out
-
-
-def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """(id, node, n, first): the document's set by hash and size, and its first shingles."""
-    common = docs.sparkSession.sparkContext.broadcast(commonness(docs, text_col, size))
-    kind = docs.schema[id_col].dataType
-
-    def first(shingles):
-        if not len(shingles):
-            return shingles
-        order = np.lexsort((shingles, common.value[shingles >> np.uint64(64 - CELL_BITS)]))
-        return shingles[order[: len(shingles) - math.ceil(len(shingles) * similarity - 1e-9) + 1]]
-
-    def run(batches):
-        for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for shingles in shingle_sets(texts_of(batch.column(1)), size):
-                nodes.append(node_of(shingles))
-                sizes.append(len(shingles))
-                firsts.append(first(shingles))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "node", "n", "first"])
-
-    fields = [T.StructField(id_col, kind), T.StructField("node", T.LongType()), T.StructField("n", T.LongType())]
-    schema = T.StructType([*fields, T.StructField("first", T.ArrayType(T.LongType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
 def sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """(node, set) of every document."""
 
@@ -111,7 +50,7 @@ def sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             for a, b in chunks(texts):
                 found = list(shingle_sets(texts[a:b], size))
                 nodes = pa.array([node_of(x) for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([nodes, _lists(found)], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([nodes, lists(found)], names=["node", "set"])
 
     return docs.select(text_col).mapInArrow(run, "node long, set array<long>")
 
@@ -122,53 +61,3 @@ def similar(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return met.filter(shared >= (F.size("a_set") + F.size("b_set") - shared) * similarity - 1e-9).select("a", "b")
-
-
-def links(buckets: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links that join the nodes of (sig, node, n, weight) as all similar pairs would."""
-    bucket = Window.partitionBy("sig")
-    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-    rows, found = buckets.withColumn("root", F.col("node")), None
-    for _ in range(ROUNDS):
-        each = rows.groupBy("sig").agg(F.count("*").alias("k"))
-        size = each.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
-        if not size[0] or size[1] <= PAIRS_A_ROW * size[0]:
-            break
-        hubs = rows.withColumn("hub", F.max(F.struct("weight", "node", "n", "root")).over(bucket))
-        apart = hubs.filter((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
-        pairs = apart.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        new = written(similar(pairs, whole, similarity), "links")
-        found = new if found is None else found.unionByName(new)
-        roots = components(found).withColumnRenamed("root", "now")
-        left = hubs.filter("node <> hub.node").drop("hub", "root").join(roots, "node", "left")
-        left = left.withColumn("root", F.coalesce("now", "node")).drop("now")
-        ends = {"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}
-        rows = written(left.withColumns(ends).filter("low < high").drop("low", "high"), "buckets")
-    side = lambda c: rows.select("sig", F.col("node").alias(c), F.col("n").alias(c + "_n"), F.col("root").alias(c + "_root"))
-    met = side("a").join(side("b"), "sig").filter("a < b and a_root <> b_root").filter(fits(F.col("a_n"), F.col("b_n")))
-    last = similar(met.select("a", "b").distinct(), whole, similarity)
-    return last if found is None else found.unionByName(last)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id) for every document; component_id is the least id it reaches over similar pairs.
-
-    Texts without words are alike.  A null id keeps its row, and is no component's id unless it is alone.
-    """
-    prints = written(prefixes(docs, id_col, text_col, size, similarity), "prefixes")
-    firsts = prints.groupBy("node").agg(F.min(id_col).alias("least"))
-    bucket = Window.partitionBy("sig")
-    met = prints.select("node", "n", F.explode("first").alias("sig"))
-    met = met.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).filter("low < high")
-    met = written(met.select("sig", "node", "n").distinct(), "buckets")
-    central = met.withColumn("k", F.count("*").over(bucket)).groupBy("node").agg(F.avg("k").alias("weight"))
-    buckets = written(met.join(central, "node"), "buckets")
-    some = written(central.join(firsts, "node").select("node", "least"), "suspects")
-    rows = docs.select(id_col, text_col)
-    rows = rows.join(some.select("least").distinct(), F.col(id_col).eqNullSafe(F.col("least")), "left_semi")
-    whole = sets(rows, text_col, size).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    tree = components(links(buckets, written(whole, "sets"), similarity))
-    rooted = firsts.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(names, "root").select("node", "component_id")
-    return prints.join(labels, "node").select(id_col, "component_id")

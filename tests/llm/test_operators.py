@@ -298,23 +298,125 @@ def test_pitman_yor_base_and_proper(docs, documents, none):
     assert hpylm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("customers, weight", [(1, 3.0), (2, 0.5), (5, 0.1), (30, 1.3), (30, 40.0), (200, 5.0), (2000, 3.0), (2000, 900.0), (5000, 0.6)])
+def test_pitman_yor_tables_against_enumeration(customers, weight):
+    """One customer after the other: j others at t tables give j - t / 2 seats, and ``weight`` a new table."""
+    ways = np.zeros(customers + 2)
+    ways[1], t = weight, np.arange(customers + 2)
+    for j in range(1, customers):
+        ways = np.maximum(j - 0.5 * t, 0) * ways + weight * np.concatenate(([0], ways[:-1]))
+        ways /= ways.max()
+    drawn = hpylm.tables_drawn(np.full(20_000, customers), np.full(20_000, weight), np.random.default_rng(2))
+    assert drawn.min() >= 1 and drawn.max() <= customers
+    assert abs(drawn.mean() - (ways * t).sum() / ways.sum()) < 0.02 * drawn.mean()
+
+
+def seated_one_by_one(leaves, rounds, seed=3):
+    """Mean tables by (level, context, byte) of a chain that reseats single customers in two levels."""
+    rng, d, s = random.Random(seed), hpylm.DISCOUNT, 2.0
+    rooms = {u: {} for u in [*leaves, ""]}  # context -> byte -> table sizes
+
+    def chance(u, w):
+        above = 1 / 256 if u == "" else chance("", w)
+        n, t = sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+        own = rooms[u].get(w, [])
+        return (sum(own) - d * len(own) + (s + d * t) * above) / (s + n)
+
+    def add(u, w):
+        tables = rooms[u].setdefault(w, [])
+        t = sum(map(len, rooms[u].values()))
+        fresh = (s + d * t) * (1 / 256 if u == "" else chance("", w))
+        k = rng.choices(range(len(tables) + 1), [n - d for n in tables] + [fresh])[0]
+        if k < len(tables):
+            tables[k] += 1
+        else:
+            tables.append(1)
+            if u != "":
+                add("", w)
+
+    def leave(u, w):
+        tables = rooms[u][w]
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            if u != "":
+                leave("", w)
+
+    people = [(u, w) for u in leaves for w, c in leaves[u].items() for _ in range(c)]
+    for u, w in people:
+        add(u, w)
+    sums = Counter()
+    for r in range(rounds):
+        for u, w in people:
+            leave(u, w)
+            add(u, w)
+        if r >= rounds // 10:
+            for u in rooms:
+                for w, tables in rooms[u].items():
+                    sums[u, w] += len(tables) / (rounds - rounds // 10)
+    return sums
+
+
+def test_pitman_yor_sweeps_against_single_customers():
+    leaves = {"A": {"x": 12, "y": 1}, "B": {"x": 2, "z": 9}, "C": {"x": 1, "y": 3}}
+    want = seated_one_by_one(leaves, 3000)
+    grams = {ord(u) << 8 | ord(w): c for u in leaves for w, c in leaves[u].items()}
+    keys = np.array(sorted(grams), np.uint64)
+    tier = hpylm.Tier(keys, np.array([grams[int(k)] for k in keys]), 1, 0, np.random.default_rng(5), True, 2.0)
+    sums = Counter()
+    for r in range(12_000):
+        tier.sweep(np.full(len(tier.outer), 1 / 256))
+        if r >= 1000:
+            for level in tier.levels:
+                for g, t in zip(level.grams.tolist(), level.t.tolist()):
+                    sums[chr(g >> 8) if g >> 8 else "", chr(g & 255)] += t / 11_000
+    assert set(sums) == {k for k in want if want[k]}
+    assert all(abs(sums[k] - want[k]) < 0.05 * want[k] for k in sums), (sums, want)
+
+
 def test_pitman_yor_levels_sum_to_one():
     rng = np.random.default_rng(1)
     grams = np.unique(rng.integers(0, 4, 40).astype(np.uint64) << np.uint64(8) | rng.integers(0, 200, 40).astype(np.uint64))
-    level = hpylm.Level(grams, rng.integers(1, 500, len(grams)), 1)
-    above = np.full(len(grams), 1 / 256)
+    tier = hpylm.Tier(grams, rng.integers(1, 500, len(grams)), 1, 0, rng, True)
     for _ in range(4):
-        level.seat(above, rng)
-        assert (level.t >= 1).all() and (level.t <= level.c).all()
+        tier.sweep(np.full(len(tier.outer), 1 / 256))
+        assert all((level.t >= 1).all() and (level.t <= level.c).all() for level in tier.levels)
     every = np.arange(256, dtype=np.uint64) | np.uint64(2 << 8)
-    assert abs(level.predict(every, np.full(256, 1 / 256)).sum() - 1) < 1e-9
-
-
-def test_pitman_yor_beats_uniform_on_held_out_text(spark):
-    rows = [(i, " ".join(random.Random(i).choices(LOREM, k=80))) for i in range(60)]
-    out = hpylm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").collect()
-    sizes = {i: len(t) + 1 for i, t in rows}
-    assert out and all(r.score > -0.9 * sizes[r.doc_id] for r in out)  # uniform bytes: -2.4 each
+    assert abs(tier.predict(every, np.full(256, 1 / 256)).sum() - 1) < 1e-9
+
+
+def kneser_ney(trained, text, order=5, discount=0.75):
+    """log10 probability of a text's stream by interpolated Kneser-Ney over bytes."""
+    pad = b"\n" * order
+    counts = [Counter() for _ in range(order + 1)]
+    for x in trained:
+        x = pad + hpylm.stream(x)
+        counts[order].update(x[k : k + order + 1] for k in range(len(x) - order))
+    for n in range(order - 1, -1, -1):
+        counts[n].update(g[1:] for g in counts[n + 1])
+    sums = [(Counter(), Counter()) for _ in counts]
+    for n, by in enumerate(counts):
+        for g, c in by.items():
+            sums[n][0][g[:-1]] += c
+            sums[n][1][g[:-1]] += 1
+    out, x = 0.0, pad + hpylm.stream(text)
+    for k in range(order, len(x)):
+        p = 1 / 256
+        for n in range(order + 1):
+            g = x[k - n : k + 1]
+            if total := sums[n][0][g[:-1]]:
+                p = (max(counts[n][g] - discount, 0) + discount * sums[n][1][g[:-1]] * p) / total
+        out += math.log10(p)
+    return out
+
+
+def test_pitman_yor_beats_kneser_ney_on_held_out_text(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    held = {r.doc_id: r.score for r in hpylm.score(docs).filter("held_out").collect()}
+    trained = [t for i, t in texts.items() if i not in held]
+    assert held and sum(held.values()) > sum(kneser_ney(trained, texts[i]) for i in held)
 
 
 # ---------------------------------------------------------------- 9

@@ -9,7 +9,8 @@ import corpus_pipeline
 from lynceus.llm import quality
 from lynceus.llm.queries import table
 
-from .test_operators import components, fingerprint, prose, removed
+from .test_operators import components, prose, removed
+from .test_shingles import jaccard
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +46,8 @@ def test_pipeline_against_brute_force(spark, folder):
     kept_ids = {r.doc_id for r in judged}
     assert not any(i % 10 == 3 for i in kept_ids) and len(kept_ids) >= 130
     left = [r for r in rows if r[0] in kept_ids]
-    prints = {r[0]: fingerprint(r[1]) for r in left}
-    near = components([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], list(prints))
+    texts = {r[0]: r[1] for r in left}
+    near = components([(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8], list(texts))
     left = [r for r in left if near[r[0]] == r[0]]
     cut = {i: (n, text) for i, _, n, text in removed(left)}
     want = Counter()
