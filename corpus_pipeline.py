@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import bpe, decontam, quality, shingles, substring
+from lynceus.llm import bpe, decontam, quality, simhash, substring
 from lynceus.llm.blocks import written
 from lynceus.llm.queries import VOCABULARY, table
 
@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id; rows of one id are one document.
 
-    The bits of op5_simhash bind that operator alone: here five-word shingles are alike at 0.8.
+    The bits of op5_simhash bind that query alone: here sets of five-word shingles are alike at 0.8.
     """
-    groups = shingles.near_duplicates(docs)
+    groups = simhash.similar_texts(docs)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
