@@ -1,17 +1,19 @@
 """Benchmark decontamination by greedy string tiling (operator 1).
 
-A document and a benchmark item become a pair where they share a seed: ``tile`` words in a row, found by
-joining the documents' rolling hashes with those of the items.  For each pair, running Karp-Rabin joins
-seeds along a diagonal into maximal matches, and the longest match whose words are unmarked on both
-sides is marked, again and again, until none of ``tile`` words is left.  The share of the item's words
-that are marked decides, so an item whose sentences stand in another order is still found.
-
-The benchmark is a stated query set: it is taken in blocks of bounded size, each held against all
-documents.  Only one block at a time is sent to the executors.
+A document and a benchmark item become a pair where they share a seed: ``tile`` words in a row.  The
+seeds' hashes are joined on Spark: a bit map of fixed size over the items' seeds is sent to the documents'
+one scan, which keeps the documents that have a seed in it, and only their seeds meet the items'.  A pair
+goes on if its shared seeds could cover enough of the item.
+
+In each pair running Karp-Rabin finds the maximal matches, as stretches on a diagonal and never as a list
+of places, and the longest match whose words are unmarked on both sides is marked, again and again, until
+none of ``tile`` words is left.  The share of the item's words that are marked decides, so an item whose
+sentences stand in another order is still found.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -20,21 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import texts_of
-from .words import mix
+from .blocks import chunks, texts_of, written
+from .simhash import SALTS, spread_join
+from .words import Words, mix, windows
 
 TILE, COVERAGE = 5, 0.5
-#: Bytes of benchmark text in a block, about: what the executors are sent at once.
-BLOCK_BYTES = 8 << 20
+#: Bits of the map of the items' seeds (8 MB, whatever the benchmark's size); a seed sets two of them.
+MAP_BITS = 26
 
 #: A-Z to a-z, and ASCII other than letters and digits to spaces.
 PLAIN = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+TILES = T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("text_word", "item_word", "length")]))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
+# ---------------------------------------------------------------- a pair
+
+
 def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of so many ids."""
     n = len(ids) - size + 1
@@ -44,109 +51,192 @@ def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Items:
-    """Seeds of a block of items: for each seed length, sorted hashes with item and place."""
-
-    def __init__(self, rows: list[tuple], tile: int = TILE):
-        self.tile, self.ids, self.vocabulary = tile, [r[0] for r in rows], {}
-        self.words = []
-        for _, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
-            self.words.append(np.array(ids, np.int64))
-        self.seeds = {}
-        for size in sorted({min(tile, len(w)) for w in self.words if len(w)}):
-            mine = [k for k, w in enumerate(self.words) if min(tile, len(w)) == size]
-            hashes = [_rolling(self.words[k], size) for k in mine]
-            item = np.repeat(mine, [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes])
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
-            self.seeds[size] = flat[order], item[order], place[order]
-
-    def hits(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-        """Item -> (place in the text, place in the item) of every shared seed, verified by its words."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        out: dict[int, list[tuple[int, int]]] = {}
-        for size, (flat, item, place) in self.seeds.items():
-            if len(ids) < size:
-                continue
-            unknown = np.cumsum(np.concatenate(([0], ids == 0)))
-            at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(at):
-                continue
-            hashes = _rolling(ids, size)[at] if len(at) > len(ids) // 8 else _some(ids, at, size)
-            low, high = np.searchsorted(flat, hashes), np.searchsorted(flat, hashes, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                p = int(at[k])
-                for j in range(low[k], high[k]):
-                    i, q = int(item[j]), int(place[j])
-                    if np.array_equal(ids[p : p + size], self.words[i][q : q + size]):
-                        out.setdefault(i, []).append((p, q))
-        return out
-
-
-def _some(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """_rolling(ids, size)[at]"""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64))
-    return out
+def matches(text: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text place, item place, length) of all maximal matches of ``size`` words or more.
 
-
-def tiles(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of the matches that seeds of ``size`` words make: (text, item, length).
+    A seed begins a match where the seeds one word before it differ, and ends one where those after it do.
+    Which places of the text do so depends on two seeds of the item alone, and is found once for each two.
+    """
+    ours, theirs = _rolling(text, size), _rolling(item, size)
+    if not len(ours) or not len(theirs):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.argsort(ours, kind="stable")
+    low, high = (np.searchsorted(ours[order], theirs, side) for side in ("left", "right"))
+    found: dict[tuple, np.ndarray] = {}
+
+    def edges(q: int, step: int) -> np.ndarray:
+        beside = q + step
+        inside = 0 <= beside < len(theirs)
+        key = (theirs[q], theirs[beside] if inside else None, step)
+        if key not in found:
+            at = order[low[q] : high[q]]
+            if inside:
+                near = at + step
+                same = (near >= 0) & (near < len(ours))
+                same[same] = ours[near[same]] == theirs[beside]
+                at = at[~same]
+            found[key] = at
+        return found[key]
+
+    def places(step: int) -> tuple[np.ndarray, np.ndarray]:
+        some = [(q, edges(q, step)) for q in np.flatnonzero(high > low).tolist()]
+        p = np.concatenate([np.zeros(0, np.int64), *[x for _, x in some]])
+        q = np.repeat(np.array([q for q, _ in some], np.int64), [len(x) for _, x in some])
+        by = np.lexsort((p, p - q))
+        return p[by], q[by]
+
+    (p, q), (last, _) = places(-1), places(1)
+    return p, q, last - p + size
+
+
+def tiles(text: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of positive ids: (text place, item place, length), in order.
 
     The longest match goes first (ties: the earlier in the text, then in the item).
     """
-    heap: list[tuple[int, int, int]] = []
-    start = last = None
-    for d, p in sorted((p - q, p) for p, q in hits):
-        if start is not None and d == start[0] and p == last + 1:
-            last = p
-            continue
-        if start is not None:
-            heap.append((start[1] - last - size, start[1], start[1] - start[0]))
-        start, last = (d, p), p
-    if start is not None:
-        heap.append((start[1] - last - size, start[1], start[1] - start[0]))
+    heap = [(-n, p, q) for p, q, n in zip(*(x.tolist() for x in matches(text, item, size)))]
     heapq.heapify(heap)
-    text_marks: set[int] = set()
-    item_marks: set[int] = set()
-    out = []
-    while heap:
-        length, p, q = heapq.heappop(heap)
-        free = [k for k in range(-length) if p + k not in text_marks and q + k not in item_marks]
-        if len(free) == -length:
-            out.append((p, q, -length))
-            text_marks.update(range(p, p - length))
-            item_marks.update(range(q, q - length))
+    free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
+    out, left = [], len(item)
+    while heap and left >= size:
+        n, p, q = heapq.heappop(heap)
+        free = free_text[p : p - n] & free_item[q : q - n] & (text[p : p - n] == item[q : q - n])
+        if free.all():
+            out.append((p, q, -n))
+            free_text[p : p - n] = free_item[q : q - n] = False
+            left += n
             continue
-        begin = 0
-        for k in range(1, len(free) + 1):  # what is left of it, if long enough, is a match again
-            if k == len(free) or free[k] != free[k - 1] + 1:
-                if (n := k - begin) >= size:
-                    heapq.heappush(heap, (-n, p + free[begin], q + free[begin]))
-                begin = k
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):  # what is left of it, if long enough, is a match again
+            if b - a >= size:
+                heapq.heappush(heap, (a - b, p + a, q + a))
     return sorted(out)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, tile: int, block_bytes: int):
-    """The benchmark as Items of bounded size, one after the other."""
-    total = benchmark.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 8)).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        part = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        yield Items(sorted(tuple(r) for r in part.select(item_col, text_col).dropna(subset=[item_col]).collect()), tile)
+def tiled(text: bytes, item: bytes, tile: int) -> list[tuple[int, int, int]]:
+    theirs = words_of(item)
+    ids: dict[bytes, int] = {}
+    b = np.array([ids.setdefault(w, len(ids) + 1) for w in theirs], np.int64)
+    a = np.array([ids.get(w, 0) for w in words_of(text)], np.int64)
+    return tiles(a, b, min(tile, len(theirs)))
+
+
+# ---------------------------------------------------------------- all pairs
+
+
+def _md5(text: bytes) -> str:
+    return hashlib.md5(text).hexdigest()
+
+
+def _seeds(texts: list[bytes], size: int):
+    """(text index, seeds) of texts with so many words or more."""
+    for a, b in chunks(texts):
+        w = Words([x.translate(PLAIN) for x in texts[a:b]])
+        keys, at = windows(w.hashes(6), w.first, size, 6)
+        bounds = np.searchsorted(at, w.first).tolist()
+        yield from ((a + k, keys[i:j]) for k, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i)
 
 
-def _found(items: Items, text: bytes, coverage: float):
-    """(item index, its tiles, marked words) of every item that the text covers enough of."""
-    for i, hits in sorted(items.hits(words_of(text)).items()):
-        got = tiles(hits, min(items.tile, len(items.words[i])))
-        marked = sum(t[2] for t in got)
-        if marked >= coverage * len(items.words[i]):
-            yield i, got, marked
+def _probes(seeds: np.ndarray) -> np.ndarray:
+    return np.concatenate([seeds, mix(seeds)]) >> np.uint64(64 - MAP_BITS)
+
+
+def _item_seeds(items: DataFrame, text_col: str, tile: int) -> DataFrame:
+    """(item, h, size, n, places): the distinct seeds of distinct texts; ``item`` is a digest of the text."""
+
+    def run(batches):
+        for batch in batches:
+            texts = sorted(set(texts_of(batch.column(0))))
+            sizes = [min(tile, len(words_of(x))) for x in texts]
+            for size in sorted(set(sizes) - {0}):
+                own = [x for x, n in zip(texts, sizes) if n == size]
+                for k, seeds in _seeds(own, size):
+                    h, places = np.unique(seeds, return_counts=True)
+                    n = len(h)
+                    whole = len(seeds) + size - 1
+                    columns = [pa.array([_md5(own[k])] * n), pa.array(h.view(np.int64)), pa.array([size] * n, pa.int32()), pa.array([whole] * n, pa.int64()), pa.array(places.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "h", "size", "n", "places"])
+
+    found = items.select(text_col).mapInArrow(run, "item string, h long, size int, n long, places long")
+    return found.dropDuplicates(["item", "h"])
+
+
+def _map_of(seeds: DataFrame) -> np.ndarray:
+    """The bit map, combined by words of 64 bits before they reach the driver."""
+
+    def run(batches):
+        for batch in batches:
+            cells = np.unique(_probes(batch.column(0).to_numpy().view(np.uint64)))
+            word = (cells >> np.uint64(6)).astype(np.int64)
+            at = np.flatnonzero(np.diff(word, prepend=-1))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (cells & np.uint64(63)), at) if len(cells) else cells
+            yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    rows = seeds.select("h").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _suspects(docs: DataFrame, text_col: str, seeds: DataFrame) -> DataFrame:
+    """(doc, text, seeds) of the texts with a seed in the map of the items' seeds; ``doc`` is a digest."""
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most ``tile`` of them
+    held = docs.sparkSession.sparkContext.broadcast(_map_of(seeds))
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            hits: dict[int, list[np.ndarray]] = {}
+            for size in sizes:
+                for k, keys in _seeds(texts, size):
+                    cells = _probes(keys)
+                    set_ = (held.value[cells >> np.uint64(6)] >> (cells & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    both = set_[: len(keys)] & set_[len(keys) :]
+                    if both.any():
+                        hits.setdefault(k, []).append(np.unique(keys[both]))
+            for k, parts in hits.items():
+                flat = np.concatenate(parts).view(np.int64)
+                columns = [pa.array([_md5(texts[k])]), pa.array([texts[k].decode("utf-8", "replace")]), pa.array([flat.tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text", "seeds"])
+
+    return docs.select(text_col).mapInArrow(run, "doc string, text string, seeds array<long>")
+
+
+def _tiled_pairs(pairs: DataFrame, tile: int, coverage: float) -> DataFrame:
+    """(doc, item, item_words, matched_words, tiles) of the pairs that reach the coverage."""
+    arrow = pa.list_(pa.struct([pa.field(x, pa.int32()) for x in ("text_word", "item_word", "length")]))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, item, text, other in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                n = len(words_of(other.encode()))
+                got = tiled(text.encode(), other.encode(), tile)
+                marked = sum(t[2] for t in got)
+                if marked >= coverage * n:
+                    rows.append((doc, item, n, marked, [dict(zip(("text_word", "item_word", "length"), t)) for t in got]))
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), arrow]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "item_words", "matched_words", "tiles"])
+
+    schema = T.StructType().add("doc", "string").add("item", "string").add("item_words", "long").add("matched_words", "long")
+    return pairs.select("doc", "item", "text", "item_text").mapInArrow(run, schema.add("tiles", TILES))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
+    """(doc, item, item_words, matched_words, tiles) for every two texts that reach the coverage, by their MD5."""
+    seeds = written(_item_seeds(benchmark, item_text_col, tile), "seeds")
+    suspects = written(_suspects(docs, text_col, seeds), "suspects").dropDuplicates(["doc"])
+    own = suspects.select("doc", F.explode("seeds").alias("h"))
+    # a seed that very many documents have is spread by document
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    each = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = salted.join(each, ["h", "salt"]).groupBy("doc", "item", "size", "n").agg(F.sum("places").alias("places"))
+    pairs = shared.filter(F.col("places") * F.col("size") >= F.col("n") * coverage).select("doc", "item")
+    texts = benchmark.select(F.col(item_text_col).alias("item_text")).filter("item_text is not null")
+    texts = texts.withColumn("item", F.md5("item_text")).dropDuplicates(["item"])
+    pairs = spread_join(pairs, texts, "item", "doc").join(suspects.select("doc", "text"), "doc")
+    return written(_tiled_pairs(pairs, tile, coverage), "tiles")
 
 
 def leaks(
@@ -157,57 +247,23 @@ def leaks(
     item_col: str = "item_id",
     tile: int = TILE,
     coverage: float = COVERAGE,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(id, item, item_words, matched_words, coverage, tiles) for every pair that reaches the coverage.
 
     tiles are (text_word, item_word, length), words counted from 0.  An item shorter than ``tile`` words
-    must stand whole.  Null and empty texts and items have no words and match nothing; items with a null
-    id are left out; rows that repeat are judged each; an empty table on either side gives an empty one.
+    must stand whole.  Null and empty texts and items have no words and match nothing; null ids, of either
+    side, are ids like others; rows that repeat are judged each; an empty table on either side gives an
+    empty one.  The item's text is the benchmark's column ``text``.
     """
-    tile_type = T.StructType([T.StructField(x, T.IntegerType()) for x in ("text_word", "item_word", "length")])
-    schema = T.StructType(
-        [
-            T.StructField(id_col, docs.schema[id_col].dataType),
-            T.StructField(item_col, benchmark.schema[item_col].dataType),
-            T.StructField("item_words", T.LongType()),
-            T.StructField("matched_words", T.LongType()),
-            T.StructField("coverage", T.DoubleType()),
-            T.StructField("tiles", T.ArrayType(tile_type)),
-        ]
-    )
-    out = None
-    for items in _blocks(benchmark, item_col, "text", tile, block_bytes):
-
-        def run(batches, items=items):
-            for batch in batches:
-                rows = []
-                for k, text in enumerate(texts_of(batch.column(1))):
-                    for i, got, marked in _found(items, text, coverage):
-                        n = len(items.words[i])
-                        parts = [dict(zip(("text_word", "item_word", "length"), t)) for t in got]
-                        rows.append((batch.column(0)[k].as_py(), items.ids[i], n, marked, marked / n, parts))
-                columns = list(zip(*rows)) or [()] * 6
-                types = [batch.schema.field(0).type, pa.array(items.ids).type, pa.int64(), pa.int64(), pa.float64(), None]
-                types[5] = pa.list_(pa.struct([pa.field(x, pa.int32()) for x in ("text_word", "item_word", "length")]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)], names=[f.name for f in schema]
-                )
-
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    pairs = found(docs, benchmark, text_col, "text", tile, coverage)
+    items = benchmark.select(F.col(item_col).alias("own_item"), F.md5("text").alias("item"))
+    rows = docs.select(F.col(id_col).alias("own_doc"), F.md5(text_col).alias("doc"))
+    hits = pairs.join(items, "item").join(rows, "doc")
+    share = F.col("matched_words") / F.col("item_words")
+    return hits.select(F.col("own_doc").alias(id_col), F.col("own_item").alias(item_col), "item_words", "matched_words", share.alias("coverage"), "tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """The documents, all columns, that cover no item enough; cases as in ``leaks``."""
-    at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, "item_id", "text", tile, BLOCK_BYTES):
-
-        def run(batches, items=items):
-            for batch in batches:
-                keep = [next(_found(items, x, coverage), None) is None for x in texts_of(batch.column(at))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    gone = found(docs, benchmark, text_col, "text", tile, coverage).select(F.col("doc").alias("_doc_md5")).distinct()
+    return docs.join(gone, F.md5(F.col(text_col)) == F.col("_doc_md5"), "left_anti")

@@ -75,19 +75,65 @@ def test_tiling_finds_reordered_passages(spark, docs, none):
     items = spark.createDataFrame([(1, first + " " + second), (2, short), (3, None), (4, ""), (None, first)], "item_id long, text string")
     rows = [(1, second + " xx yy " + first.upper() + "."), (2, first[:60]), (3, prose(9) + " " + short + " " + prose(8)), (4, None), (5, prose(60, 3000))]
     found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (3, 2)}
-    one = next(r for r in found if r.doc_id == 1)
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (1, None), (3, 2)}
+    one = next(r for r in found if r.item_id == 1)
     assert one.coverage == 1.0 and sorted(t.item_word for t in one.tiles) == [0, 20] and one.matched_words == 40
     kept = decontam.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
     assert {r.doc_id for r in kept.collect()} == {2, 4, 5}
     assert decontam.leaks(none, items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
 
 
+def covered(text, item, tile=5):
+    """Item words that greedy tiling of two word lists marks, by looking everywhere for the longest match."""
+    size, used, marks = min(tile, len(item)), set(), set()
+    while size:
+        best = (0, 0, 0)
+        for i, j in itertools.product(range(len(text)), range(len(item))):
+            n = 0
+            while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n] and i + n not in used and j + n not in marks:
+                n += 1
+            best = min(best, (-n, i, j))
+        n, i, j = -best[0], best[1], best[2]
+        if n < size:
+            break
+        used |= set(range(i, i + n))
+        marks |= set(range(j, j + n))
+    return len(marks)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(12)
+    words = "yes no a b c d".split()
+    text = lambda n: " ".join(rng.choice(words[: rng.choice([2, 4, 6])]) for _ in range(n))
+    items = [(k, text(rng.randrange(1, 24))) for k in range(25)] + [(None, text(9)), (3, text(8)), (7, None), (8, "")]
+    rows = [(k, text(rng.randrange(0, 50))) for k in range(25)] + [(5, None), (None, items[0][1]), (6, items[1][1]), (6, items[1][1])]
+    want = Counter()
+    for (i, t), (k, x) in itertools.product(rows, items):
+        item = (x or "").split()
+        if item and (n := covered((t or "").split(), item)) >= 0.5 * len(item):
+            want[i, k, len(item), n] += 1
+    columns = "item_id long, text string, coverage string"
+    bench = spark.createDataFrame([(*x, "c") for x in items], columns)
+    docs = spark.createDataFrame([(*x, "c", 1) for x in rows], "doc_id long, text string, item_id string, coverage int")
+    got = decontam.leaks(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id, r.item_words, r.matched_words) for r in got) == want
+    bad = {(i, t) for (i, t), (k, x) in itertools.product(rows, items) if (x or "").split() and covered((t or "").split(), x.split()) >= 0.5 * len(x.split())}
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(x for x in rows if x not in bad)
+
+
+def test_tiling_of_long_repetitive_texts():
+    text, item = b"yes no " * 100_000, b"yes no " * 300
+    assert decontam.tiled(text, item, 5) == [(0, 0, 600)]
+    half = b"x " + b"yes no " * 60_000 + b"yes yes " * 9
+    got = decontam.tiled(half, b"yes no yes yes yes yes yes", 5)
+    assert sum(t[2] for t in got) == 7
+
+
 def test_tiles_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):
         a, b = [[rng.randrange(3) for _ in range(rng.randrange(4, 16))] for _ in range(2)]
-        hits = [(i, j) for i in range(len(a) - 1) for j in range(len(b) - 1) if a[i : i + 2] == b[j : j + 2]]
         text, item, want = set(), set(), []
         while True:
             best = None
@@ -103,7 +149,7 @@ def test_tiles_against_brute_force():
             want.append((i, j, n))
             text |= set(range(i, i + n))
             item |= set(range(j, j + n))
-        assert decontam.tiles(hits, 2) == sorted(want)
+        assert decontam.tiles(np.array(a) + 1, np.array(b) + 1, 2) == sorted(want)
 
 
 # ---------------------------------------------------------------- 2
