@@ -5,6 +5,11 @@ split of a token into two tokens, with the token's rank.  The pieces of its text
 become token-position rows; a recursive query joins them to the merge table and contracts each piece's
 leftmost pair of least rank until no pair is left.  Decoding joins token ids to the vocabulary's bytes
 and aggregates them in order.
+
+Long pieces go through the same query as overlapping windows, so that rows stay in proportion to the
+piece.  Tokens are what BPE makes of a text if and only if each two neighbours are what it makes of their
+joint bytes; so where two windows share a token, the one's tokens up to it and the other's after it are
+those of both together.  Windows that share none are contracted anew from a token of the one before.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ from .blocks import chunks, texts_of
 
 #: Pieces whose tokens a worker remembers, at most; beyond it starts anew.
 REMEMBERED = 400_000
-#: A piece of n bytes has at most n * n / 2 rows over all steps of a recursion: the sum of n * n in one
-#: query, and the bytes of a piece beyond which the steps replace each other in a table instead.
-BATCH, LONG = 3_000_000, 512
+#: A piece of n bytes has at most n * n / 2 rows over all steps of a recursion: the sum of n * n in one query.
+BATCH = 3_000_000
+#: Pieces beyond ``WINDOW`` bytes are contracted as windows that begin every ``STRIDE`` bytes and overlap by twice
+#: ``HALO``.  The stride is a multiple of many numbers, so that windows of text with a short period agree.
+STRIDE, HALO = 120, 40
+WINDOW = STRIDE + 2 * HALO
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -56,33 +64,6 @@ WITH RECURSIVE step AS (
 SELECT s.w, s.tok FROM step s JOIN ended e ON s.w = e.w AND s.n = e.n ORDER BY s.w, s.pos
 """
 
-#: One step over long pieces: all pairs of least rank of a piece at once, the leftmost of any that
-#: overlap.  No pair that such a merge makes ranks lower, so this is what one pair at a time gives.
-STEP = """
-CREATE OR REPLACE TEMP TABLE now AS
-WITH best AS (
-  SELECT w, min(rank) AS rank FROM now WHERE rank IS NOT NULL GROUP BY w
-), hit AS (
-  SELECT c.w, c.pos, c.npos, CASE WHEN lag(c.npos) OVER (PARTITION BY c.w ORDER BY c.pos) = c.pos THEN 0 ELSE 1 END AS head
-  FROM now c JOIN best b ON c.w = b.w AND c.rank = b.rank
-), run AS (
-  SELECT w, pos, npos, sum(head) OVER (PARTITION BY w ORDER BY pos) AS run FROM hit
-), pick AS (
-  SELECT w, pos, npos FROM run QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY pos) % 2 = 1
-), left_over AS (
-  SELECT c.w, c.pos, CASE WHEN p.pos IS NULL THEN c.tok ELSE c.rank END AS tok
-  FROM now c LEFT JOIN pick p ON c.w = p.w AND c.pos = p.pos
-  WHERE NOT EXISTS (FROM pick g WHERE g.w = c.w AND g.npos = c.pos)
-), linked AS (
-  SELECT w, pos, tok, lead(pos) OVER q AS npos, lead(tok) OVER q AS ntok FROM left_over WINDOW q AS (PARTITION BY w ORDER BY pos)
-)
-SELECT x.*, m.rank FROM linked x LEFT JOIN merges m ON m.a = x.tok AND m.b = x.ntok
-"""
-START = """
-CREATE OR REPLACE TEMP TABLE now AS
-SELECT s.*, m.rank FROM start s LEFT JOIN merges m ON m.a = s.tok AND m.b = s.ntok
-"""
-
 DECODE = """
 SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM toks t JOIN vocabulary v ON v.id = t.id GROUP BY t.doc
 """
@@ -109,6 +90,9 @@ class Coder:
             for k in range(1, len(t))
             if t[:k] in self.ranks and t[k:] in self.ranks
         ]
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for t, rank in self.ranks.items():
+            self.sizes[rank] = len(t)
         self.merges = pa.table(list(np.array(pairs, np.int32).T), names=["a", "b", "rank"])
         self.vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self.db = None
@@ -138,42 +122,67 @@ class Coder:
         last[ends - 1] = True
         rows = {"w": w, "pos": pos, "tok": tok, "npos": pa.array(pos + 1, mask=last), "ntok": pa.array(np.append(tok[1:], 0), pa.int32(), mask=last)}
         self.db.register("start", pa.table(rows))
-        if sizes.max() <= LONG:
-            found = self.db.execute(ENCODE).fetchnumpy()
-        else:
-            self.db.execute(START)
-            while self.db.execute("SELECT count(rank) FROM now").fetchone()[0]:
-                self.db.execute(STEP)
-            found = self.db.execute("SELECT w, tok FROM now ORDER BY w, pos").fetchnumpy()
-            self.db.execute("DROP TABLE now")
+        found = self.db.execute(ENCODE).fetchnumpy()
         self.db.unregister("start")
         bounds = np.searchsorted(found["w"], np.arange(len(pieces) + 1))
         return np.asarray(found["tok"], np.int32), bounds.tolist()
 
+    def contracted(self, pieces: list[bytes]):
+        """The tokens of each piece, in batches of a bounded number of rows; lengths should be about ascending."""
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end]) ** 2 <= BATCH):
+                size += len(pieces[end]) ** 2
+                end += 1
+            flat, bounds = self._contract(pieces[at:end])
+            yield from (flat[i:j] for i, j in zip(bounds, bounds[1:]))
+            at = end
+
+    def long(self, data: bytes) -> np.ndarray:
+        """The tokens of a long piece: those of its windows, joined at tokens that two of them share."""
+        spans = [(max(0, a - HALO), min(len(data), a + STRIDE + HALO)) for a in range(0, len(data), STRIDE)]
+        texts = sorted({data[a:b] for a, b in spans}, key=len)
+        of = dict(zip(texts, self.contracted(texts)))
+        ends = lambda a, toks: a + np.cumsum(self.sizes[toks])
+        done: list[np.ndarray] = []  # settled tokens; own and until are those that the next window may change
+        own = of[data[: spans[0][1]]]
+        until = ends(0, own)
+        for a, b in spans[1:]:
+            toks = of[data[a:b]]
+            while not self._joined(done, own, until, toks, to := ends(a, toks)):
+                back = max(2 * HALO, int(until[-1]) - a)  # begins at a token of what there is, farther back each time
+                k = max(0, int(np.searchsorted(until, until[-1] - back)) - 1)
+                if k == 0 and done:
+                    head = done.pop()
+                    until = np.concatenate((until[0] - self.sizes[own[0]] - np.cumsum(self.sizes[head][::-1])[::-1] + self.sizes[head], until))
+                    own = np.concatenate((head, own))
+                a = int(until[k]) if k else int(until[0] - self.sizes[own[0]])
+                toks = next(self.contracted([data[a:b]]))
+            own, until = toks[self.kept :], to[self.kept :]
+        return np.concatenate([*done, own])
+
+    def _joined(self, done: list[np.ndarray], own: np.ndarray, until: np.ndarray, toks: np.ndarray, to: np.ndarray) -> bool:
+        """Whether both have a token in common; then ``done`` gets what is before it, and ``kept`` is its place."""
+        _, i, j = np.intersect1d(until << 20 | self.sizes[own], to << 20 | self.sizes[toks], return_indices=True)
+        if len(i):
+            done.append(own[: i[0]])
+            self.kept = int(j[0])
+        return len(i) > 0
+
     def learn(self, pieces: set[str]) -> None:
         """Tokens of pieces that are not known yet; a piece that is a token is that token."""
         todo: list[tuple[str, bytes]] = []
-        size = 0
-
-        def flush():
-            if todo:
-                flat, at = self._contract([data for _, data in todo])
-                words = list(map(str, flat.tolist()))
-                for (piece, _), i, j in zip(todo, at, at[1:]):
-                    self.known[piece] = ",".join(words[i:j])
-                todo.clear()
-
         for piece in sorted(pieces, key=len):
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
                 self.known[piece] = str(rank)
-                continue
-            if todo and size + len(data) ** 2 > BATCH:
-                flush()
-                size = 0
-            todo.append((piece, data))
-            size += len(data) ** 2
-        flush()
+            elif len(data) > WINDOW:
+                self.known[piece] = ",".join(map(str, self.long(data).tolist()))
+            else:
+                todo.append((piece, data))
+        for (piece, _), toks in zip(todo, self.contracted([data for _, data in todo])):
+            self.known[piece] = ",".join(map(str, toks.tolist()))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids of each text, and the same joined by commas."""
