@@ -29,25 +29,37 @@ def quoted(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def running(values: Column) -> Column:
+    """Before each of the values, the sum of those in front of it; one more for the sum of all."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda a, v: F.array_append(a, F.element_at(a, -1) + v))
+
+
+def starts(parts: Column, found: Column) -> Column:
+    """Where each of the found texts begins, given what stands between them."""
+    steps = F.transform(found, lambda m, i: F.length(F.get(parts, i + 1)) + F.length(m))
+    return F.transform(running(steps), lambda x: x + F.length(F.get(parts, F.lit(0))))
+
+
 def find_all(text: Column, pattern: str, *groups: int) -> Column:
     """Array of (text, start, end, g1, ...) of all matches; a group that took no part is null."""
 
     def place(pair: Column) -> Column:
-        parts, found = pair["p"], pair["m"]
-        lengths = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, y: a + F.length(y))
-
         def one(m: Column, i: Column) -> Column:
-            start = lengths(parts, i + 1) + lengths(found, i)
+            start = F.get(pair["s"], i)
             own = [F.nullif(F.get(pair[f"g{g}"], i), F.lit("")).alias(f"g{g}") for g in groups]
             return F.struct(m.alias("text"), start.alias("start"), (start + F.length(m)).alias("end"), *own)
 
-        return F.transform(found, one)
+        return F.transform(pair["m"], one)
+
+    def placed(pair: Column) -> Column:
+        return F.struct(starts(pair["p"], pair["m"]).alias("s"), pair["m"].alias("m"), *[pair[f"g{g}"].alias(f"g{g}") for g in groups])
 
     every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     pair = F.struct(
         F.split(text, pattern, -1).alias("p"), every(0).alias("m"), *[every(g).alias(f"g{g}") for g in groups]
     )
-    return let(pair, place)
+    none = F.array().cast(f"array<struct<text:string,start:int,end:int{''.join(f',g{g}:string' for g in groups)}>>")
+    return F.when(text.rlike(pattern), let(pair, lambda p: let(placed(p), place))).otherwise(none)
 
 
 # ---------------------------------------------------------------- sections
@@ -62,9 +74,11 @@ def is_header(text: Column) -> Column:
 def classify(header: Column) -> Column:
     """The section kind of a header; null is UNKNOWN."""
     out = F.when(header.isNull(), "UNKNOWN").when(header.isin(*V.PROSE), "PROSE").when(header.isin(*V.JURISDICTIONS), "SANCTIONS")
-    for kind, hints in V.HEADER_HINTS:
-        out = out.when(header.rlike(quoted(hints)), kind)
-    return out.otherwise("UNKNOWN")
+    hint = F.lit(None).cast("string")
+    for kind, hints in V.HEADER_HINTS[::-1]:
+        hint = F.when(header.rlike(quoted(hints)), kind).otherwise(hint)
+    known = F.when(header.rlike(quoted(w for _, hints in V.HEADER_HINTS for w in hints)), hint)
+    return out.otherwise(F.coalesce(known, F.lit("UNKNOWN")))
 
 
 def parseable(header: Column, kind: Column) -> Column:
@@ -77,9 +91,13 @@ def sections(text: Column) -> Column:
     def cut(pair: Column) -> Column:
         heads, whole = pair["h"], pair["t"]
         size = F.length(whole)
-        section = lambda header, a, b: F.struct(
-            header.cast("string").alias("header"), F.substring(whole, a + 1, b - a).alias("body"), a.cast("int").alias("start"), classify(header.cast("string")).alias("kind"),
-        )
+
+        def section(header: Column, a: Column, b: Column) -> Column:
+            own = lambda h: F.struct(
+                h.alias("header"), F.substring(whole, a + 1, b - a).alias("body"), a.cast("int").alias("start"), classify(h).alias("kind"),
+            )
+            return let(header.cast("string"), own)
+
         first = F.coalesce(F.get(heads, F.lit(0))["start"], size)
         lead = F.when(first > 0, F.array(section(F.lit(None), F.lit(0), first))).otherwise(F.array().cast("array<struct<header:string,body:string,start:int,kind:string>>"))
         rest = F.transform(heads, lambda h, i: section(trimmed(h["g1"]), h["end"], F.coalesce(F.get(heads, i + 1)["start"], size)))
@@ -133,11 +151,17 @@ def like_month(text: Column) -> Column:
 
 def action(text: Column) -> Column:
     """(type, phrase) of a verb: of the first phrase of the vocabulary that it contains."""
-    v = trimmed(F.lower(text))
-    pairs = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(p).alias("phrase")) for t, ps in V.ACTIONS for p in ps])
-    none = F.struct(F.lit("UNCLASSIFIED").alias("type"), F.lit(None).cast("string").alias("phrase"))
-    usable = v.isNotNull() & (v != "") & ~like_month(v)
-    return F.when(usable, F.coalesce(F.get(F.filter(pairs, lambda p: F.contains(v, p["phrase"])), F.lit(0)), none)).otherwise(none)
+    pairs = [(t, p) for t, ps in V.ACTIONS for p in ps]
+    act = lambda t, p: F.struct(F.lit(t).alias("type"), F.lit(p).cast("string").alias("phrase"))
+    known = F.array(*[act(t, p) for t, p in pairs], act("UNCLASSIFIED", None))
+
+    def of(v: Column) -> Column:
+        found = F.when(v.isNull() | (v == "") | like_month(v), len(pairs))
+        for k, (_, phrase) in enumerate(pairs):  # ends at the first that fits
+            found = found.when(F.contains(v, F.lit(phrase)), k)
+        return F.get(known, found.otherwise(len(pairs)))
+
+    return let(trimmed(F.lower(text)), of)
 
 
 def action_rule(act: Column) -> Column:
@@ -284,8 +308,8 @@ NAMES = "array<struct<name_type:string,value:string,parser:string,rule:string,st
 
 def _while_few(groups: Column, most: int) -> Column:
     """All of the groups' items, but of no group before which ``most`` were found."""
-    before = lambda i: F.aggregate(F.slice(groups, F.lit(1), i), F.lit(0), lambda a, g: a + F.size(g))
-    return F.flatten(F.filter(groups, lambda g, i: before(i) < most))
+    before = running(F.transform(groups, F.size))
+    return F.flatten(let(before, lambda n: F.filter(groups, lambda g, i: F.get(n, i) < most)))
 
 
 def marked_names(s: Column, parser: Column) -> Column:

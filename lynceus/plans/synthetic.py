@@ -27,7 +27,11 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uid, category, narrative): customers with their orders' sections, in order of order key."""
+    """(uid, category, narrative): customers with their orders' sections, in order of order key.
+
+    They are small to shuffle and costly to parse, so they are spread by uid over as many partitions as
+    shuffles have, which adaptive execution would make one of.
+    """
     orders, customers = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
     key = F.col("o_orderkey")
     verb = F.when(key % 7 == 0, "noted without effect")
@@ -37,16 +41,17 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("["), _pick(key % 6, HEADERS), F.lit("] "), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - "), verb, F.lit(". PRIMARY NAME: Holder "),
         F.element_at(F.array(*map(F.lit, NAMES)), (key % len(NAMES) + 1).cast("int")), F.lit(" DOB: 1970. SDN Ref No "), key.cast("string"), F.lit("; Passport No P"), ((key + 1) * 7919).cast("string"), F.lit(". "),
     )
-    told = orders.select("o_custkey", F.struct("o_orderkey", piece.alias("piece")).alias("p")).groupBy("o_custkey")
-    joined = told.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "").alias("orders"))
+    pieces = orders.select("o_custkey", F.struct("o_orderkey", piece.alias("piece")).alias("p")).groupBy("o_custkey")
+    joined = pieces.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "").alias("orders"))
     share = F.concat(F.lit("[DIRECT SHAREHOLDER/S] Ministry of Segment (SOE) ("), (F.col("c_custkey") % 90 + 10).cast("string"), F.lit(",5%). "))
     bare = F.lit("[STATE OWNED] Holding Group (unknown percentage). ")
     owned = F.when(F.col("c_custkey") % 3 == 0, share).when(F.col("c_custkey") % 3 == 1, bare).otherwise("")
-    return customers.join(joined, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    told = customers.join(joined, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("uid"),
         F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("category"),
         F.concat(owned, F.coalesce("orders", F.lit(""))).alias("narrative"),
     )
+    return told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
 
 
 #: Surnames of principals, by order key.
