@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, urlrules
+from . import licenses, urlrules, warc
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 
@@ -92,23 +92,24 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0
 """
 
 CRLF = "chr(13) || chr(10)"
-_REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+NAMES = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in warc.NAMED.items()) + "}"
 
 
 def _decoded(x: str) -> str:
-    for name, value in _REFERENCES:
-        x = f"replace({x}, {quoted(name)}, {quoted(value)})"
-    return x
+    """Each reference looked up once; what HTML does not know stays."""
+    code = "CASE WHEN r[2] IN ('x', 'X') THEN ('0x' || r[3:])::BIGINT ELSE r[2:]::BIGINT END"
+    number = f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(({code})::INT) ELSE chr(65533) END"
+    one = f"CASE WHEN r[1] = '#' THEN {number} ELSE coalesce(names[r], '&' || r || ';') END"
+    found = f"[{one} for r in regexp_extract_all({x}, {quoted(warc.REFERENCE)}, 1)]"
+    return f"list_reduce(list_concat([''], list_transform(list_zip(regexp_split_to_array({x}, {quoted(warc.REFERENCE)}), list_append({found}, '')), lambda z: z[1] || z[2])), lambda a, b: a || b)"
 
 
 def _urn(*parts: str) -> str:
     h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
-    return f"'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12)) || '>'"
+    return f"'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), '8' || substr({h}, 14, 3), '8' || substr({h}, 18, 3), substr({h}, 21, 12)) || '>'"
 
 
 def _text(x: str) -> str:
-    from . import warc
-
     out = f"regexp_replace(regexp_replace({x}, {quoted(warc.UNSEEN)}, '', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')"
     out = f"regexp_replace(regexp_replace({out}, {quoted(warc.BREAKS)}, chr(10), 'g'), '<[^>]*>', '', 'g')"
     out = f"regexp_replace({_decoded(out)}, ' *\\n[ \\n]*', chr(10), 'g')"
@@ -118,12 +119,13 @@ def _text(x: str) -> str:
 WARC = f"""
 WITH r AS (
   SELECT page_id, url, coalesce(html, '') AS payload, {_urn("'response'", "page_id::VARCHAR", "coalesce(url, '')", "coalesce(html, '')")} AS response,
-    'HTTP/1.1 200 OK' || {CRLF} || 'Content-Type: text/html; charset=utf-8' || {CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) AS headers FROM pages
+    'HTTP/1.1 200 OK' || {CRLF} || 'Content-Type: text/html; charset=utf-8' || {CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) AS headers,
+    {NAMES} AS names FROM pages
 ), i AS (
   SELECT *, {_urn("'metadata'", "response")} AS meta_id, {_urn("'conversion'", "response")} AS text_id,
     list_concat(list_concat(['title: ' || trim({_decoded("regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t\\r\\n\\f]+', ' ', 'g')")})],
       ['source-Content-Type: text/html; charset=utf-8', 'source-Content-Length: ' || strlen(payload)]),
-      ['outlink: ' || {_decoded("x")} for x in regexp_extract_all(payload, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)]) AS lines FROM r
+      ['outlink: ' || {_decoded("x")} for x in [CASE WHEN y[1] IN ('"', chr(39)) THEN y[2:-2] ELSE y END for y in regexp_extract_all(payload, {quoted(warc.LINK)}, 1)]]) AS lines FROM r
 ), both_ AS (
   SELECT *, 'metadata' AS warc_type, meta_id AS record_id, text_id AS concurrent_to, 'application/warc-fields' AS content_type, array_to_string(lines, {CRLF}) || {CRLF} AS block FROM i
   UNION ALL SELECT *, 'conversion', text_id, meta_id, 'text/plain; charset=utf-8', {_text("payload")} FROM i
@@ -132,7 +134,7 @@ WITH r AS (
 )
 SELECT page_id, warc_type, record_id, response AS refers_to, concurrent_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, content_length, block_digest, payload_digest, headers AS source_headers,
   sha256('WARC/1.1' || {CRLF} || 'WARC-Type: ' || warc_type || {CRLF} || 'WARC-Record-ID: ' || record_id || {CRLF} || 'WARC-Refers-To: ' || response || {CRLF} || 'WARC-Concurrent-To: ' || concurrent_to || {CRLF}
-    || coalesce('WARC-Target-URI: ' || url || {CRLF}, '') || 'WARC-Date: 2024-01-01T00:00:00Z' || {CRLF} || 'WARC-Payload-Digest: ' || payload_digest || {CRLF} || 'WARC-Block-Digest: ' || block_digest || {CRLF}
+    || coalesce('WARC-Target-URI: ' || replace(replace(replace(replace(url, ' ', '%20'), chr(9), '%09'), chr(13), '%0D'), chr(10), '%0A') || {CRLF}, '') || 'WARC-Date: 2024-01-01T00:00:00Z' || {CRLF} || 'WARC-Payload-Digest: ' || payload_digest || {CRLF} || 'WARC-Block-Digest: ' || block_digest || {CRLF}
     || 'Content-Type: ' || content_type || {CRLF} || 'Content-Length: ' || content_length || {CRLF}) AS header_sha256
 FROM m
 """

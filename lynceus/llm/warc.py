@@ -7,20 +7,38 @@ a rerun after a lost executor gives the same ones.  All is done by SQL functions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import html5
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: References that are decoded in titles, links and texts, in this order.
-REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+VERSION = "WARC/1.1" + CRLF
+#: References in text: decimal, hexadecimal, named; and the characters of the named ones, as HTML defines them.
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
+LINK = r"(?i)<a[ \t\r\n\f](?:[^>]*?[ \t\r\n\f])?href[ \t\r\n\f]*=[ \t\r\n\f]*(\"[^\"]*\"|'[^']*'|[^ \t\r\n\f\"'>]+)"
 UNSEEN = r"(?is)<!--.*?-->|<(?:script|style|title)\b[^>]*>.*?</(?:script|style|title)\s*>"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|main|form|body|html|blockquote|pre)\b[^>]*>"
 
 
+def _character(reference: Column) -> Column:
+    """What a reference (without & and ;) stands for; null for a name that HTML does not know."""
+    hexadecimal = F.conv(F.substring(reference, 3, 6), 16, 10)
+    code = F.when(reference.rlike("^#[xX]"), hexadecimal).otherwise(F.substring(reference, 2, 7)).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    usual = F.when(reference == "nbsp", " ").when(reference == "amp", "&").when(reference == "quot", '"').when(reference == "lt", "<").when(reference == "gt", ">")
+    return F.when(reference.startswith("#"), number).otherwise(F.coalesce(usual, F.try_element_at(names, reference)))
+
+
 def decoded(text: Column) -> Column:
-    for name, value in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """The text with each reference replaced once; one that HTML does not know stays as it stands."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    one = lambda r: F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";")))
+    after = F.array_append(F.transform(found, one), F.lit(""))
+    return F.when(text.contains("&"), F.array_join(F.zip_with(F.split(text, REFERENCE, -1), after, lambda p, r: F.concat(p, r)), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -37,9 +55,9 @@ def digest(text: Column) -> Column:
 
 
 def urn(*parts: Column) -> Column:
-    """A name-based record id."""
+    """A name-based record id: a UUID of version 8 and variant 8 with what is left of an MD5."""
     h = F.md5(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]))
-    cuts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    cuts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
@@ -59,11 +77,12 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def derivatives(source: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Two rows for each response: id, warc_type, record_id, refers_to, concurrent_to, target_uri, warc_date,
-    content_type, content_length, block_digest, payload_digest, source_headers, header, block.
+    content_type, content_length, block_digest, payload_digest, source_headers, header, block, record.
 
-    ``header`` and ``block`` are the record as it stands in a file.  The metadata block has a field for
-    the title, one for each source header and one for each link; the conversion block is the page's text.
-    A null payload or header is empty; a null target leaves its header line out; rows that repeat give
+    ``record`` is the whole record as it stands in a file: header, an empty line, block and two line ends.
+    The metadata block has a field for the title, one for each source header and one for each link; the
+    conversion block is the page's text.  White space in a target is percent-encoded in the header, so that
+    no line breaks.  A null payload or header is empty; a null target leaves its header line out; rows that repeat give
     records that repeat, with the same ids; an empty table gives an empty table.
     """
     none = F.lit("")
@@ -73,7 +92,9 @@ def derivatives(source: DataFrame, id_col: str = "page_id") -> DataFrame:
     )
     field = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
     title = F.trim(decoded(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\r\n\f]+", " ")))
-    links = F.regexp_extract_all("payload", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    links = F.transform(
+        F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    )
     headers = F.filter(F.split("http_headers", CRLF), lambda x: x.contains(": "))
     lines = F.concat(
         F.array(F.concat(F.lit("title: "), title)),
@@ -97,17 +118,45 @@ def derivatives(source: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"),
         "payload_digest", "source_headers", "r.block",
     )
+    uri = F.col("target_uri")
+    for blank, code in ((" ", "%20"), ("\t", "%09"), ("\r", "%0D"), ("\n", "%0A")):
+        uri = F.replace(uri, F.lit(blank), F.lit(code))
     header = F.concat(
-        F.lit("WARC/1.1" + CRLF),
+        F.lit(VERSION),
         field("WARC-Type", F.col("warc_type")),
         field("WARC-Record-ID", F.col("record_id")),
         field("WARC-Refers-To", F.col("refers_to")),
         field("WARC-Concurrent-To", F.col("concurrent_to")),
-        F.when(F.col("target_uri").isNotNull(), field("WARC-Target-URI", F.col("target_uri"))).otherwise(none),
+        F.when(F.col("target_uri").isNotNull(), field("WARC-Target-URI", uri)).otherwise(none),
         field("WARC-Date", F.col("warc_date")),
         field("WARC-Payload-Digest", F.col("payload_digest")),
         field("WARC-Block-Digest", F.col("block_digest")),
         field("Content-Type", F.col("content_type")),
         field("Content-Length", F.col("content_length").cast("string")),
     )
-    return out.withColumn("header", header).select(*[c for c in out.columns if c != "block"], "header", "block")
+    out = out.withColumn("header", header).select(*[c for c in out.columns if c != "block"], "header", "block")
+    return out.withColumn("record", F.concat("header", F.lit(CRLF), "block", F.lit(CRLF + CRLF)))
+
+
+def write_records(made: DataFrame, path: str) -> None:
+    """The records, one after the other, in a file for each partition."""
+    made.select(F.expr("substring(record, 1, length(record) - 4)").alias("record")).write.option("lineSep", CRLF + CRLF).text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(warc_type, record_id, refers_to, target_uri, content_length, headers, block, whole) of written records.
+
+    Files are split between tasks where one record ends and the next begins; ``whole`` tells whether the
+    block has the length that its header states.
+    """
+    rows = spark.read.option("lineSep", CRLF + CRLF + VERSION).text(path)
+    text = F.regexp_replace("value", "^" + VERSION, "")
+    rows = rows.select(F.split(F.regexp_replace(text, "(" + CRLF + "){2}$", ""), CRLF + CRLF, 2).alias("r")).filter(F.size("r") == 2)
+    lines = F.transform(F.split(F.col("r")[0], CRLF), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("name"), F.regexp_replace(x, "^[^:]*: ?", "").alias("value")))
+    rows = rows.select(lines.alias("headers"), F.col("r")[1].alias("block"))
+    of = lambda name: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
+    length = of("content-length").cast("long")
+    return rows.select(
+        of("warc-type").alias("warc_type"), of("warc-record-id").alias("record_id"), of("warc-refers-to").alias("refers_to"),
+        of("warc-target-uri").alias("target_uri"), length.alias("content_length"), "headers", "block", (F.octet_length("block") == length).alias("whole"),
+    )

@@ -169,6 +169,40 @@ def test_warc_links_and_digests(spark):
     assert "title: T & U\r\n" in fields and "outlink: /y\r\n" in fields and "source-Content-Type: text/html" in fields
 
 
+def test_warc_references_links_and_records(spark, tmp_path):
+    page = (
+        "<title>A &eacute;&#8217;&#x27; &mdash; &nope; B</title><p>x &amp;lt; y &copy; &#0;</p>"
+        "<a class=k href='/one two'>1</a><A HREF = \"/two?a=1&amp;b\">2</A><a\nhref=/three>3</a><a data-href=\"/no\">4</a>"
+    )
+    pages = [(1, "http://a.example/x y\r\nEvil: 1", page), (2, None, None), (2, None, None), (3, "http://b.example/", "<p>" + "long text. " * 40_000)]
+    docs = spark.createDataFrame([(*x, "clash", "clash") for x in pages], "page_id long, url string, html string, record_id string, block string")
+    made = warc.derivatives(warc.responses(docs)).cache()
+    meta = made.filter("page_id = 1 and warc_type = 'metadata'").first()
+    lines = meta.block.split("\r\n")
+    assert lines[0] == "title: A é’' — &nope; B"
+    assert [x for x in lines if x.startswith("outlink")] == ["outlink: /one two", "outlink: /two?a=1&b", "outlink: /three"]
+    text = made.filter("page_id = 1 and warc_type = 'conversion'").first()
+    assert text.block.split("\n")[0] == "x &lt; y © \ufffd" and "WARC-Target-URI: http://a.example/x%20y%0D%0AEvil:%201\r\n" in text.header
+    uuid = re.compile(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}>")
+    assert all(uuid.fullmatch(r.record_id) for r in made.collect())
+    warc.write_records(made, str(tmp_path / "out"))
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "out").glob("part-*"))
+    found, at = Counter(), 0
+    while at < len(raw):  # a reader that goes by the stated lengths
+        end = raw.index(b"\r\n\r\n", at)
+        head = dict(x.split(": ", 1) for x in raw[at:end].decode().split("\r\n")[1:])
+        size = int(head["Content-Length"])
+        block = raw[end + 4 : end + 4 + size]
+        assert raw[at : at + 10] == b"WARC/1.1\r\n" and raw[end + 4 + size : end + 8 + size] == b"\r\n\r\n"
+        assert head["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        found[head["WARC-Record-ID"], block.decode()] += 1
+        at = end + 8 + size
+    assert found == Counter((r.record_id, r.block) for r in made.collect())
+    back = warc.read_records(spark, str(tmp_path / "out")).collect()
+    assert all(r.whole for r in back) and Counter((r.record_id, r.block) for r in back) == found
+    assert warc.derivatives(warc.responses(docs.limit(0))).count() == 0
+
+
 # ---------------------------------------------------------------- 3
 
 
