@@ -6,8 +6,9 @@ shares; a bidirectional LSTM in numpy reads the page's blocks in order from both
 as main text or not, so that a block's label draws on the whole document.
 
 The labeller is trained here, on a bounded sample of the given pages whose semantic elements label
-them, and on the same pages' texts set in other layouts, where the element names are replaced by
-classes and other boilerplate stands around; it starts from a fixed seed.
+them, and on the same pages' texts set in other layouts, whose labels come from how they are made: the
+element names are replaced by classes, in a third of them by classes without a meaning, and other
+boilerplate stands around.  It starts from a fixed seed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .words import Words
 
 #: Pages that the labeller is trained on, at most, and how often each is laid out anew.
 SAMPLE, LAYOUTS = 240, 3
+#: Share of the layouts in which no element or class name tells what a block is.
+OPAQUE = 0.35
 HIDDEN, PATH, TERMS, SHARES = 12, 48, 16, 4
 WIDTH = PATH + TERMS + SHARES
 CELL = 3.0
@@ -166,7 +169,7 @@ class Labeller:
         for way in "fb":
             self.w |= {f"x{way}": draw(WIDTH, 4 * HIDDEN), f"h{way}": draw(HIDDEN, 4 * HIDDEN), f"b{way}": np.zeros(4 * HIDDEN, np.float32)}
             self.w[f"b{way}"][HIDDEN : 2 * HIDDEN] = 1  # forget gates begin open
-        self.w |= {"o": draw(2 * HIDDEN, 1), "p": draw(PATH, 1), "c": np.zeros(1, np.float32)}
+        self.w |= {"o": draw(2 * HIDDEN, 1), "c": np.zeros(1, np.float32)}
 
     def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool):
         n, steps, _ = x.shape
@@ -189,16 +192,16 @@ class Labeller:
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, way, False)[0] for way in "fb"], axis=2)
-        return (both @ self.w["o"] + x[:, :, :PATH] @ self.w["p"] + self.w["c"])[:, :, 0]
+        return (both @ self.w["o"] + self.w["c"])[:, :, 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         runs = {way: self._run(x, mask, way, True) for way in "fb"}
         both = np.concatenate([runs[way][0] for way in "fb"], axis=2)
-        z = (both @ self.w["o"] + x[:, :, :PATH] @ self.w["p"] + self.w["c"])[:, :, 0]
+        z = (both @ self.w["o"] + self.w["c"])[:, :, 0]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss = float(-(np.log(np.where(y, p, 1 - p) + 1e-7) * mask).sum() / mask.sum())
         d = ((p - y) * mask / mask.sum()).astype(np.float32)[:, :, None]
-        grad = {"o": np.einsum("nth,nto->ho", both, d), "p": np.einsum("nth,nto->ho", x[:, :, :PATH], d), "c": d.sum((0, 1))}
+        grad = {"o": np.einsum("nth,nto->ho", both, d), "c": d.sum((0, 1))}
         back = d @ self.w["o"].T
         for k, way in enumerate("fb"):
             dh_out = back[:, :, k * HIDDEN : (k + 1) * HIDDEN]
@@ -262,25 +265,30 @@ def layout(texts: list[str], titles: list[str], rng: np.random.Generator) -> tup
     pick = lambda *x: x[rng.integers(len(x))]
     text = lambda: titles[rng.integers(len(titles))]
     page, labels = ["<html><head><title>t</title></head><body>"], []
+    opaque = rng.random() < OPAQUE
+    code = lambda: "".join(pick(*"bcdfghjklmnpqrstvwxz") for _ in range(int(rng.integers(3, 8))))
 
     def put(opening: str, closing: str, inner: list[str], label: bool):
         page.append(opening)
         for x in inner:
             tag = pick("p", "p", "p", "h2", "blockquote", "li") if label else pick("p", "p", "div", "li")
-            page.append(f"<{tag}>{html.escape(x, quote=False)}</{tag}>")
+            x = html.escape(x, quote=False)
+            page.append(f"<{tag}>" + (x if label or rng.random() < 0.4 else f'<a href="/x">{x}</a>') + f"</{tag}>")
             labels.append(label)
         page.append(closing)
 
     def aside(kinds: str):
         kind = pick(*kinds.split())
         tag = kind if kind in ("nav", "header", "footer", "aside", "form") else pick("div", "section", "ul")
+        if opaque:
+            return put(f'<div class="{code()}">', "</div>", [text()[: int(rng.integers(8, 40))] or "x" for _ in range(rng.integers(2, 7))], False)
         mark = "" if tag == kind and rng.random() < 0.6 else f' {pick("class", "id")}="{pick("", "site-", "main-") if rng.random() < 0.3 else ""}{kind}"'
         put(f"<{tag}{mark}>", f"</{tag}>", [text()[: int(rng.integers(8, 90))] or "x" for _ in range(rng.integers(1, 6))], False)
 
     for _ in range(rng.integers(1, 4)):
         aside("nav header menu ad cookie notice banner breadcrumb search")
     kind = pick("article", "article", "main", "div.content", "div.post", "div.entry", "section.article", "div.story", "div.main", "div.body", "td.text")
-    tag, _, name = kind.partition(".")
+    tag, _, name = ("div." + code() if opaque else kind).partition(".")
     page.append(f"<{tag}" + (f' {pick("class", "id")}="{name}{pick("", "-body", "-text")}"' if name else "") + ">")
     if rng.random() < 0.7:
         page.append(f"<h1>{html.escape(text(), quote=False)}</h1>")

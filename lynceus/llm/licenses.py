@@ -35,7 +35,12 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("all rights reserved", "all-rights-reserved"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("boost software license version 1 0 august 17th 2003", "boost"),
+    ("made available under the terms of the eclipse public license which accompanies this distribution", "epl"),
+    ("has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib"),
 )
 
 
@@ -113,6 +118,12 @@ def spans(keyed: DataFrame, templates: DataFrame, drift: int = 2, least: float =
     )
 
 
+def key_of(own_id: Column, text: Column) -> Column:
+    """128 bits of an id and a text, of which either may be null."""
+    parts = [own_id.isNull(), own_id, text.isNull(), text]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(text, own_id, F.lit(4), *parts[::2]).alias("b"))
+
+
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -121,7 +132,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     words; rows that repeat are judged each; null ids are kept; an empty table gives an empty table.
     """
     keyed = docs.select(
-        F.col(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(text_col).alias("text")
+        F.col(id_col), key_of(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(text_col).alias("text")
     )
     joined = lambda labels: F.array_join(F.array_sort(labels), ",")
     base = lambda x: F.when(F.col("whole"), F.col(x))

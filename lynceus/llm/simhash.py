@@ -40,7 +40,7 @@ FAR = 160
 #: Rows that one key is spread over in joins on keys that may be hot.
 SALTS = 8
 #: Pairs that may be left for each row of the buckets before they are paired off; and rounds at most.
-PAIRS_A_ROW, ROUNDS = 4, 8
+PAIRS_A_ROW, ROUNDS = 4, 4
 
 
 def fingerprint_bits(words: list[bytes], size: int = SHINGLE) -> int:
@@ -234,8 +234,9 @@ def verified(buckets: DataFrame, whole: DataFrame, similarity: float) -> DataFra
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
     rows, found = buckets.withColumn("root", F.col("node")), None
     for _ in range(ROUNDS):
-        each = rows.groupBy("sig").agg(F.count("*").alias("k"))
-        size = each.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+        roots = rows.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig")
+        each = roots.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        size = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not size[0] or size[1] <= PAIRS_A_ROW * size[0]:
             break
         hubs = rows.withColumn("hub", F.max(F.struct("weight", "node", "n", "root")).over(bucket))
@@ -248,9 +249,13 @@ def verified(buckets: DataFrame, whole: DataFrame, similarity: float) -> DataFra
         left = left.withColumn("root", F.coalesce("now", "node")).drop("now")
         ends = {"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}
         rows = written(left.withColumns(ends).filter("low < high").drop("low", "high"), "buckets")
-    side = lambda c: rows.select("sig", F.col("node").alias(c), F.col("n").alias(c + "_n"), F.col("root").alias(c + "_root"))
-    met = side("a").join(side("b"), "sig").filter("a < b and a_root <> b_root").filter(fits(F.col("a_n"), F.col("b_n")))
-    last = similar(met.select("a", "b").distinct(), whole, similarity)
+    # pairs of different roots: those outside of a bucket's largest one with all others
+    sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig")
+    rows = rows.join(sizes.agg(F.max_by("root", F.struct("k", "root")).alias("main")), "sig")
+    side = lambda c: rows.select("sig", "main", F.col("node").alias(c), F.col("n").alias(c + "_n"), F.col("root").alias(c + "_root"))
+    met = side("a").filter("a_root <> main").join(side("b").drop("main"), "sig")
+    met = met.filter("a_root <> b_root and (b_root = main or a < b)").filter(fits(F.col("a_n"), F.col("b_n")))
+    last = similar(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), whole, similarity)
     return last if found is None else found.unionByName(last)
 
 

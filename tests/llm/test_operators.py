@@ -569,3 +569,60 @@ def test_labeller_on_held_out_layouts():
         z = model.logits(*extract.padded([extract.vectors([found])]))[0, : len(found)] > 0
         right, total = right + int((z == np.array(truth)).sum()), total + len(truth)
     assert right / total > 0.93
+
+
+#: Pages written by hand, in other layouts than those trained on, and which of their blocks are main text.
+BY_HAND = [
+    (
+        "blog with classes",
+        '<html><body><div class="topbar"><a href="/">Home</a> <a href="/b">Blog</a></div><div class="wrap"><div class="post-body"><h1>On rivers</h1><p>Rivers carry silt to the sea, and over many centuries they build the land on which cities stand today.</p><p>Short one.</p><p>Most of what they carry is fine clay, which stays in the water for days before it settles down.</p></div><div class="sidebar"><ul><li><a href="/1">Older posts</a></li><li><a href="/2">About</a></li></ul></div></div><div class="comments"><p>Nice article, thanks!</p><p>I do not agree at all with this.</p></div><div class="footer">© 2020 Rivers</div></body></html>',
+        [0, 1, 1, 1, 1, 0, 0, 0, 0, 0],
+    ),
+    (
+        "semantic",
+        '<html><body><header><h2>The Daily</h2></header><nav><a href=1>World</a></nav><main><article><h1>Bread prices rise</h1><p>The price of bread rose again in March, the office said on Monday, by four per cent.</p><ul><li>Rye bread</li><li>Wheat bread</li></ul></article></main><aside>Subscribe to our letter</aside><footer>Contact us</footer></body></html>',
+        [0, 0, 1, 1, 1, 1, 0, 0],
+    ),
+    (
+        "opaque names",
+        '<html><body><div class="q1"><a href=1>Start</a><a href=2>News</a></div><div class="z9"><h1>A walk in the hills</h1><p>We left the village before dawn and followed the old road up to the pass, where the snow still lay.</p><p>Later the weather turned, and we went down on the other side in heavy rain without seeing a soul.</p><p>It was dark when we came to the inn.</p></div><div class="k2"><p><a href=4>More walks</a></p><p><a href=5>Maps</a></p></div></body></html>',
+        [0, 1, 1, 1, 1, 0, 0],
+    ),
+    (
+        "table layout",
+        '<table><tr><td><a href=a>Index</a></td><td class="text"><h2>Notes on tin</h2><p>Tin melts at a low heat and was therefore among the first metals that people cast in stone moulds.</p><p>It is rare.</p></td></tr></table><div id="cookie-notice">We use cookies. <button>OK</button></div>',
+        [0, 1, 1, 1, 0, 0],
+    ),
+    (
+        "advert inside",
+        '<div id="content"><h1>Cats</h1><p>Cats sleep for most of the day, as hunters do that live on short and sudden bursts of effort.</p><div class="advert">Buy cat food now</div><p>At night they wake up and walk about the house, to the dismay of those who would rather sleep.</p><form>Search <input> </form></div>',
+        [1, 1, 0, 1, 0],
+    ),
+]
+
+
+def test_labeller_on_pages_by_hand(spark):
+    pages = [r.html for r in queries.table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    model = extract.trained(pages[:240])
+    right = total = 0
+    for name, text, truth in BY_HAND:
+        found = extract.blocks(text)
+        assert len(found) == len(truth), name
+        z = model.logits(*extract.padded([extract.vectors([found])]))[0, : len(found)] > 0
+        right, total = right + int((z == np.array(truth, bool)).sum()), total + len(truth)
+    assert right / total > 0.93
+
+
+def test_main_text_of_odd_pages(spark):
+    """Long pages are read whole, repeated rows are each extracted, columns of clashing names are left alone."""
+    body = "".join(f"<p>Paragraph {k} of a page that is long enough to be read as an article by anyone.</p>" for k in range(5000))
+    rows = [(1, page("Long", body), "a", 1), (2, page("Short", "<p>One paragraph of some words that stands alone.</p>"), "b", 2)]
+    rows += [rows[1], (3, None, None, None)]
+    given = queries.table(spark, "/root/testdata/sf0.01", "pages").select(F.col("page_id") + 10, "html").collect()
+    rows += [(r[0], r[1], "c", 0) for r in given]
+    docs = spark.createDataFrame(rows, "page_id long, html string, text string, n_kept long")
+    out = extract.extract(docs).filter("page_id < 10").collect()
+    assert Counter(r.page_id for r in out) == {1: 1, 2: 2, 3: 1}
+    long = next(r for r in out if r.page_id == 1)
+    assert long.text.count("\n") >= 4990 and "Paragraph 4999" in long.text
+    assert next(r.text for r in out if r.page_id == 3) == ""
