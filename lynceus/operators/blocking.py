@@ -1,9 +1,11 @@
 """Candidate generation: the union of blocking strategies over distinct names.
 
 Names are compared as classes: rows of one normalised name are one class, so that a name borne by a
-third of all rows costs what a rare one does, and membership is joined on afterwards.  Set similarity
-joins use prefix filtering: items ordered from rare to common, two sets that are similar enough share
-one of the first few, so common words and trigrams never meet in a bucket of their own.
+third of all rows costs what a rare one does, and membership is joined on afterwards.  What strategies
+compare is computed once for each class (``keyed``).  Set similarity joins use prefix filtering: items
+ordered from rare to common, two sets that are similar enough share one of the first few, so that a
+common item is a bucket's only where a set has hardly anything rarer; such buckets are spread over
+several tasks, and pairs whose sizes alone exclude the similarity are not verified.
 """
 
 from __future__ import annotations
@@ -12,38 +14,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions import names as NM
+from lynceus.operators.shared import settled
 
 STRATEGIES = ("exact", "token", "trigram", "phonetic", "identifier")
 
 
-def name_classes(rows: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(name, rep, n): each normalised name that is not empty, the least id that bears it, and how many do."""
-    named = rows.select(F.col(id_col).alias("id"), NM.normalised(F.col(name_col)).alias("name"))
-    return named.filter("name <> ''").groupBy("name").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+def name_classes(rows: DataFrame, id_col: str, name_col: str, *carried: str) -> DataFrame:
+    """(name, rep, n, carried): each normalised name that is not empty, the least id that bears it, how many do,
+    and that id's carried columns."""
+    named = rows.select(F.col(id_col).alias("id"), NM.normalised(F.col(name_col)).alias("name"), *carried)
+    own = [F.min_by(c, "id").alias(c) for c in carried]
+    return named.filter("name <> ''").groupBy("name").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *own)
 
 
-def _prefixes(classes: DataFrame, items: Column, counts: DataFrame, overlap: float) -> DataFrame:
-    """(name, set, item) for the rarest items of each set: any set with the given share in common has one of them.
+def keyed(classes: DataFrame) -> DataFrame:
+    """The classes with what strategies compare: hashes of words and trigrams, and the sound of all words."""
+    if "sounds" in classes.columns:
+        return classes
+    hashes = lambda items: F.transform(items, lambda x: F.xxhash64(x))
+    name = F.col("name")
+    return classes.withColumns(
+        {"words": hashes(F.array_distinct(NM.tokens(name))), "trigrams": hashes(NM.trigrams(name)), "sounds": F.array_join(NM.phonetic(name), " ")}
+    )
 
-    ``set`` has the hashes of all items, so that pairs are verified on arrays of longs.
-    """
+
+#: Tasks over which the pairs of one item are spread.
+SPREAD = 8
+
+
+def _prefixes(classes: DataFrame, items: str, counts: DataFrame, overlap: float) -> DataFrame:
+    """(name, set, item) for the rarest items of each set: any set with the given share in common has one of them."""
     rows = classes.select("name", F.explode(items).alias("item")).join(counts, "item")
     sets = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))  # one name's items
     size = F.size("items") - F.ceil(F.size("items") * overlap).cast("int") + 1
     first = F.transform(F.slice("items", F.lit(1), size), lambda x: x["item"])
-    hashes = F.transform("items", lambda x: F.xxhash64(x["item"]))
-    return sets.select("name", hashes.alias("set"), F.explode(first).alias("item"))
+    return sets.select("name", F.transform("items", lambda x: x["item"]).alias("set"), F.explode(first).alias("item"))
 
 
-def similar(left: DataFrame, right: DataFrame, items, measure, threshold: float, overlap: float, strategy: str) -> DataFrame:
-    """(l, r, strategy): pairs of name classes whose item sets reach the threshold of the measure.
+def similar(left: DataFrame, right: DataFrame, items: str, measure, threshold: float, overlap: float, strategy: str) -> DataFrame:
+    """(l, r, strategy): pairs of keyed name classes whose item sets reach the threshold of the measure.
 
-    ``overlap`` is the share of either set's items that such a pair has in common at least.
+    ``overlap`` is the share of either set's items that such a pair has in common at least, so also the
+    least share that the smaller set is of the larger one.
     """
-    both = left.select("name").unionByName(right.select("name")).distinct()
-    counts = both.select(F.explode(items(F.col("name"))).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    side = lambda frame, as_: _prefixes(frame, items(F.col("name")), counts, overlap).select("item", F.col("name").alias(as_), F.col("set").alias(as_ + "s"))
-    pairs = side(left, "l").join(side(right, "r"), "item").filter(measure(F.col("ls"), F.col("rs")) >= threshold)
+    counts = left.select("name", items).unionByName(right.select("name", items)).distinct()
+    counts = counts.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    side = lambda frame, as_: _prefixes(frame, items, counts, overlap).select("item", F.col("name").alias(as_), F.col("set").alias(as_ + "s"))
+    some = side(left, "l").withColumn("salt", F.pmod(F.xxhash64("l"), F.lit(SPREAD)).cast("int"))
+    each = side(right, "r").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    a, b = F.size("ls"), F.size("rs")
+    met = some.join(each, ["item", "salt"]).filter(F.least(a, b) >= F.greatest(a, b) * overlap - 1e-9)
+    pairs = met.filter(measure(F.col("ls"), F.col("rs")) >= threshold)
     return pairs.select("l", "r").distinct().withColumn("strategy", F.lit(strategy))
 
 
@@ -54,30 +75,36 @@ def exact(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def by_token(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Jaccard similarity of the words."""
-    return similar(left, right, lambda n: F.array_distinct(NM.tokens(n)), NM.jaccard, threshold, threshold, "token")
+    return similar(keyed(left), keyed(right), "words", NM.jaccard, threshold, threshold, "token")
 
 
 def by_trigram(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Dice similarity of the trigrams; at threshold t a set has t / (2 - t) of its items in common."""
-    return similar(left, right, NM.trigrams, NM.dice, threshold, threshold / (2 - threshold), "trigram")
+    return similar(keyed(left), keyed(right), "trigrams", NM.dice, threshold, threshold / (2 - threshold), "trigram")
 
 
 def by_phonetic(left: DataFrame, right: DataFrame) -> DataFrame:
     """All words sound alike."""
-    keyed = lambda frame, as_: frame.select(F.array_join(NM.phonetic(F.col("name")), " ").alias("key"), F.col("name").alias(as_))
-    return keyed(left, "l").join(keyed(right, "r"), "key").select("l", "r", F.lit("phonetic").alias("strategy"))
+    side = lambda frame, as_: keyed(frame).select(F.col("sounds").alias("key"), F.col("name").alias(as_))
+    return side(left, "l").join(side(right, "r"), "key").select("l", "r", F.lit("phonetic").alias("strategy"))
 
 
 def by_identifier(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r) ids with the same (type, value); both sides have id, type and value."""
     norm = F.upper(F.regexp_replace("value", r"[^0-9A-Za-z]", ""))
-    keyed = lambda frame, as_: frame.select(F.col("id").alias(as_), "type", norm.alias("value")).distinct()
-    return keyed(left, "l").join(keyed(right, "r"), ["type", "value"]).select("l", "r").distinct()
+    side = lambda frame, as_: frame.select(F.col("id").alias(as_), "type", norm.alias("value")).distinct()
+    return side(left, "l").join(side(right, "r"), ["type", "value"]).select("l", "r").distinct()
+
 
+def candidates(left: DataFrame, right: DataFrame, identified: DataFrame | None = None) -> DataFrame:
+    """(l, r, strategies): the union, never the intersection, of all strategies.
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, strategies): the union, never the intersection, of all strategies on names."""
+    ``identified`` has pairs (l, r) of classes in which bearers have an identifier in common.
+    """
+    left, right = (x if "sounds" in x.columns else settled(keyed(x), "classes") for x in (left, right))
     found = exact(left, right).unionByName(by_token(left, right)).unionByName(by_trigram(left, right)).unionByName(by_phonetic(left, right))
+    if identified is not None:
+        found = found.unionByName(identified.select("l", "r", F.lit("identifier").alias("strategy")))
     return found.groupBy("l", "r").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
 
 
@@ -85,9 +112,9 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(strategy, n_true, n_found, recall): of true pairs (l, r), by strategy and by all of them."""
     hits = truth.distinct().join(found, ["l", "r"], "left")
     total = hits.agg(F.count("*").alias("n_true"))
+    n_true = total.scalar()
     each = hits.select(F.explode(F.concat(F.col("strategies"), F.array(F.lit("ALL")))).alias("strategy"))
     return (
-        each.groupBy("strategy").agg(F.count("*").alias("n_found"))
-        .join(F.broadcast(total))  # one row
+        each.groupBy("strategy").agg(F.count("*").alias("n_found")).withColumn("n_true", n_true)
         .select("strategy", "n_true", "n_found", F.round(F.col("n_found") / F.col("n_true"), 6).alias("recall"))
     )

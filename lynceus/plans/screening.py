@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lynceus.functions import names as NM
 from lynceus.operators import blocking as B
 from lynceus.operators import scoring as SC
+from lynceus.operators.shared import settled
 
 
 #: Columns beside id and name that scoring takes from either side, and what it calls them.
@@ -73,12 +74,11 @@ def screen(
     if hits is not None or {"dob", "country"} & set(subjects.columns) or set(LISTED) & set(listed.columns):
         asked = profiled(subjects, ASKED, hits, "l", "subject", "n_subjects")
         return screen_profiles(asked, profiled(listed, LISTED, hits, "r", "entity", "n_entities"), hits, config)
-    left, right = B.name_classes(subjects, "id", "name"), B.name_classes(listed, "id", "name")
-    kinds = subjects.select(F.col("id").alias("rep"), "entity_type").dropDuplicates(["rep"])
+    left = settled(B.keyed(B.name_classes(subjects, "id", "name", "entity_type")), "classes")
+    right = settled(B.keyed(B.name_classes(listed, "id", "name")), "classes")
     pairs = B.candidates(left, right)
-    pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects")), "l")
+    pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects"), "entity_type"), "l")
     pairs = pairs.join(right.select(F.col("name").alias("r"), F.col("rep").alias("entity"), F.col("n").alias("n_entities")), "r")
-    pairs = pairs.join(kinds.withColumnRenamed("rep", "subject"), "subject", "left")
     rows = SC.scored(SC.features(pairs), config)
     return SC.ranked(rows, "l").withColumn("config_version", F.lit(config["version"]))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynceus.functions.narrative import let
+
 #: By order key modulo 6: the header of the order's section.
 HEADERS = ("UK SANCTIONS - UKHMT", "USA SANCTIONS - OFAC", "EU SANCTIONS", "CANADA", "BIOGRAPHY", "CRYPTIC HEADING")
 #: By order status.
@@ -58,22 +60,31 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ("Marlow", "Okafor", "Lindqvist", "Petrov", "Haddad")
 
 
-def first_words(text: Column, n: int = 3) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, n), " ")
+def name_words(text: Column) -> Column:
+    """struct(a, b, c): of the whole text its first word, the longest between (ties: the greater) and its last; empty if none."""
+
+    def pick(w: Column) -> Column:
+        inner = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+        word = lambda x: F.coalesce(x, F.lit(""))
+        last = F.when(F.size(w) > 1, F.element_at(w, -1))
+        return F.struct(word(F.get(w, F.lit(0))).alias("a"), word(F.array_max(inner)["w"]).alias("b"), word(last).alias("c"))
+
+    return let(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), pick)
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name): documents as listed names, their first three words."""
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), first_words(F.col("text")).alias("name"))
+    """(id, name): documents as listed names of three of their words."""
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name_words(F.col("text")).alias("w"))
+    return words.select("id", F.array_join(F.filter(F.array("w.a", "w.b", "w.c"), lambda x: x != ""), " ").alias("name"))
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, entity_type): the same names as people write them: turned round, cut, in capitals."""
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    a, b, c = (F.coalesce(F.get(words, F.lit(k)), F.lit("")) for k in range(3))
+    a, b, c = (F.col(f"w.{x}") for x in "abc")
     turned = F.concat_ws(" ", c, a, b)
     cut = F.concat_ws(" ", a, b, F.left(c, F.greatest(F.length(c) - 1, F.lit(0))))
-    k = F.col("doc_id") % 4
+    k = F.col("id") % 4
     name = F.when(k == 0, turned).when(k == 1, cut).when(k == 2, F.upper(F.concat_ws(" ", a, b, c))).otherwise(F.concat_ws(" ", a, b))
-    kind = F.when(F.col("doc_id") % 2 == 0, "INDIVIDUAL").otherwise("ORGANISATION")
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name.alias("name"), kind.alias("entity_type"))
+    kind = F.when(F.col("id") % 2 == 0, "INDIVIDUAL").otherwise("ORGANISATION")
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name_words(F.col("text")).alias("w"))
+    return words.select("id", name.alias("name"), kind.alias("entity_type"))
