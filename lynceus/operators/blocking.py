@@ -43,27 +43,31 @@ SPREAD = 8
 
 
 def _prefixes(classes: DataFrame, items: str, counts: DataFrame, overlap: float) -> DataFrame:
-    """(name, set, item) for the rarest items of each set: any set with the given share in common has one of them."""
+    """(name, set, item, place) for the rarest items of each set: any set with the given share in common has one of them."""
     rows = classes.select("name", F.explode(items).alias("item")).join(counts, "item")
     sets = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))  # one name's items
     size = F.size("items") - F.ceil(F.size("items") * overlap).cast("int") + 1
     first = F.transform(F.slice("items", F.lit(1), size), lambda x: x["item"])
-    return sets.select("name", F.transform("items", lambda x: x["item"]).alias("set"), F.explode(first).alias("item"))
+    return sets.select("name", F.transform("items", lambda x: x["item"]).alias("set"), F.posexplode(first).alias("place", "item"))
 
 
-def similar(left: DataFrame, right: DataFrame, items: str, measure, threshold: float, overlap: float, strategy: str) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, items: str, measure, threshold: float, overlap: float, common, strategy: str) -> DataFrame:
     """(l, r, strategy): pairs of keyed name classes whose item sets reach the threshold of the measure.
 
     ``overlap`` is the share of either set's items that such a pair has in common at least, so also the
-    least share that the smaller set is of the larger one.
+    least share that the smaller set is of the larger one.  ``common`` is how many items sets of two sizes
+    must have in common.  Where two sets first meet, they can have no more than what is left of either.
     """
     counts = left.select("name", items).unionByName(right.select("name", items)).distinct()
     counts = counts.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    side = lambda frame, as_: _prefixes(frame, items, counts, overlap).select("item", F.col("name").alias(as_), F.col("set").alias(as_ + "s"))
+    side = lambda frame, as_: _prefixes(frame, items, counts, overlap).select(
+        "item", F.col("name").alias(as_), F.col("set").alias(as_ + "s"), F.size("set").alias(as_ + "n"), F.col("place").alias(as_ + "at")
+    )
     some = side(left, "l").withColumn("salt", F.pmod(F.xxhash64("l"), F.lit(SPREAD)).cast("int"))
     each = side(right, "r").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    a, b = F.size("ls"), F.size("rs")
-    met = some.join(each, ["item", "salt"]).filter(F.least(a, b) >= F.greatest(a, b) * overlap - 1e-9)
+    a, b = F.col("ln"), F.col("rn")
+    left_over = F.least(a - F.col("lat"), b - F.col("rat"))
+    met = some.join(each, ["item", "salt"]).filter((F.least(a, b) >= F.greatest(a, b) * overlap - 1e-9) & (left_over >= common(a, b) - 1e-9))
     pairs = met.filter(measure(F.col("ls"), F.col("rs")) >= threshold)
     return pairs.select("l", "r").distinct().withColumn("strategy", F.lit(strategy))
 
@@ -75,12 +79,12 @@ def exact(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def by_token(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Jaccard similarity of the words."""
-    return similar(keyed(left), keyed(right), "words", NM.jaccard, threshold, threshold, "token")
+    return similar(keyed(left), keyed(right), "words", NM.jaccard, threshold, threshold, lambda a, b: (a + b) * (threshold / (1 + threshold)), "token")
 
 
 def by_trigram(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Dice similarity of the trigrams; at threshold t a set has t / (2 - t) of its items in common."""
-    return similar(keyed(left), keyed(right), "trigrams", NM.dice, threshold, threshold / (2 - threshold), "trigram")
+    return similar(keyed(left), keyed(right), "trigrams", NM.dice, threshold, threshold / (2 - threshold), lambda a, b: (a + b) * (threshold / 2), "trigram")
 
 
 def by_phonetic(left: DataFrame, right: DataFrame) -> DataFrame:

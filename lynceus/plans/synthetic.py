@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.functions.narrative import let
+from lynceus.operators.shared import settled
 
 #: By order key modulo 6: the header of the order's section.
 HEADERS = ("UK SANCTIONS - UKHMT", "USA SANCTIONS - OFAC", "EU SANCTIONS", "CANADA", "BIOGRAPHY", "CRYPTIC HEADING")
@@ -61,21 +62,21 @@ NAMES = ("Marlow", "Okafor", "Lindqvist", "Petrov", "Haddad")
 
 
 def name_words(text: Column) -> Column:
-    """struct(a, b, c): of the whole text its first word, the longest between (ties: the greater) and its last; empty if none."""
+    """struct(a, b, c): of the whole text its first, middle and last word; empty if none."""
 
     def pick(w: Column) -> Column:
-        inner = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
         word = lambda x: F.coalesce(x, F.lit(""))
+        middle = F.when(F.size(w) > 2, F.get(w, ((F.size(w) - 1) / 2).cast("int")))
         last = F.when(F.size(w) > 1, F.element_at(w, -1))
-        return F.struct(word(F.get(w, F.lit(0))).alias("a"), word(F.array_max(inner)["w"]).alias("b"), word(last).alias("c"))
+        return F.struct(word(F.get(w, F.lit(0))).alias("a"), word(middle).alias("b"), word(last).alias("c"))
 
     return let(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), pick)
 
 
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name): documents as listed names of three of their words."""
+    """(id, name): documents as listed names of three of their words; a table, so that texts are read once."""
     words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name_words(F.col("text")).alias("w"))
-    return words.select("id", F.array_join(F.filter(F.array("w.a", "w.b", "w.c"), lambda x: x != ""), " ").alias("name"))
+    return settled(words.select("id", F.array_join(F.filter(F.array("w.a", "w.b", "w.c"), lambda x: x != ""), " ").alias("name")), "listed")
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,4 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k == 0, turned).when(k == 1, cut).when(k == 2, F.upper(F.concat_ws(" ", a, b, c))).otherwise(F.concat_ws(" ", a, b))
     kind = F.when(F.col("id") % 2 == 0, "INDIVIDUAL").otherwise("ORGANISATION")
     words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name_words(F.col("text")).alias("w"))
-    return words.select("id", name.alias("name"), kind.alias("entity_type"))
+    return settled(words.select("id", name.alias("name"), kind.alias("entity_type")), "subjects")

@@ -227,7 +227,7 @@ SQL_NAMES = f"""
 WITH raw AS (
   SELECT doc_id AS id, {SQL_WORDS} AS w FROM documents
 ), parts AS (
-  SELECT id, coalesce(w[1], '') AS a, coalesce(list_sort([{{'n': length(x), 'w': x}} for x in w[2:-2]], 'DESC')[1].w, '') AS b, CASE WHEN len(w) > 1 THEN w[-1] ELSE '' END AS c FROM raw
+  SELECT id, coalesce(w[1], '') AS a, CASE WHEN len(w) > 2 THEN w[(len(w) + 1) // 2] ELSE '' END AS b, CASE WHEN len(w) > 1 THEN w[-1] ELSE '' END AS c FROM raw
 ), named AS (
   SELECT id, array_to_string([x for x in [a, b, c] if x <> ''], ' ') AS listed, CASE id % 4 WHEN 0 THEN c || ' ' || a || ' ' || b WHEN 1 THEN a || ' ' || b || ' ' || left(c, greatest(length(c) - 1, 0))
     WHEN 2 THEN upper(a || ' ' || b || ' ' || c) ELSE a || ' ' || b END AS asked,
