@@ -25,7 +25,7 @@ CONFIG = {
     "country_match": 5.0,
     "country_conflict": -5.0,
     "type_mismatch": -10.0,
-    "list_source": 0.0,
+    "list_source": {},
     "whitelist": -20.0,
     "removed_everywhere": -10.0,
     "max_candidates": 50,
@@ -70,6 +70,36 @@ def match_effect(asked: Column, listed: Column, same: float, other: float) -> Co
     return F.when(asked.isNull() | listed.isNull(), 0.0).when(asked == listed, same).otherwise(other)
 
 
+def list_source_effect(source: Column, config: dict = CONFIG) -> Column:
+    """What the configuration gives a list source; 0 for one that it does not name."""
+    out = F.lit(0.0)
+    for name, effect in config["list_source"].items():
+        out = F.when(source == name, float(effect)).otherwise(out)
+    return out
+
+
+#: Slots that each effect compares.
+NEEDS = {"dob": "DATE_OF_BIRTH", "country": "COUNTRY", "type": "ENTITY_TYPE", "list_source": "LIST_SOURCE", "removed": "STATUS"}
+
+
+def validated(config: dict, slots: set[str]) -> dict:
+    """The configuration, if it can be applied to a source with the slots; else an error at start-up.
+
+    Weights of a type sum to one, thresholds are in order, and no effect other than 0 asks for a slot that
+    the source has not.
+    """
+    for kind, own in config["weights"].items():
+        if len(own) != len(FEATURES) or abs(sum(own) - 1) > 1e-9 or min(own) < 0:
+            raise ValueError(f"weights of {kind} are not {len(FEATURES)} shares of one")
+    if not 0 <= config["possible"] <= config["strong"] <= 100:
+        raise ValueError("thresholds are out of order")
+    for name, effect in config.items():
+        slot = next((s for prefix, s in NEEDS.items() if name.startswith(prefix)), None)
+        if slot and slot not in slots and effect:
+            raise ValueError(f"{name} needs the slot {slot}, which the source has not")
+    return config
+
+
 def composite(name: Column, effects: Column, identifier_match: Column, config: dict = CONFIG) -> Column:
     """The clamped sum; an exact identifier lifts it to the strong threshold at least."""
     total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), name * 100 + F.aggregate(effects, F.lit(0.0), lambda a, e: a + e["effect"])))
@@ -86,7 +116,8 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
     """Candidates with score, band and explanation.
 
     Needs l, r, entity_type and the features; takes dob, listed_dob, country, listed_country, listed_type,
-    identifier_match, whitelisted and status where the columns exist.
+    list_source, identifier_match, whitelisted, status and complete where the columns exist.  Where ``complete``
+    is false, as some strategy or page failed, the band is ERROR whatever the score.
     """
     has = lambda c: F.col(c) if c in pairs.columns else F.lit(None)
     yes = lambda c: F.coalesce(has(c).cast("boolean"), F.lit(False))
@@ -95,6 +126,7 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
         "DOB": dob_effect(date("dob"), date("listed_dob"), config),
         "COUNTRY": match_effect(has("country").cast("string"), has("listed_country").cast("string"), config["country_match"], config["country_conflict"]),
         "ENTITY_TYPE": match_effect(F.col("entity_type"), has("listed_type").cast("string"), 0.0, config["type_mismatch"]),
+        "LIST_SOURCE": list_source_effect(has("list_source").cast("string"), config),
         "WHITELIST": F.when(yes("whitelisted"), config["whitelist"]).otherwise(0.0),
         "STATUS": F.when(F.coalesce(has("status").cast("string") == "REMOVED_EVERYWHERE", F.lit(False)), config["removed_everywhere"]).otherwise(0.0),
     }
@@ -110,7 +142,8 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
         F.col("_e").alias("effects"),
         yes("identifier_match").alias("identifier_match"),
     )
-    return rows.withColumns({"band": band(F.col("score"), None, config), "explanation": explanation}).drop("_w", "_v", "_e")
+    complete = F.coalesce(F.col("complete"), F.lit(False)) if "complete" in pairs.columns else None
+    return rows.withColumns({"band": band(F.col("score"), complete, config), "explanation": explanation}).drop("_w", "_v", "_e")
 
 
 def recomputed(explanation: Column, config: dict = CONFIG) -> Column:

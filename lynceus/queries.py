@@ -203,6 +203,7 @@ from lynceus.functions import names as NM  # noqa: E402
 from lynceus.functions import phonetics as PH  # noqa: E402
 from lynceus.operators import benchmark as BM  # noqa: E402
 from lynceus.operators import blocking as B  # noqa: E402
+from lynceus.operators import evidence as EV  # noqa: E402
 from lynceus.operators import operations as OP  # noqa: E402
 from lynceus.operators import scoring as SC  # noqa: E402
 from lynceus.operators import versions as VS  # noqa: E402
@@ -645,6 +646,122 @@ def orphans(spark, sf_dir):
     return VS.orphans(orders, load(spark, sf_dir, "customer"), "c_custkey").select("o_orderkey")
 
 
+POINTERS = """
+WITH e AS (
+  SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN 'ROLLBACK' ELSE 'PROMOTE' END AS action, o_orderkey % 4 AS version FROM orders
+), h AS (
+  SELECT *, action = 'PROMOTE' OR EXISTS (FROM e p WHERE p.o_custkey = e.o_custkey AND p.version = e.version AND p.action = 'PROMOTE' AND (p.o_orderdate, p.o_orderkey) < (e.o_orderdate, e.o_orderkey)) AS valid FROM e
+)
+"""
+
+
+def _pointers(spark, sf_dir):
+    """Each customer as a list that its orders point at one of four versions."""
+    key = F.col("o_orderkey")
+    events = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.when(key % 3 == 0, "ROLLBACK").otherwise("PROMOTE").alias("action"), (key % 4).alias("version"))
+    return EV.pointer_history(events, "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@query("version_pointers", POINTERS + """
+SELECT o_custkey, o_orderkey, valid, last_value(CASE WHEN valid THEN version END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live_before FROM h
+""")
+def version_pointers(spark, sf_dir):
+    return _pointers(spark, sf_dir).select("o_custkey", "o_orderkey", "valid", "live_before")
+
+
+@query("live_versions", POINTERS + "SELECT o_custkey, arg_max(version, (o_orderdate, o_orderkey)) AS version FROM h WHERE valid GROUP BY 1")
+def live_versions(spark, sf_dir):
+    return EV.live_versions(_pointers(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+CANARY = """
+WITH e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'STRONG' ELSE 'POSSIBLE' END AS band FROM lineitem WHERE l_discount > 0.02),
+f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'STRONG' ELSE 'POSSIBLE' END AS band FROM lineitem WHERE l_tax > 0.01),
+o AS (SELECT l_orderkey, l_linenumber, CASE WHEN f.band IS NULL THEN 'MISSING' WHEN e.band IS NULL THEN 'UNEXPECTED' WHEN e.band = f.band THEN 'OK' ELSE 'DIFFERS' END AS outcome FROM e FULL JOIN f USING (l_orderkey, l_linenumber))
+"""
+
+
+def _canary(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem")
+    banded = lambda kept, cut: rows.filter(kept).select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > cut, "STRONG").otherwise("POSSIBLE").alias("band"))
+    return EV.canary(banded("l_discount > 0.02", 40), banded("l_tax > 0.01", 45), ["l_orderkey", "l_linenumber"], "band")
+
+
+@query("canary_outcomes", CANARY + "SELECT * FROM o")
+def canary_outcomes(spark, sf_dir):
+    """Line items as canaries: the bands that are expected against those that another threshold gives."""
+    return _canary(spark, sf_dir)
+
+
+@query("canary_gate", CANARY + "SELECT count(*) AS cases, count(*) FILTER (outcome <> 'OK') AS deviations, count(*) FILTER (outcome <> 'OK') > 0 OR count(*) = 0 AS critical FROM o")
+def canary_gate(spark, sf_dir):
+    return EV.canary_gate(_canary(spark, sf_dir))
+
+
+@query("config_changes", """
+WITH c AS (
+  SELECT o_custkey, o_orderkey, o_orderstatus AS value, o_orderkey % 4 <> 0 AS approved, o_orderkey % 5 <> 0 AS regression_passed,
+    lag(o_orderstatus) OVER q AS previous, row_number() OVER q AS v FROM orders WINDOW q AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+)
+SELECT o_custkey, o_orderkey, previous, value, v::INT AS config_version, previous IS DISTINCT FROM value AS changed, previous IS DISTINCT FROM value AND approved AND regression_passed AS promotable FROM c
+""")
+def config_changes(spark, sf_dir):
+    """Each customer as a parameter that its orders set."""
+    key = F.col("o_orderkey")
+    history = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("value"), (key % 4 != 0).alias("approved"), (key % 5 != 0).alias("regression_passed"))
+    out = EV.config_changes(history, "o_custkey", ["o_orderdate", "o_orderkey"], "value")
+    return out.select("o_custkey", "o_orderkey", "previous", "value", "config_version", "changed", "promotable")
+
+
+def _decisions(spark, sf_dir):
+    """Orders as requests and their line items as the candidates that were stored with them."""
+    band = F.when(F.col("l_quantity") > 40, "STRONG").when(F.col("l_quantity") > 20, "POSSIBLE").otherwise("NO_MATCH")
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("int").alias("rank"), F.col("l_partkey").cast("long").alias("entity"),
+        F.col("l_quantity").cast("int").alias("score"), band.alias("band"),
+    )
+    requests = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").cast("long").alias("list_version"))
+    return EV.decisions(requests, rows, "o_orderkey", F.struct("rank", "entity", "score"), ["rank", "entity", "score", "band"], ["o_orderstatus", "list_version"])
+
+
+DECISIONS = """
+WITH c AS (
+  SELECT l_orderkey AS o_orderkey, count(*) AS n, list({'rank': l_linenumber::INT, 'entity': l_partkey::BIGINT, 'score': l_quantity::INT,
+    'band': CASE WHEN l_quantity > 40 THEN 'STRONG' WHEN l_quantity > 20 THEN 'POSSIBLE' ELSE 'NO_MATCH' END} ORDER BY l_linenumber, l_partkey, l_quantity::INT) AS candidates FROM lineitem GROUP BY 1
+)
+"""
+
+
+@query("decision_records", DECISIONS + """
+SELECT o_orderkey, coalesce(n, 0) AS n_candidates, to_json({'o_orderstatus': o_orderstatus, 'list_version': o_custkey::BIGINT, 'candidates': coalesce(candidates, [])})::VARCHAR AS evidence FROM orders LEFT JOIN c USING (o_orderkey)
+""")
+def decision_records(spark, sf_dir):
+    return _decisions(spark, sf_dir)
+
+
+@query("decision_replay", "SELECT l_orderkey AS o_orderkey, o_orderstatus, o_custkey::BIGINT AS list_version, l_linenumber::INT AS rank, l_partkey::BIGINT AS entity, l_quantity::INT AS score, CASE WHEN l_quantity > 40 THEN 'STRONG' WHEN l_quantity > 20 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS band FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def decision_replay(spark, sf_dir):
+    """Every candidate again, from the stored evidence alone."""
+    schema = "o_orderstatus string, list_version long, candidates array<struct<rank:int,entity:long,score:int,band:string>>"
+    return EV.told_again(_decisions(spark, sf_dir), "o_orderkey", schema)
+
+
+@query("list_source_effect", """
+WITH s AS (SELECT l_orderkey, l_linenumber, round(l_discount * 10, 6) AS v, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN -4 ELSE 0 END AS effect, l_linenumber <> 5 AS complete FROM lineitem),
+t AS (SELECT *, round(greatest(0, least(100, v * 100 + effect)), 4)::DOUBLE AS score FROM s)
+SELECT l_orderkey, l_linenumber, score, CASE WHEN NOT complete THEN 'ERROR' WHEN score >= 92 THEN 'STRONG' WHEN score >= 75 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS band FROM t
+""")
+def list_source_effect(spark, sf_dir):
+    """Line items as candidates of list sources that a configuration weighs; the fifth of an order is of a partial answer."""
+    config = SC.validated(SC.CONFIG | {"list_source": {"A": 3.0, "R": -4.0}}, {"DATE_OF_BIRTH", "COUNTRY", "ENTITY_TYPE", "LIST_SOURCE", "STATUS"})
+    value = F.round(F.col("l_discount") * 10, 6)
+    rows = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[value.alias(f) for f in SC.FEATURES], F.lit("INDIVIDUAL").alias("entity_type"),
+        F.col("l_returnflag").alias("list_source"), (F.col("l_linenumber") != 5).alias("complete"),
+    )
+    return SC.scored(rows, config).select("l_orderkey", "l_linenumber", "score", "band")
+
+
 # ---------------------------------------------------------------- operations
 
 
@@ -766,6 +883,22 @@ def mapped_source(spark, sf_dir):
     return adapters.mapped(load(spark, sf_dir, "supplier"), bindings)
 
 
+@query("list_sources", """
+SELECT 'SUPPLIERS' AS LIST_SOURCE, upper(s_name) AS PRIMARY_NAME, s_nationkey::BIGINT AS COUNTRY, NULL AS ENTITY_TYPE FROM supplier
+UNION ALL SELECT 'CUSTOMERS', trim(c_name), c_nationkey::BIGINT, c_mktsegment FROM customer
+UNION ALL SELECT 'PARTS', p_name, NULL, NULL FROM part
+""")
+def list_sources(spark, sf_dir):
+    """Three sources by their adapters, as one list."""
+    country = lambda rows, c: rows.withColumn(c, F.col(c).cast("long"))
+    sources = {
+        "SUPPLIERS": (adapters.bound([("PRIMARY_NAME", "s_name", "UPPER", None), ("COUNTRY", "s_nationkey", "RENAME", None)]), country(load(spark, sf_dir, "supplier"), "s_nationkey")),
+        "CUSTOMERS": (adapters.bound([("PRIMARY_NAME", "c_name", "TRIM", None), ("COUNTRY", "c_nationkey", "RENAME", None), ("ENTITY_TYPE", "c_mktsegment", "RENAME", None)]), country(load(spark, sf_dir, "customer"), "c_nationkey")),
+        "PARTS": (adapters.bound([("PRIMARY_NAME", "p_name", "RENAME", None)]), load(spark, sf_dir, "part")),
+    }
+    return adapters.canonical(sources).select("LIST_SOURCE", "PRIMARY_NAME", "COUNTRY", "ENTITY_TYPE")
+
+
 @query("strided_sample", "SELECT c_custkey FROM customer WHERE (c_custkey + 1) % 7 = 0 AND c_custkey + 1 <= 1000")
 def strided_sample(spark, sf_dir):
     rows = load(spark, sf_dir, "customer").withColumn("ordinal", F.col("c_custkey") + 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,47 @@ def mapped(rows: DataFrame, bindings: list[tuple[str, str | None, str, str | Non
     return rows.select(*out)
 
 
+@dataclass(frozen=True)
+class Adapter:
+    """A source's way to canonical records, the slots that it must fill, and the coverage that is expected of it."""
+
+    to_canonical: Callable[[DataFrame], DataFrame]
+    required: tuple[str, ...] = ("PRIMARY_NAME",)
+    expectation: tuple[tuple[str, float], ...] = ()
+
+
+#: Adapters by the name of their source; ``bound`` makes others from binding rows.
+ADAPTERS: dict[str, Adapter] = {"FEED": Adapter(feed_to_canonical, ("PRIMARY_NAME", "ENTITY_TYPE"), (("PRIMARY_NAME", 1.0), ("ENTITY_TYPE", 1.0)))}
+
+
+def bound(bindings: list[tuple[str, str | None, str, str | None]], expectation: tuple[tuple[str, float], ...] = ()) -> Adapter:
+    """An adapter by binding rows; it must fill the slots that they bind from columns."""
+    return Adapter(lambda rows: mapped(rows, bindings), tuple(slot for slot, source, _, _ in bindings if source), expectation)
+
+
+def registered(name: str, adapter: Adapter) -> Adapter:
+    """Adds an adapter; a name is given once."""
+    if name in ADAPTERS and ADAPTERS[name] is not adapter:
+        raise ValueError(f"there is an adapter for {name!r} already")
+    ADAPTERS[name] = adapter
+    return adapter
+
+
+def canonical(sources: dict[str, tuple[Adapter, DataFrame]]) -> DataFrame:
+    """All sources' canonical records under one another, each with its name as LIST_SOURCE; absent slots are null.
+
+    A source that lacks a slot which its adapter requires is an error before anything is read.
+    """
+    out = None
+    for name, (adapter, rows) in sources.items():
+        made = adapter.to_canonical(rows)
+        if missing := set(adapter.required) - set(made.columns):
+            raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
+        made = made.withColumn("LIST_SOURCE", F.lit(name))
+        out = made if out is None else out.unionByName(made, allowMissingColumns=True)
+    return out
+
+
 def mapping_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Bindings (slot, source, transform) by slot in two versions, and what happened to each."""
     a, b = old.select("slot", F.struct("source", "transform").alias("old")), new.select("slot", F.struct("source", "transform").alias("new"))
@@ -65,7 +109,20 @@ def profile(rows: DataFrame, approximate: bool = True) -> DataFrame:
     return one.unpivot([], rows.columns, "path", "s").select("path", "s.*")
 
 
-def write_tsv(rows: DataFrame, path: str, order: list[str], most: int = 200_000) -> None:
-    """A fact table as tab-separated text with a header, the first rows by a total order; tabs and line ends are blanks."""
-    clean = [F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " ").alias(c) for c in rows.columns]
-    rows.orderBy(*order).limit(most).select(*clean).write.csv(path, sep="\t", header=True, mode="overwrite")
+def write_tsv(rows: DataFrame, path: str, order: list[str], most: int | None = 200_000) -> None:
+    """A fact table as tab-separated text with a header, by a total order; tabs and line ends are blanks.
+
+    Of a table with more than ``most`` rows the first ones stand in one file, which ends in a trailer line
+    that says so; ``most=None`` writes all rows, as many files with a header each.
+    """
+    text = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " "), F.lit(""))
+    if most is None:
+        rows.orderBy(*order).select(*[text(c).alias(c) for c in rows.columns]).write.csv(path, sep="\t", header=True, mode="overwrite", quote="")
+        return
+    spark, total = rows.sparkSession, rows.count()
+    lines = rows.orderBy(*order).limit(most).select(F.concat_ws("\t", *[text(c) for c in rows.columns]).alias("value"))
+    around = lambda x: spark.createDataFrame([(x,)], "value string")
+    lines = around("\t".join(rows.columns)).unionAll(lines)
+    if total > most:
+        lines = lines.unionAll(around(f"# CAPPED {most} of {total}"))
+    lines.coalesce(1).write.mode("overwrite").text(path)
