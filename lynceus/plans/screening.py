@@ -74,11 +74,31 @@ def screen(
     if hits is not None or {"dob", "country"} & set(subjects.columns) or set(LISTED) & set(listed.columns):
         asked = profiled(subjects, ASKED, hits, "l", "subject", "n_subjects")
         return screen_profiles(asked, profiled(listed, LISTED, hits, "r", "entity", "n_entities"), hits, config)
+    return screen_classes(*classes(subjects, listed), None, config)
+
+
+def classes(subjects: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keyed name classes of both sides, as tables."""
     left = settled(B.keyed(B.name_classes(subjects, "id", "name", "entity_type")), "classes")
-    right = settled(B.keyed(B.name_classes(listed, "id", "name")), "classes")
-    pairs = B.candidates(left, right)
+    return left, settled(B.keyed(B.name_classes(listed, "id", "name")), "classes")
+
+
+def identified_classes(subjects: DataFrame, listed: DataFrame, subject_ids: DataFrame, listed_ids: DataFrame) -> DataFrame:
+    """(l, r): the name classes that have bearers with an identifier in common."""
+    hits = B.by_identifier(subject_ids, listed_ids)
+    named = lambda rows, own, as_: rows.select(F.col("id").alias(own), NM.normalised(F.col("name")).alias(as_))
+    return hits.join(named(subjects, "l", "l_name"), "l").join(named(listed, "r", "r_name"), "r").select(
+        F.col("l_name").alias("l"), F.col("r_name").alias("r")
+    ).filter("l <> '' and r <> ''").distinct()
+
+
+def screen_classes(left: DataFrame, right: DataFrame, identified: DataFrame | None, config: dict = SC.CONFIG) -> DataFrame:
+    """As screen(), of whole classes; pairs (l, r) of ``identified`` are candidates too, and strong ones."""
+    pairs = B.candidates(left, right, identified)
     pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects"), "entity_type"), "l")
     pairs = pairs.join(right.select(F.col("name").alias("r"), F.col("rep").alias("entity"), F.col("n").alias("n_entities")), "r")
+    if identified is not None:
+        pairs = pairs.withColumn("identifier_match", F.array_contains("strategies", "identifier"))
     rows = SC.scored(SC.features(pairs), config)
     return SC.ranked(rows, "l").withColumn("config_version", F.lit(config["version"]))
 

@@ -503,6 +503,38 @@ def parallel_run(spark, sf_dir):
     return BM.parallel_run(_screened(spark, sf_dir).filter("score >= 92"), B.by_token(*_classes(spark, sf_dir)), ["l", "r"])
 
 
+def _identified(spark, sf_dir):
+    """Both sides' classes, and those in common by passports: each document as asked has that of the next one as listed."""
+    subjects, listed = synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir)
+    ids = lambda rows, shift, mark: rows.select("id", F.lit("PASSPORT").alias("type"), F.concat(F.lit(mark), (F.col("id") + shift).cast("string")).alias("value"))
+    return *screening.classes(subjects, listed), screening.identified_classes(subjects, listed, ids(subjects, 1, "p-"), ids(listed, 0, "P"))
+
+
+IDENTIFIED = SQL_NAMES + CROSS + """, ids AS (
+  SELECT DISTINCT a.l, b.r FROM n a JOIN n b ON b.id = a.id + 1 WHERE a.l <> '' AND b.r <> ''
+), by_name AS (
+  SELECT * FROM found WHERE exact OR token OR trigram OR phonetic
+), every AS (
+  SELECT l, r, coalesce(exact, false) AS exact, coalesce(token, false) AS token, coalesce(trigram, false) AS trigram, coalesce(phonetic, false) AS phonetic, i.l IS NOT NULL AS identified
+  FROM by_name FULL JOIN (SELECT l, r, l AS k FROM ids) i USING (l, r)
+)
+""".replace("i.l IS NOT NULL", "i.k IS NOT NULL")
+
+
+@query("candidate_union_identified", IDENTIFIED + "SELECT l, r, array_to_string(list_sort([x.s for x in [{'s': 'exact', 'y': exact}, {'s': 'token', 'y': token}, {'s': 'trigram', 'y': trigram}, {'s': 'phonetic', 'y': phonetic}, {'s': 'identifier', 'y': identified}] if x.y]), ',') AS strategies FROM every")
+def candidate_union_identified(spark, sf_dir):
+    return B.candidates(*_identified(spark, sf_dir)).withColumn("strategies", F.array_join("strategies", ","))
+
+
+@query("identifier_lift", IDENTIFIED + WEIGHTED.replace("SELECT found.*,", "SELECT found.*, identified,").replace("FROM found JOIN (SELECT id AS subject, entity_type FROM n) USING (subject) WHERE exact OR token OR trigram OR phonetic",
+    "FROM (SELECT e.*, rep AS subject FROM every e JOIN lw ON lw.name = e.l) found JOIN (SELECT id AS subject, entity_type FROM n) USING (subject)").replace("SELECT found.*, identified,", "SELECT found.*,").replace(
+    "round(least(100, name_score * 100), 4)", "round(CASE WHEN identified THEN greatest(92, least(100, name_score * 100)) ELSE least(100, name_score * 100) END, 4)")
+    + "SELECT l, r, name_score, identified AS identifier_match, score, band FROM k")
+def identifier_lift(spark, sf_dir):
+    rows = screening.screen_classes(*_identified(spark, sf_dir))
+    return rows.select("l", "r", "name_score", "identifier_match", "score", "band")
+
+
 # ---------------------------------------------------------------- attributes
 
 
