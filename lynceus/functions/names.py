@@ -20,26 +20,49 @@ PIPELINE_VERSION = "1"
 CYRILLIC = dict(zip("абвгдеёзийклмнопрстуфхцыэ", "abvgdeezijklmnoprstufhcye"))
 GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυφω", "abgdeziiklmnxoprsstyfo"))
 DIGRAPHS = (("ж", "zh"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ю", "yu"), ("я", "ya"), ("ъ", ""), ("ь", ""), ("θ", "th"), ("χ", "ch"), ("ψ", "ps"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"))
+# Arabic letters, in Latin; vowels that Arabic does not write are not there either.
+ARABIC = dict(zip("ابتجحدرزسصضطظعفقكلمنهويىةأإآؤئ", "abtjhdrzssdtzafqklmnhwyaaaiawy"))
+ARABIC_DIGRAPHS = (("ث", "th"), ("خ", "kh"), ("ذ", "dh"), ("ش", "sh"), ("غ", "gh"), ("ء", ""), ("ـ", ""))
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "sheikh", "haji", "hon")
 LEGAL_FORMS = {"limited": "ltd", "incorporated": "inc", "corporation": "corp", "company": "co", "ltda": "ltd", "gesellschaft": "ges"}
-GENERIC = ("trading", "group", "holdings", "company", "ltd", "inc", "corp", "co", "international", "services")
+GENERIC = ("trading", "group", "holdings", "company", "international", "services")
+
+
+#: What words that say little weigh among an organisation's; all others weigh 1.
+LEGAL_WEIGHT, GENERIC_WEIGHT, CONNECTOR_WEIGHT = 0.1, 0.25, 0.25
+# Connectors and particles.
+CONNECTORS = ("and", "of", "the", "de", "da", "van", "von", "bin", "ibn", "abu")
+LEGAL = ("ltd", "inc", "corp", "co", "llc", "plc", "gmbh", "ag", "sa", "ges")
+
+
+def _compatible() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """By compatibility decomposition (NFKD): characters that stand for one letter or digit, and ligatures."""
+    one, more = {}, []
+    for code in range(0x80, 0x10000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x)).lower()
+        if plain != chr(code) and plain.isascii() and plain.isalnum():
+            if len(plain) == 1:
+                one[chr(code)] = plain
+            elif unicodedata.name(chr(code), "").startswith("LATIN SMALL LIGATURE"):
+                more.append((chr(code), plain))
+    return one, more
+
+
+ONE, LIGATURES = _compatible()
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, by their canonical decomposition."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base != chr(code) and base.isascii() and base.isalpha():
-            pairs[chr(code)] = base.lower()
-    pairs |= CYRILLIC | GREEK
+    """Letters and digits in other forms or scripts, and what they become."""
+    pairs = ONE | CYRILLIC | GREEK | ARABIC
     return "".join(pairs), "".join(pairs.values())
 
 
 def normalised(name: Column) -> Column:
     """Lower-case Latin words without accents, punctuation and titles; legal forms unified, articles joined on."""
     out = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\p{M}", "")
-    for a, b in DIGRAPHS:
+    for a, b in (*LIGATURES, *DIGRAPHS, *ARABIC_DIGRAPHS):
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.translate(out, *_plain_letters())
     out = F.regexp_replace(out, r"(?<=\p{L})0(?=\p{L})", "o")  # digits that stand for letters inside a word
@@ -110,6 +133,27 @@ def dice(a: Column, b: Column) -> Column:
     return _ratio(2 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b))
 
 
+def token_weights(words: Column) -> Column:
+    """The weight of each word of an organisation's name."""
+    weight = lambda w: F.when(w.isin(*LEGAL), LEGAL_WEIGHT).when(w.isin(*GENERIC), GENERIC_WEIGHT).when(w.isin(*CONNECTORS), CONNECTOR_WEIGHT).otherwise(1.0)
+    return F.transform(words, weight)
+
+
+def weighted_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of distinct words by weight: what the names share in words that say something."""
+    total = lambda words: F.aggregate(token_weights(words), F.lit(0.0), lambda x, w: x + w)
+    return F.coalesce(F.try_divide(total(F.array_intersect(a, b)), total(F.array_union(a, b))), F.lit(0.0))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The best edit ratio among the words in common, and those with what else either list of distinct words has."""
+    joined = lambda x, y: F.array_join(F.concat(F.array_sort(x), F.array_sort(y)), " ")
+    common, none = F.array_intersect(a, b), F.array().cast("array<string>")
+    texts = F.struct(joined(common, none).alias("c"), joined(common, F.array_except(a, b)).alias("a"), joined(common, F.array_except(b, a)).alias("b"))
+    best = lambda t: F.greatest(edit_ratio(t["a"], t["b"]), F.when(t["c"] != "", F.greatest(edit_ratio(t["c"], t["a"]), edit_ratio(t["c"], t["b"]))).otherwise(0.0))
+    return let(texts, best)
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     return 1 - _ratio(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
 

@@ -317,6 +317,34 @@ def name_measures(spark, sf_dir):
     return rows.select("id", "jaccard", "ngram", "edit", "phonetic", "jaro_winkler", NM.damerau_levenshtein("l", "r").alias("damerau"), NM.acronym(NM.tokens(F.col("r"))).alias("acronym"))
 
 
+def sql_weight(words: str) -> str:
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    weight = f"CASE WHEN w IN ({quoted(NM.LEGAL)}) THEN 0.1 WHEN w IN ({quoted(NM.GENERIC)}) THEN 0.25 WHEN w IN ({quoted(NM.CONNECTORS)}) THEN 0.25 ELSE 1 END"
+    return f"coalesce(list_sum([({weight})::DOUBLE for w in {words}]), 0)"
+
+
+def sql_edit(a: str, b: str) -> str:
+    return f"(1 - coalesce(levenshtein({a}, {b})::DOUBLE / nullif(greatest(length({a}), length({b})), 0), 0))"
+
+
+@query("weighted_measures", SQL_NAMES + f"""
+, t AS (
+  SELECT id, list_distinct({sql_tokens("l")}) AS a, list_distinct({sql_tokens("r")}) AS b FROM n WHERE l <> '' AND r <> ''
+), j AS (
+  SELECT *, list_intersect(a, b) AS i, list_distinct(list_concat(a, b)) AS u, [x for x in a if NOT list_contains(b, x)] AS x, [y for y in b if NOT list_contains(a, y)] AS y FROM t
+), s AS (
+  SELECT *, array_to_string(list_sort(i), ' ') AS c, array_to_string(list_concat(list_sort(i), list_sort(x)), ' ') AS ca, array_to_string(list_concat(list_sort(i), list_sort(y)), ' ') AS cb FROM j
+)
+SELECT id, round({sql_weight("i")} / {sql_weight("u")}, 6) AS weighted_jaccard,
+  round(greatest({sql_edit("ca", "cb")}, CASE WHEN c <> '' THEN greatest({sql_edit("c", "ca")}, {sql_edit("c", "cb")}) ELSE 0 END), 6) AS token_set FROM s
+""")
+def weighted_measures(spark, sf_dir):
+    """Names as asked against names as listed, as those of organisations, whose generic words weigh little."""
+    words = lambda c: F.array_distinct(NM.tokens(F.col(c)))
+    rows = _pairs(spark, sf_dir).filter("l <> '' and r <> ''")
+    return rows.select("id", F.round(NM.weighted_jaccard(words("l"), words("r")), 6).alias("weighted_jaccard"), F.round(NM.token_set_ratio(words("l"), words("r")), 6).alias("token_set"))
+
+
 @query("initials_match", SQL_NAMES + f"""
 SELECT id, len(a) > 0 AND len(a) = len(b) AND coalesce(list_bool_and([a[i] = b[i] OR (length(a[i]) = 1 AND starts_with(b[i], a[i])) OR (length(b[i]) = 1 AND starts_with(a[i], b[i])) for i in range(1, len(a) + 1)]), true) AS matches
 FROM (SELECT id, {sql_tokens('l')} AS a, {sql_tokens('r')} AS b FROM n)

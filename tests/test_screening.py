@@ -151,3 +151,54 @@ def test_streams(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("rates").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {tuple(r) for r in spark.table("rates").collect()} == {tuple(r) for r in rescreen.alert_rates(rows).collect()}
+
+
+def test_other_forms_and_scripts_of_names(spark):
+    names = ["Ｊｏｈｎ Smith", "ﬁnance Ⓖroup", "محمد خان", "José Ångström", "x²"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string").select("id", NM.normalised(F.col("name")).alias("n")).collect()
+    assert {r.id: r.n for r in rows} == {0: "john smith", 1: "finance group", 2: "mhmd khan", 3: "jose angstrom", 4: "x2"}
+
+
+def test_generic_words_weigh_little(spark):
+    pairs = [("africa trading co ltd", "asia trading co ltd"), ("acme trading ltd", "acme ltd"), ("a b", "c")]
+    words = lambda c: NM.tokens(F.col(c))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", NM.jaccard(words("a"), words("b")), NM.weighted_jaccard(words("a"), words("b")), NM.token_set_ratio(words("a"), words("b"))).collect()
+    got = {r[0]: r[1:] for r in rows}
+    assert got["africa trading co ltd"][0] == 0.6 and got["africa trading co ltd"][1] < 0.2
+    assert got["acme trading ltd"][1] > 0.8 and got["acme trading ltd"][2] == 1.0 and got["a b"][1] == 0
+
+
+def test_configurations_are_validated():
+    slots = {"DATE_OF_BIRTH", "COUNTRY", "ENTITY_TYPE", "STATUS"}
+    assert SC.validated(SC.CONFIG, slots) is SC.CONFIG
+    bad = [(SC.CONFIG, slots - {"COUNTRY"}), (SC.CONFIG | {"possible": 95.0}, slots), (SC.CONFIG | {"list_source": {"UN": 5.0}}, slots), (SC.CONFIG | {"weights": {"INDIVIDUAL": (1, 1, 0, 0, 0)}}, slots)]
+    for config, has in bad:
+        with pytest.raises(ValueError):
+            SC.validated(config, has)
+
+
+def test_partial_candidates_are_an_error(spark):
+    rows = spark.createDataFrame([("a", "a", "INDIVIDUAL", True, *[1.0] * 5), ("b", "b", "INDIVIDUAL", False, *[1.0] * 5), ("c", "c", "INDIVIDUAL", None, *[1.0] * 5)], "l string, r string, entity_type string, complete boolean, " + ", ".join(f"{f} double" for f in SC.FEATURES))
+    assert {r.l: r.band for r in SC.scored(rows).collect()} == {"a": "STRONG", "b": "ERROR", "c": "ERROR"}
+
+
+def test_sinks_say_where_they_are_capped(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"v\t{k}" if k else None) for k in range(30)], "id int, v string")
+    read = lambda d: [x for f in sorted((tmp_path / d).glob("part-*")) for x in f.read_text().splitlines()]
+    adapters.write_tsv(rows, str(tmp_path / "some"), ["id"], 10)
+    assert read("some") == ["id\tv", "0\t", *[f"{k}\tv {k}" for k in range(1, 10)], "# CAPPED 10 of 30"]
+    adapters.write_tsv(rows, str(tmp_path / "all"), ["id"], 30)
+    assert len(read("all")) == 31 and not read("all")[-1].startswith("#")
+    adapters.write_tsv(rows, str(tmp_path / "whole"), ["id"], None)
+    assert len([x for x in read("whole") if x != "id\tv"]) == 30
+
+
+def test_sources_need_their_slots(spark):
+    rows = spark.createDataFrame([("a ",)], "name string")
+    own = adapters.bound([("PRIMARY_NAME", "name", "TRIM", None), ("ALIAS", "name", "SPLIT", " ")])
+    out = adapters.canonical({"ONE": (own, rows), "TWO": (adapters.bound([("PRIMARY_NAME", "name", "RENAME", None)]), rows)}).collect()
+    assert [(r.LIST_SOURCE, r.PRIMARY_NAME, r.ALIAS) for r in out] == [("ONE", "a", ["a", ""]), ("TWO", "a ", None)]
+    with pytest.raises(ValueError):
+        adapters.canonical({"FEED": (adapters.Adapter(lambda x: x, ("COUNTRY",)), rows)})
+    with pytest.raises(ValueError):
+        adapters.registered("FEED", own)
