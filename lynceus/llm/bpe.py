@@ -219,8 +219,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     ``path`` is a rank file on every executor, ``pattern`` splits texts into pieces, which are encoded
     each by itself and without special tokens.  ``decoded`` comes from the ids alone.  Null and empty
-    texts have no tokens.  Rows that repeat are encoded each; an empty table gives an empty table.
+    texts have no tokens.  Carried columns named like a result are left out.  Rows that repeat are encoded each; an empty table gives an empty table.
     """
+    carry = tuple(c for c in carry if c not in ("token_ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"))
     kept = [T.StructField(docs.schema[c].name, docs.schema[c].dataType) for c in (id_col, *carry)]
     text, number = T.StringType(), T.LongType()
     schema = T.StructType(

@@ -180,8 +180,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     chosen = lowest(known.groupBy(id_col).agg(F.min("quality").alias("_quality")), sample, id_col)
     rows = with_stats(docs.join(F.broadcast(chosen), id_col))  # the sample bounds what is broadcast
     picked = rows.select(id_col, (F.col("_quality") == 0).cast("int").alias("bad"), *[c.alias(k) for k, c in features(F.col("stats")).items()])
-    found = [r.asDict() for r in picked.orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
-    return found
+    others = [c for c in picked.columns if c != id_col]  # rows of one id in a fixed order too
+    return [r.asDict() for r in picked.orderBy(F.xxhash64(id_col), id_col, *others).limit(sample).collect()]
 
 
 def decision(rules: list[Rule], stats: Column) -> Column:

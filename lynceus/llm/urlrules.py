@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,21 @@ def addressed(urls: DataFrame, url_col: str) -> DataFrame:
     )
 
 
+#: Parts that an empty token or address is spread over: every address has that token, and all null urls that address.
+SPREAD = 8
+
+
+def spread(rows: DataFrame, key: str, by: Column) -> DataFrame:
+    """The rows with ``part``, by which those of an empty key are spread."""
+    return rows.withColumn("part", F.when(F.col(key) == "", F.pmod(by, F.lit(SPREAD)).cast("int")).otherwise(0))
+
+
+def repeated(few: DataFrame, key: str) -> DataFrame:
+    """The rows for every ``part`` that their key may have."""
+    every = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    return few.withColumn("part", F.explode(F.when(F.col(key) == "", every).otherwise(F.array(F.lit(0)))))
+
+
 def fetched(addresses: DataFrame, rules: DataFrame) -> DataFrame:
     """(address, rule, action, tier) for every rule that fits an address; ``addresses`` are distinct.
 
@@ -104,7 +119,8 @@ def fetched(addresses: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)), F.coalesce("token", F.lit("")).alias("token"))).alias("best"))
         .select("rule", "pattern", "action", "tier", "regex", F.col("best.token").alias("token"))
     )
-    return held.join(rare, "token").filter(F.expr("address rlike regex")).select("address", "rule", "action", "tier")
+    held = spread(held, "token", F.xxhash64("address"))
+    return held.join(repeated(rare, "token"), ["token", "part"]).filter(F.expr("address rlike regex")).select("address", "rule", "action", "tier")
 
 
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -114,9 +130,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     in ``rule``; without one, the verdict is that of the other rules: ``block`` if one with that action
     fits and none that allows, else ``allow``.  ``pattern_rule`` is the longest deciding rule of those.
     Equal urls are judged once.  A null url, or one without ``://``, has an empty host and path, which
-    no rule but one for empty addresses fits.  An empty table gives an empty table; other columns stay.
+    no rule but one for empty addresses fits.  An empty table gives an empty table; other columns stay,
+    but for those named address, part or like a result.
     """
-    drop = [c for c in ("host", "path", "address", "rule", "verdict", "pattern_rule") if c in urls.columns]
+    drop = [c for c in ("host", "path", "address", "part", "rule", "verdict", "pattern_rule") if c in urls.columns]
     rows = addressed(urls.drop(*drop), url_col)
     hits = fetched(rows.select("address").distinct(), rules)
     found = F.struct(F.length("rule").alias("n"), "rule", "action")
@@ -128,7 +145,7 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     )
     extra = F.coalesce(F.col("allows"), F.col("blocks"))
     return (
-        rows.join(best, "address", "left")
+        spread(rows, "address", F.monotonically_increasing_id()).join(repeated(best, "address"), ["address", "part"], "left")
         .withColumns(
             {
                 "rule": F.col("base.rule"),
@@ -136,5 +153,5 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
                 "pattern_rule": F.when(F.col("base").isNull(), extra["rule"]),
             }
         )
-        .drop("address", "base", "allows", "blocks")
+        .drop("address", "part", "base", "allows", "blocks")
     )

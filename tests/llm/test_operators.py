@@ -228,6 +228,15 @@ def test_url_rules_against_every_rule(spark):
     assert urlrules.judge(frame.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_odd_urls(spark):
+    rows = [(k, None, "p") for k in range(40)] + [(50, "", "p"), (51, "x", "p"), (52, "http://a.org/" + "y/" * 60_000, "p"), (53, "HTTP://SUB.Example.org/es/1?a#b", "p"), (53, "HTTP://SUB.Example.org/es/1?a#b", "p")]
+    rules = urlrules.rules_table(spark, urlrules.host_rules(queries.HOST_RULES) + [("*", "*", "allow", "pattern")])
+    out = urlrules.judge(spark.createDataFrame(rows, "page_id long, url string, part string"), rules).collect()
+    assert len(out) == len(rows) and all(r.host == "" and r.path == "" and r.rule is None and r.verdict == "allow" for r in out if r.page_id < 52)
+    assert next(r for r in out if r.page_id == 52).rule == "org/" and [r.rule for r in out if r.page_id == 53] == ["example.org/es/"] * 2
+    assert urlrules.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -324,6 +333,17 @@ def test_quality_statistics_and_list(spark, docs, documents, none):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_learned_verdicts_on_held_out_labels(spark):
+    """The list learned from one half of the labels, on the documents of the other half that no base rule rejects."""
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    judged = quality.judge(docs, labels.filter("doc_id % 2 = 0")).filter("not base_failed").join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    rows = judged.filter("quality is not null").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    good, bad = n.get((1, True), 0), n.get((0, False), 0)
+    print("kept of good", good / (good + n.get((1, False), 0)), "rejected of bad", bad / max(1, bad + n.get((0, True), 0)))
+    assert good > 0.95 * (good + n.get((1, False), 0)) and good + bad > 0.8 * sum(n.values())
+
+
 def test_decision_list_learns_thresholds():
     rng = random.Random(1)
     rows = [{"a": rng.random(), "b": rng.random(), "bad": 0} for _ in range(900)]
@@ -362,9 +382,28 @@ def test_bpe_long_pieces(text):
     assert ids[0].tolist() == own.encode_ordinary(text) and joined[0] == ",".join(map(str, ids[0].tolist()))
 
 
+def test_bpe_very_long_pieces_and_clashing_names(spark):
+    path = public_tokenizers.path(queries.VOCABULARY)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(path), special_tokens={})
+    rng = random.Random(5)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=30_000))
+    rows = [(1, letters, "x"), (2, "a" * 200_000, "x"), (3, "xyz" * 900, "x"), (4, None, None)]
+    coded = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string, token_ids string"), path, public_tokenizers.PATTERN, carry=("token_ids",))
+    got = {r.doc_id: r.token_ids for r in coded.collect()}
+    assert got[1] == own.encode_ordinary(letters) and got[3] == own.encode_ordinary("xyz" * 900) and got[4] == []
+    assert len(got[2]) == 50_000 and set(got[2]) == set(own.encode_ordinary("aaaa"))
+
+
 # ---------------------------------------------------------------- 8
 
 
+def test_pitman_yor_of_a_long_text(spark):
+    rows = [(k, "lorem ipsum dolor " * (20_000 if k == 3 else 5)) for k in range(12)] + [(None, "lorem"), (3, "lorem ipsum")]
+    out = hpylm.score(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")).collect()
+    long = next(r for r in out if r.n_tokens > 60_000)
+    assert len(out) == 14 and long.n_tokens == 60_001 and math.isfinite(long.score) and long.score > -20_000
+
+
 def test_pitman_yor_base_and_proper(docs, documents, none):
     rows = hpylm.score(docs).collect()
     assert len(rows) == len(documents)
