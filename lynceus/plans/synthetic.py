@@ -61,6 +61,21 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ("Marlow", "Okafor", "Lindqvist", "Petrov", "Haddad")
 
 
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uid, category, narrative): suppliers with a notice of each of three authorities, in its own layout."""
+    key, n = F.col("s_suppkey"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("s_suppkey") % len(NAMES) + 1).cast("int"))
+    number = lambda shift: (key + shift).cast("string")
+    padded = lambda size: F.lpad(key.cast("string"), size, "0")
+    text = F.concat(
+        F.lit("[UK SANCTIONS - UKHMT] Name 1: Karim "), n, F.lit(" DOB: 1970. Group ID: "), number(1000), F.lit(". Regime: Counter Terrorism; Tax ID No T-"), number(1000),
+        F.lit(". [USA SANCTIONS - OFAC] (f.k.a. Delta "), n, F.lit("; f.k.a. Omega "), n, F.lit(") SDN Ref No "), number(5000), F.lit("; Program SDGT; LEI 5493"), padded(16), F.lit("; SWIFT DEUTDEFF; "),
+        F.lit("[EU SANCTIONS] 'Alpha "), n, F.lit("' Regulation (EU) No 269/2014; 2014/145/CFSP; Reg No R-"), number(100), F.lit("; National ID No N-"), number(1000), F.lit("; IMO 9"), padded(6),
+        F.lit("; Cedula No 1"), padded(7), F.lit("; "),
+    )
+    rows = load(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key.cast("string")).alias("uid"), F.lit("CORPORATE").alias("category"), text.alias("narrative"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+
+
 def name_words(text: Column) -> Column:
     """struct(a, b, c): of the whole text its first, middle and last word; empty if none."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lynceus.functions import narrative as N
 from lynceus.operators import facts as FX
 from lynceus.operators import reports as R
 from lynceus.plans.synthetic import narratives
+from lynceus.plans.synthetic import notices as synthetic_notices
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +199,53 @@ def extraction_summary(spark, sf_dir):
     return R.summary(FX.statuses(narratives(spark, sf_dir)))
 
 
+NOTICES = """
+WITH k AS (
+  SELECT s_suppkey AS k, 'S' || s_suppkey AS uid, ['Marlow', 'Okafor', 'Lindqvist', 'Petrov', 'Haddad'][s_suppkey % 5 + 1] AS n FROM supplier
+)
+"""
+
+
+@query("authority_identifiers", NOTICES + """, i AS (
+  SELECT uid, unnest([
+    {'t': 'GROUP_ID', 'v': (k + 1000)::VARCHAR, 'c': 'UK:UKHMT'}, {'t': 'TAX_ID', 'v': 'T-' || (k + 1000), 'c': 'UK:UKHMT'}, {'t': 'GROUP_ID', 'v': (k + 1000)::VARCHAR, 'c': 'UK:UKHMT'}, {'t': 'REGIME', 'v': 'Counter Terrorism', 'c': 'UK:UKHMT'},
+    {'t': 'LEI', 'v': '5493' || lpad(k::VARCHAR, 16, '0'), 'c': 'USA:OFAC'}, {'t': 'SWIFT_BIC', 'v': 'DEUTDEFF', 'c': 'USA:OFAC'}, {'t': 'SDN_REF', 'v': (k + 5000)::VARCHAR, 'c': 'USA:OFAC'}, {'t': 'REF_NO', 'v': (k + 5000)::VARCHAR, 'c': 'USA:OFAC'},
+    {'t': 'SDN_REF', 'v': (k + 5000)::VARCHAR, 'c': 'USA:OFAC'}, {'t': 'OFAC_PROGRAMME', 'v': 'SDGT', 'c': 'USA:OFAC'},
+    {'t': 'IMO', 'v': '9' || lpad(k::VARCHAR, 6, '0'), 'c': 'EU'}, {'t': 'REGISTRATION', 'v': 'R-' || (k + 100), 'c': 'EU'}, {'t': 'NATIONAL_ID', 'v': 'N-' || (k + 1000), 'c': 'EU'}, {'t': 'CEDULA', 'v': '1' || lpad(k::VARCHAR, 7, '0'), 'c': 'EU'},
+    {'t': 'EU_LEGAL_BASIS', 'v': '2014/145/CFSP', 'c': 'EU'}, {'t': 'EU_REGULATION', 'v': '269/2014', 'c': 'EU'}]) AS x FROM k
+)
+SELECT uid, x.t AS type, x.v AS value, x.c AS context FROM i
+""")
+def authority_identifiers(spark, sf_dir):
+    """What notices of three authorities state, by the common rules and by those of each authority."""
+    return FX.identifiers(synthetic_notices(spark, sf_dir)).select("uid", "type", "value", "context")
+
+
+@query("authority_names", NOTICES + """, i AS (
+  SELECT uid, unnest([{'v': 'Karim ' || n, 'p': 'OFSI'}, {'v': 'Delta ' || n, 'p': 'OFAC'}, {'v': 'Omega ' || n, 'p': 'OFAC'}, {'v': 'Alpha ' || n, 'p': 'EU'}]) AS x FROM k
+)
+SELECT uid, 'AKA' AS name_type, x.v AS value, x.p AS parser FROM i
+""")
+def authority_names(spark, sf_dir):
+    """Numbered, bracketed and quoted names of three authorities' notices."""
+    return FX.names(synthetic_notices(spark, sf_dir)).select("uid", "name_type", "value", "parser")
+
+
+@query("section_flags", ORDERS + """
+SELECT uid, count(*) FILTER (h <> 4) AS parseable, 0::BIGINT AS history FROM (SELECT uid, h FROM s UNION ALL SELECT uid, -1 FROM stake) GROUP BY 1
+""")
+def section_flags(spark, sf_dir):
+    """By record: headed sections that a parser may read, and those of the past alone."""
+    rows = FX.sections(narratives(spark, sf_dir)).filter("header is not null")
+    return rows.groupBy("uid").agg(F.count_if(N.parseable(F.col("header"), F.col("kind"))).alias("parseable"), F.count_if(N.is_history(F.col("header"))).alias("history"))
+
+
+@query("designation_flags", ORDERS + PER_SOURCE + "SELECT uid, status, status <> 'REMOVED_EVERYWHERE' AS may_be_designated FROM rec")
+def designation_flags(spark, sf_dir):
+    """All but records that every source has removed are to be treated as designated."""
+    return FX.statuses(narratives(spark, sf_dir)).select("uid", "status", N.may_be_designated(F.col("status")).alias("may_be_designated"))
+
+
 # ---------------------------------------------------------------- names
 
 from lynceus.functions import names as NM  # noqa: E402
