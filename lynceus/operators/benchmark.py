@@ -50,3 +50,10 @@ def parallel_run(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFra
     b = theirs.select(*keys).distinct().withColumn("_b", F.lit(True))
     word = F.when(F.col("_a").isNull(), "ONLY_THEIRS").when(F.col("_b").isNull(), "ONLY_OURS").otherwise("BOTH_HIT")
     return a.join(b, keys, "full_outer").withColumn("agreement", word).drop("_a", "_b")
+
+
+def agreement(candidates: DataFrame, ours: Column, theirs: Column) -> DataFrame:
+    """Every candidate of either system with BOTH_HIT, ONLY_OURS, ONLY_THEIRS or BOTH_CLEAR; an unknown answer is no hit."""
+    a, b = F.coalesce(ours, F.lit(False)), F.coalesce(theirs, F.lit(False))
+    word = F.when(a & b, "BOTH_HIT").when(a, "ONLY_OURS").when(b, "ONLY_THEIRS").otherwise("BOTH_CLEAR")
+    return candidates.withColumn("agreement", word)

@@ -55,6 +55,13 @@ def freshness(loads: DataFrame, now: Column, hours: int = 36) -> DataFrame:
     return last.withColumn("age_hours", age.cast("long")).withColumn("critical", F.col("age_hours") > hours)
 
 
+def chunk_status(outcomes: DataFrame, chunk: Column) -> DataFrame:
+    """(chunk, requests, errors, status) of a batch: COMPLETE, PARTIAL where some requests failed, FAILED where all did."""
+    out = outcomes.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("requests"), F.count_if(F.col("outcome") == "ERROR").alias("errors"))
+    status = F.when(F.col("errors") == 0, "COMPLETE").when(F.col("errors") < F.col("requests"), "PARTIAL").otherwise("FAILED")
+    return out.withColumn("status", status)
+
+
 def idempotency(requests: DataFrame) -> DataFrame:
     """(key, n, payloads, conflict): the same key with another payload is a conflict."""
     out = requests.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("payload_hash").alias("payloads"))

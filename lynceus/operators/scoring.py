@@ -159,6 +159,12 @@ def ranked(rows: DataFrame, subject: str, most: int | None = None) -> DataFrame:
     return out if most is None else out.filter(F.col("rank") <= most)
 
 
+def paged(rows: DataFrame, subject: str, size: int) -> DataFrame:
+    """Ranked candidates with their page, from 1, and the number of pages that their subject has."""
+    page = (F.floor((F.col("rank") - 1) / size) + 1).cast("int")
+    return rows.withColumn("page", page).withColumn("pages", F.max("page").over(Window.partitionBy(subject)))
+
+
 def request_outcome(rows: DataFrame, subject: str) -> DataFrame:
     """(subject, outcome): the gravest band, ERROR above all."""
     grave = F.when(F.col("band") == "ERROR", 3).when(F.col("band") == "STRONG", 2).when(F.col("band") == "POSSIBLE", 1).otherwise(0)

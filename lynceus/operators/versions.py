@@ -40,6 +40,14 @@ def delta_gate(changes: DataFrame, most: float = 0.2) -> DataFrame:
     return out.withColumn("delta_share", F.round(share, 6)).withColumn("halt", F.col("delta_share") > most)
 
 
+def load_report(rows: DataFrame, rejected: dict[str, Column]) -> DataFrame:
+    """(outcome, n): records loaded, and those rejected by the first reason that holds; all of them are counted."""
+    word = F.lit("LOADED")
+    for reason, holds in reversed(rejected.items()):
+        word = F.when(F.coalesce(holds, F.lit(False)), reason).otherwise(word)
+    return rows.groupBy(word.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def coverage(rows: DataFrame, slots: list[str]) -> DataFrame:
     """(slot, coverage): the share of rows that state each slot."""
     shares = rows.agg(*[F.round(F.avg(F.col(s).isNotNull().cast("int")), 6).alias(s) for s in slots])

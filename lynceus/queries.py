@@ -612,6 +612,39 @@ def identifier_lift(spark, sf_dir):
     return rows.select("l", "r", "name_score", "identifier_match", "score", "band")
 
 
+@query("candidate_pages", SCORED + "SELECT l, r, rank, ((rank - 1) // 10 + 1)::INT AS page, max((rank - 1) // 10 + 1) OVER (PARTITION BY l)::INT AS pages FROM k")
+def candidate_pages(spark, sf_dir):
+    return SC.paged(_screened(spark, sf_dir), "l", 10).select("l", "r", "rank", "page", "pages")
+
+
+@query("candidate_set_sizes", SQL_NAMES + CROSS + """
+SELECT count(DISTINCT l) AS names, count(*) AS pairs, round(count(*)::DOUBLE / count(DISTINCT l), 6) AS mean_size FROM found WHERE exact OR token OR trigram OR phonetic
+""")
+def candidate_set_sizes(spark, sf_dir):
+    each = B.candidates(*_classes(spark, sf_dir)).groupBy("l").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("names"), F.sum("n").alias("pairs"), F.round(F.sum("n") / F.count("*"), 6).alias("mean_size"))
+
+
+@query("agreement_counts", SCORED + """
+SELECT CASE WHEN score >= 92 AND token THEN 'BOTH_HIT' WHEN score >= 92 THEN 'ONLY_OURS' WHEN token THEN 'ONLY_THEIRS' ELSE 'BOTH_CLEAR' END AS agreement, count(*) AS n FROM k GROUP BY 1
+""")
+def agreement_counts(spark, sf_dir):
+    """All candidates: strong ones of ours against the hits of a system that compares words alone."""
+    rows = BM.agreement(_screened(spark, sf_dir), F.col("score") >= 92, F.array_contains("strategies", "token"))
+    return rows.groupBy("agreement").agg(F.count("*").alias("n"))
+
+
+@query("batch_chunks", SCORED + """, o AS (
+  SELECT n.id // 100 AS chunk, n.l = '' AS bad FROM n
+)
+SELECT chunk, count(*) AS requests, count(*) FILTER (bad) AS errors, CASE WHEN count(*) FILTER (bad) = 0 THEN 'COMPLETE' WHEN count(*) FILTER (bad) < count(*) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM o GROUP BY 1
+""")
+def batch_chunks(spark, sf_dir):
+    """Requests in chunks of a hundred, and how each chunk ended."""
+    rows = screening.outcomes(synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir))
+    return OP.chunk_status(rows, F.floor(F.col("id") / 100))
+
+
 # ---------------------------------------------------------------- attributes
 
 
@@ -707,6 +740,15 @@ def delta_gate(spark, sf_dir):
     return VS.delta_gate(VS.reconcile(*_lists(spark, sf_dir), "c_custkey"))
 
 
+@query("load_report", """
+SELECT CASE WHEN o_custkey % 5 = 0 THEN 'TEST_CUSTOMER' WHEN o_totalprice < 50000 THEN 'TOO_SMALL' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'LOADED' END AS outcome, count(*) AS n FROM orders GROUP BY 1
+""")
+def load_report(spark, sf_dir):
+    """Orders as delivered records, of which some are rejected, for a reason each."""
+    reasons = {"TEST_CUSTOMER": F.col("o_custkey") % 5 == 0, "TOO_SMALL": F.col("o_totalprice") < 50_000, "PENDING": F.col("o_orderstatus") == "P"}
+    return VS.load_report(load(spark, sf_dir, "orders"), reasons)
+
+
 @query("capability_gate", """
 WITH m AS (
   SELECT 'ENTITY_TYPE' AS slot, round(avg((c_custkey % 10 <> 0)::INT), 6) AS coverage, 0.9::DOUBLE AS expected FROM customer
