@@ -7,13 +7,13 @@ block's documents again.  Keys that are frequent in the corpus are sent once a b
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynceus.operators.shared import settled as written
+
+__all__ = ["chunks", "cuts", "dealt", "lowest", "partitions", "split", "texts_of", "written"]
 
 #: Bytes of text in a block, at most on average: what a task holds at once, with its words and hashes.
 BLOCK_BYTES = 48 << 20
@@ -23,23 +23,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where all run on this machine."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    if not spark.sparkContext.master.startswith("local["):  # a local-cluster has executors of its own
-        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-    spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="spark-"))
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as a table in the shared folder and read again: its lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lowest(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most n rows, those whose keys hash lowest; hardly more than 2 n of all reach the driver's choice."""
     total = rows.count()
