@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over the whole given tables."""
+"""The registered queries of the operators, over the whole given tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, extract, hpylm, licenses, oracles, quality, simhash, substring, urlrules, warc
+from . import bpe, decontam, extract, hpylm, licenses, oracles, quality, secrets, simhash, substring, urlrules, warc
 
 #: The rank file that op7 encodes with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_main_text": op10_main_text,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 #: The others are beyond SQL: tests hold them against brute force, an exact round trip or held-out accuracy.
