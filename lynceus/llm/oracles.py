@@ -138,3 +138,47 @@ SELECT page_id, warc_type, record_id, response AS refers_to, concurrent_to, url
     || 'Content-Type: ' || content_type || {CRLF} || 'Content-Length: ' || content_length || {CRLF}) AS header_sha256
 FROM m
 """
+
+
+def _leaf(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in values) + ")"
+
+
+#: CRC-32 by bits, of the decimal id.
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)))"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {CRC} % 3 = 0 THEN {_leaf("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents
+), l AS (
+  SELECT *, coalesce('=' || lang, '') AS grp, row_number() OVER q - 1 AS pos FROM d WINDOW q AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+), t AS (
+  SELECT grp, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY grp) AS total FROM l
+  UNION ALL
+  SELECT grp, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (total + 7) // 8 FROM t WHERE total > 1 GROUP BY grp, level, pos // 8, total
+), s AS (
+  SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos FROM t WHERE total = 1
+), u AS (
+  SELECT 0 AS level, pos, subroot AS digest, (SELECT count(*) FROM s) AS total FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (total + 7) // 8 FROM u WHERE total > 1 GROUP BY level, pos // 8, total
+), runs AS (
+  SELECT grp, level, pos // 8 AS run, list(digest ORDER BY pos) AS digests FROM t WHERE total > 1 GROUP BY ALL
+  UNION ALL SELECT NULL, level, pos // 8, list(digest ORDER BY pos) FROM u WHERE total > 1 GROUP BY ALL
+), below AS (
+  SELECT grp, pos AS leaf_pos, 0 AS level, pos, coalesce(tampered, leaf) AS folded, '' AS proof FROM l
+  UNION ALL
+  SELECT b.grp, leaf_pos, b.level + 1, pos // 8, sha256(array_to_string(digests[:pos % 8], '') || folded || array_to_string(digests[pos % 8 + 2:], '')), proof || array_to_string(digests[:pos % 8], '') || array_to_string(digests[pos % 8 + 2:], '')
+  FROM below b JOIN runs r ON r.grp = b.grp AND r.level = b.level AND r.run = pos // 8
+), above AS (
+  SELECT b.grp, leaf_pos, 0 AS level, s.pos, folded, proof, subroot FROM (SELECT grp, leaf_pos, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM below GROUP BY ALL) b JOIN s USING (grp)
+  UNION ALL
+  SELECT a.grp, leaf_pos, a.level + 1, pos // 8, sha256(array_to_string(digests[:pos % 8], '') || folded || array_to_string(digests[pos % 8 + 2:], '')), proof || array_to_string(digests[:pos % 8], '') || array_to_string(digests[pos % 8 + 2:], ''), subroot
+  FROM above a JOIN runs r ON r.grp IS NULL AND r.level = a.level AND r.run = pos // 8
+), done AS (
+  SELECT grp, leaf_pos AS pos, subroot, arg_max(folded, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM above GROUP BY ALL
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN done USING (grp, pos), (SELECT digest AS root FROM u WHERE total = 1)
+"""

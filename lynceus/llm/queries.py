@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, extract, hpylm, licenses, oracles, quality, secrets, simhash, substring, urlrules, warc
+from . import bpe, decontam, extract, hpylm, licenses, merkle, oracles, quality, secrets, simhash, substring, urlrules, warc
 
 #: The rank file that op7 encodes with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_main_text": op10_main_text,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -98,4 +103,5 @@ ORACLES = {
     "op3_url_rules": oracles.url_rules(HOST_RULES, urlrules.DEFAULT_PATTERNS),
     "op4_license_scan": oracles.license_scan(),
     "op9_substring_dedup": oracles.SUBSTRING,
+    "op11_merkle_manifest": oracles.MERKLE,
 }
