@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, extract, hpylm, licenses, merkle, oracles, quality, secrets, simhash, substring, urlrules, warc
+from . import align, bpe, decontam, extract, hpylm, licenses, merkle, oracles, quality, secrets, simhash, substring, urlrules, warc
 
 #: The rank file that op7 encodes with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The vocabularies that op12 aligns.
+PAIRED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: The host and path rules that op3 is asked to judge by.
 HOST_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
@@ -78,6 +80,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), (*map(public_tokenizers.path, PAIRED), public_tokenizers.PATTERN), digest=True)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_main_text": op10_main_text,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
     "op13_secret_scan": op13_secret_scan,
 }
 

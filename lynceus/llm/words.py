@@ -50,10 +50,15 @@ class Words:
         self.first = np.searchsorted(self.start, at)
 
     def hashes(self, seed: int) -> np.ndarray:
-        table, ahead, back = _powers(seed, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(table[self.data] * ahead[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * back[self.start])
+        return byte_hashes(self.data, self.start, self.end, seed)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
+    table, ahead, back = _powers(seed, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table[data] * ahead[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * back[start])
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
