@@ -93,23 +93,130 @@ def by_phonetic(left: DataFrame, right: DataFrame) -> DataFrame:
     return side(left, "l").join(side(right, "r"), "key").select("l", "r", F.lit("phonetic").alias("strategy"))
 
 
+# What stands where an identifier is not known, normalised.
+PLACEHOLDERS = ("NA", "NIL", "NONE", "NULL", "UNKNOWN", "NOTKNOWN", "NOTAVAILABLE", "NOTAPPLICABLE", "PENDING", "TBA", "TBC", "TEST")
+
+
+def identifier_value(value: Column) -> Column:
+    """Letters of any script and digits, upper case; null where that says nothing: no character, three or more of one alone, or a placeholder."""
+    norm = F.upper(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+    return F.when((norm != "") & ~norm.rlike(r"^(.)\1{2,}$") & ~norm.isin(*PLACEHOLDERS), norm)
+
+
+#: Pairs that one task makes of a key, about; a key that makes more is spread over several.
+PAIRS_A_TASK = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join in which keys of many pairs, as counted, are spread by a hash of the left column ``by``; others are joined as they are.
+
+    Both sides are read twice: give tables.
+    """
+    counted = left.groupBy(*on).agg(F.count("*").alias("_l")).join(right.groupBy(*on).agg(F.count("*").alias("_r")), on)
+    tasks = F.ceil(F.col("_l").cast("double") * F.col("_r") / PAIRS_A_TASK).cast("int")
+    hot = settled(counted.select(*on, tasks.alias("_tasks")).filter("_tasks > 1"), "hot")
+    if hot.isEmpty():
+        return left.join(right, on)
+    some = left.join(hot, on).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_tasks")).cast("int")).drop("_tasks")
+    each = right.join(hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+    spread = some.join(each, [*on, "_salt"]).drop("_salt")
+    return left.join(hot, on, "left_anti").join(right, on).unionByName(spread)
+
+
 def by_identifier(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r) ids with the same (type, value); both sides have id, type and value."""
-    norm = F.upper(F.regexp_replace("value", r"[^0-9A-Za-z]", ""))
-    side = lambda frame, as_: frame.select(F.col("id").alias(as_), "type", norm.alias("value")).distinct()
-    return side(left, "l").join(side(right, "r"), ["type", "value"]).select("l", "r").distinct()
+    """(l, r) ids with the same (type, value); both sides have id, type and value.
+
+    Values that say nothing (``identifier_value``) match nothing.  Where many share a value, give classes as ids.
+    """
+    side = lambda frame, as_: frame.select(F.col("id").alias(as_), "type", identifier_value(F.col("value")).alias("value")).filter("value is not null").distinct()
+    left, right = settled(side(left, "l"), "identifiers"), settled(side(right, "r"), "identifiers")
+    return spread_join(left, right, ["type", "value"], "l").select("l", "r").distinct()
+
+
+#: Of each strategy that compares sets: what they are, the threshold of its measure, the share that either set has in common at least.
+SETS = {"token": ("words", 0.5, 0.5), "trigram": ("trigrams", 0.7, 0.7 / (2 - 0.7))}
+
+
+def _by_type(values: dict[str, float]) -> Column:
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(F.col("type") == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def items_of(classes: DataFrame) -> DataFrame:
+    """(name, type, item): the items of each keyed class's sets, hashed with their type."""
+    return classes.select("name", F.inline(F.concat(*[_items(kind, column) for kind, (column, *_) in SETS.items()])))
+
+
+def _items(kind: str, column: str) -> Column:
+    return F.transform(column, lambda x: F.struct(F.lit(kind).alias("type"), F.xxhash64(F.lit(kind), x).alias("item")))
+
+
+def item_counts(classes: DataFrame) -> DataFrame:
+    """(item, n): how many classes have each item."""
+    return items_of(classes).groupBy("item").agg(F.count("*").alias("n"))
+
+
+def postings(classes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, type, name, size, place): the keys that a class is met by.
+
+    Of its sets these are the rarest items by ``counts``, as many as make sure that any set similar enough has one
+    of them among its own; any counts will do, as long as both sides use the same.  A name and the sound of its
+    words are keys of their own.
+    """
+    rows = items_of(classes).join(counts, "item", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sets = rows.groupBy("name", "type").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"))  # one name's items
+    size = F.size("items")
+    first = F.slice("items", F.lit(1), size - F.ceil(size * _by_type({k: x[2] for k, x in SETS.items()}) - 1e-9).cast("int") + 1)
+    rare = sets.select("type", "name", size.alias("size"), F.posexplode(F.transform(first, lambda x: x["item"])).alias("place", "key"))
+    whole = lambda kind, column: F.struct(F.lit(kind).alias("type"), F.xxhash64(F.lit(kind), F.col(column)).alias("key"))
+    alone = classes.select("name", F.inline(F.array(whole("exact", "name"), whole("phonetic", "sounds"))))
+    alone = alone.withColumns({"size": F.lit(0), "place": F.lit(0)})
+    return rare.unionByName(alone).select("key", "type", "name", "size", "place")
+
+
+def met(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """(l, r): the classes of two tables of postings that have a key in common, and sizes that allow a match."""
+    side = lambda rows, as_: rows.select("key", *([] if as_ == "r" else ["type"]), F.col("name").alias(as_), F.col("size").alias(as_ + "n"), F.col("place").alias(as_ + "at"))
+    pairs = spread_join(side(asked, "l"), side(listed, "r"), ["key"], "l")
+    a, b = F.col("ln"), F.col("rn")
+    share = _by_type({k: x[2] for k, x in SETS.items()})
+    least = (a + b) * _by_type({"token": SETS["token"][1] / (1 + SETS["token"][1]), "trigram": SETS["trigram"][1] / 2})
+    left_over = F.least(a - F.col("lat"), b - F.col("rat"))
+    fits = (F.least(a, b) >= F.greatest(a, b) * share - 1e-9) & (left_over >= least - 1e-9)
+    return pairs.filter(F.coalesce(fits, F.lit(True))).select("l", "r").distinct()
+
+
+def strategies(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, strategies): those of the pairs for which some strategy holds, on what the keyed classes have."""
+    side = lambda frame, as_: frame.select(F.col("name").alias(as_), *[F.col(c).alias(f"_{as_}_{c}") for c in ("words", "trigrams", "sounds")])
+    rows = pairs.join(side(left, "l"), "l").join(side(right, "r"), "r")
+    holds = {
+        "exact": F.col("l") == F.col("r"),
+        "phonetic": F.col("_l_sounds") == F.col("_r_sounds"),
+        "token": NM.jaccard(F.col("_l_words"), F.col("_r_words")) >= SETS["token"][1],
+        "trigram": NM.dice(F.col("_l_trigrams"), F.col("_r_trigrams")) >= SETS["trigram"][1],
+    }
+    each = F.array_compact(F.array(*[F.when(yes, F.lit(name)) for name, yes in holds.items()]))
+    return rows.select("l", "r", each.alias("strategies")).filter(F.size("strategies") > 0)
 
 
 def candidates(left: DataFrame, right: DataFrame, identified: DataFrame | None = None) -> DataFrame:
     """(l, r, strategies): the union, never the intersection, of all strategies.
 
-    ``identified`` has pairs (l, r) of classes in which bearers have an identifier in common.
+    All strategies meet in one join on keys; what a pair has in common is compared once.  ``identified`` has pairs
+    (l, r) of classes in which bearers have an identifier in common.
     """
     left, right = (x if "sounds" in x.columns else settled(keyed(x), "classes") for x in (left, right))
-    found = exact(left, right).unionByName(by_token(left, right)).unionByName(by_trigram(left, right)).unionByName(by_phonetic(left, right))
-    if identified is not None:
-        found = found.unionByName(identified.select("l", "r", F.lit("identifier").alias("strategy")))
-    return found.groupBy("l", "r").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"))
+    counts = settled(item_counts(left.select("name", "words", "trigrams").unionByName(right.select("name", "words", "trigrams"))), "items")
+    keys = [settled(postings(x, counts), "keys") for x in (left, right)]
+    found = strategies(met(*keys), left, right)
+    if identified is None:
+        return found
+    more = identified.select("l", "r", F.array(F.lit("identifier")).alias("strategies"))
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("strategies"))))
+    return found.unionByName(more).groupBy("l", "r").agg(every.alias("strategies"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ Attributes adjust a score and never remove a candidate; missing ones are neutral
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,9 +55,14 @@ def weights(kind: Column, config: dict = CONFIG) -> Column:
 
 
 def name_score(values: Column, w: Column) -> Column:
-    """Sum of weight by feature over the sum of weights, from 0 to 1."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    return total(F.zip_with(values, w, lambda v, x: v * x)) / total(w)
+    """Sum of weight by feature over the sum of weights, from 0 to 1, to 6 digits.
+
+    Features have 6 digits and weights at most 4, so the sums are decimal and exact: a tie rounds up wherever it is computed.
+    """
+    places = range(len(FEATURES))
+    weight = [w[k].cast("decimal(5,4)") for k in places]
+    total = reduce(add, [values[k].cast("decimal(7,6)") * weight[k] for k in places])
+    return F.round(total / reduce(add, weight), 6).cast("double")
 
 
 def dob_effect(asked: Column, listed: Column, config: dict = CONFIG) -> Column:
@@ -132,7 +140,7 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
     }
     structs = F.array(*[F.struct(F.lit(k).alias("reason"), v.alias("effect")) for k, v in effects.items()])
     rows = pairs.withColumns({"_w": weights(F.col("entity_type"), config), "_v": F.array(*FEATURES), "_e": structs})
-    rows = rows.withColumn("name_score", F.round(name_score(F.col("_v"), F.col("_w")), 6))
+    rows = rows.withColumn("name_score", name_score(F.col("_v"), F.col("_w")))
     rows = rows.withColumn("score", F.round(composite(F.col("name_score"), F.col("_e"), yes("identifier_match"), config), 4))
     explanation = F.struct(
         F.lit(config["version"]).alias("config_version"),
@@ -148,7 +156,7 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
 
 def recomputed(explanation: Column, config: dict = CONFIG) -> Column:
     """The score again, from its explanation alone."""
-    name = F.round(name_score(explanation["values"], explanation["weights"]), 6)
+    name = name_score(explanation["values"], explanation["weights"])
     return F.round(composite(name, explanation["effects"], explanation["identifier_match"], config), 4)
 
 

@@ -84,12 +84,16 @@ def classes(subjects: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def identified_classes(subjects: DataFrame, listed: DataFrame, subject_ids: DataFrame, listed_ids: DataFrame) -> DataFrame:
-    """(l, r): the name classes that have bearers with an identifier in common."""
-    hits = B.by_identifier(subject_ids, listed_ids)
-    named = lambda rows, own, as_: rows.select(F.col("id").alias(own), NM.normalised(F.col("name")).alias(as_))
-    return hits.join(named(subjects, "l", "l_name"), "l").join(named(listed, "r", "r_name"), "r").select(
-        F.col("l_name").alias("l"), F.col("r_name").alias("r")
-    ).filter("l <> '' and r <> ''").distinct()
+    """(l, r): the name classes that have bearers with an identifier in common.
+
+    Bearers become their classes before they meet, so a value that many bear makes pairs of distinct names only.
+    """
+
+    def by_class(ids: DataFrame, rows: DataFrame) -> DataFrame:
+        named = rows.select("id", NM.normalised(F.col("name")).alias("_name")).filter("_name <> ''")
+        return ids.join(named, "id").select(F.col("_name").alias("id"), "type", "value")
+
+    return B.by_identifier(by_class(subject_ids, subjects), by_class(listed_ids, listed))
 
 
 def screen_classes(left: DataFrame, right: DataFrame, identified: DataFrame | None, config: dict = SC.CONFIG) -> DataFrame:

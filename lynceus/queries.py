@@ -472,8 +472,8 @@ WEIGHTED = """, f AS (
   SELECT found.*, entity_type, round(jaro_winkler_similarity(@sl, @sr), 6) AS jw, round(@jt, 6) AS ja, round(@jp, 6) AS ph, round(@ed, 6) AS ed, round(@di, 6) AS ng
   FROM found JOIN (SELECT id AS subject, entity_type FROM n) USING (subject) WHERE exact OR token OR trigram OR phonetic
 ), g AS (
-  SELECT *, round(CASE entity_type WHEN 'INDIVIDUAL' THEN jw * 0.30::DOUBLE + ja * 0.20::DOUBLE + ph * 0.25::DOUBLE + ed * 0.15::DOUBLE + ng * 0.10::DOUBLE
-    ELSE jw * 0.25::DOUBLE + ja * 0.30::DOUBLE + ph * 0.10::DOUBLE + ed * 0.15::DOUBLE + ng * 0.20::DOUBLE END, 6) AS name_score FROM f
+  SELECT *, round(CASE entity_type WHEN 'INDIVIDUAL' THEN jw::DECIMAL(7,6) * 0.30 + ja::DECIMAL(7,6) * 0.20 + ph::DECIMAL(7,6) * 0.25 + ed::DECIMAL(7,6) * 0.15 + ng::DECIMAL(7,6) * 0.10
+    ELSE jw::DECIMAL(7,6) * 0.25 + ja::DECIMAL(7,6) * 0.30 + ph::DECIMAL(7,6) * 0.10 + ed::DECIMAL(7,6) * 0.15 + ng::DECIMAL(7,6) * 0.20 END, 6)::DOUBLE AS name_score FROM f
 ), h AS (
   SELECT *, round(least(100, name_score * 100), 4) AS score FROM g
 ), k AS (

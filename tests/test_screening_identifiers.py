@@ -1,5 +1,6 @@
 """Screening by identifiers and attributes, end to end."""
 
+from lynceus.operators import blocking
 from lynceus.plans import screening
 
 
@@ -27,3 +28,22 @@ def test_every_subject_has_an_outcome(spark):
     ids = lambda x: spark.createDataFrame([(x, "PASSPORT", "1")], "id long, type string, value string")
     got = screening.outcomes(subjects, listed, subject_ids=ids(2), listed_ids=ids(10)).collect()
     assert {r.id: r.outcome for r in got} == want | {2: "STRONG"} and len(got) == 6
+
+
+def test_values_that_say_nothing_match_nothing(spark):
+    ids = lambda *values: spark.createDataFrame([(k, "PASSPORT", v) for k, v in enumerate(values)], "id long, type string, value string")
+    values = ("-", "ЖЩ 12", "مرم", "", None, "???", "n/a", "Unknown", "000000", "X-1", "日本 7")
+    pairs = {tuple(r) for r in blocking.by_identifier(ids(*values), ids("???", "жщ12", "م ر م", "-", "N.A.", "UNKNOWN", "00-00-00", "x1", "日本7")).collect()}
+    assert pairs == {(1, 1), (2, 2), (9, 7), (10, 8)}
+    subjects = spark.createDataFrame([(1, "John Smith", "INDIVIDUAL")], "id long, name string, entity_type string")
+    listed = spark.createDataFrame([(2, "Petrova Olga")], "id long, name string")
+    assert screening.screen(subjects, listed, subject_ids=ids("-", "-"), listed_ids=ids("?", "?", "?")).count() == 0
+
+
+def test_a_hot_value_is_spread_and_makes_pairs_of_classes_only(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "PAIRS_A_TASK", 20_000)
+    rows = spark.range(600).selectExpr("id", "case when id % 3 = 0 then 'Ann Other' else concat('Name ', id) end name", "'T' type", "case when id < 400 then 'hot' else concat('v', id) end value")
+    pairs = blocking.by_identifier(rows, rows)
+    assert pairs.count() == 400 * 400 + 200 and pairs.distinct().count() == pairs.count()
+    named = screening.identified_classes(rows, rows, rows, rows)
+    assert named.count() == named.distinct().count() == 267 * 267 + 134
