@@ -253,6 +253,7 @@ from lynceus.functions import phonetics as PH  # noqa: E402
 from lynceus.operators import benchmark as BM  # noqa: E402
 from lynceus.operators import blocking as B  # noqa: E402
 from lynceus.operators import evidence as EV  # noqa: E402
+from lynceus.operators import index  # noqa: E402
 from lynceus.operators import operations as OP  # noqa: E402
 from lynceus.operators import scoring as SC  # noqa: E402
 from lynceus.operators import versions as VS  # noqa: E402
@@ -989,6 +990,50 @@ def delta_rescreen(spark, sf_dir):
     return orders.join(changed, "c_custkey", "left_semi").select("o_orderkey")
 
 
+#: The next version of the list of documents' names: some amended, some added, some withdrawn.
+DELTA = SQL_NAMES.replace("FROM n WHERE r <> '' GROUP BY 1\n)", f"""FROM (
+    SELECT id, {sql_norm("x")} AS r FROM (SELECT id, listed || ' Group' AS x FROM named WHERE id % 7 = 3 UNION ALL SELECT id + 1000000000, 'Neo ' || listed FROM named WHERE id % 13 = 2)
+  ) WHERE r <> '' GROUP BY 1
+)""")
+
+
+def _list_delta(spark, sf_dir):
+    """Names of the next version's new and amended records, and normalised names that it has no more."""
+    rows = synthetic.listed(spark, sf_dir)
+    amended = rows.filter("id % 7 = 3").withColumn("name", F.concat("name", F.lit(" Group")))
+    added = rows.filter("id % 13 = 2").select((F.col("id") + 1_000_000_000).alias("id"), F.concat(F.lit("Neo "), "name").alias("name"))
+    gone = (F.col("id") % 7 == 3) | (F.col("id") % 11 == 5)
+    named = rows.select(NM.normalised(F.col("name")).alias("name"), gone.alias("gone")).filter("name <> ''")
+    lost = named.groupBy("name").agg(F.every("gone").alias("gone")).filter("gone").select("name")
+    return amended.unionByName(added), lost
+
+
+@query("delta_rescreen_scored", DELTA + CROSS + WEIGHTED + "SELECT l, r, subject, entity, n_subjects, n_entities, score, band FROM k")
+def delta_rescreen_scored(spark, sf_dir):
+    """The documents' names as asked, as a registered population, against what a new version of the list changed."""
+    population = index.build(synthetic.subjects(spark, sf_dir), "id", "name", "entity_type")
+    changed, _ = _list_delta(spark, sf_dir)
+    return index.rescreened(population, changed, "id", "name").select("l", "r", "subject", "entity", "n_subjects", "n_entities", "score", "band")
+
+
+@query("index_updates", SQL_NAMES + f""", lost AS (
+  SELECT r AS name FROM n WHERE r <> '' GROUP BY 1 HAVING bool_and(id % 7 = 3 OR id % 11 = 5)
+), fresh AS (
+  SELECT id, {sql_norm("x")} AS name FROM (SELECT id, listed || ' Group' AS x FROM named WHERE id % 7 = 3 UNION ALL SELECT id + 1000000000, 'Neo ' || listed FROM named WHERE id % 13 = 2)
+), every AS (
+  SELECT name, rep FROM rw ANTI JOIN lost USING (name) UNION ALL SELECT name, min(id) FROM fresh WHERE name <> '' AND name NOT IN (SELECT name FROM rw ANTI JOIN lost USING (name)) GROUP BY 1
+)
+SELECT type, count(*) AS classes, sum(rep)::BIGINT AS reps FROM every, (SELECT unnest(['exact', 'phonetic']) AS type) GROUP BY 1
+""")
+def index_updates(spark, sf_dir):
+    """Live postings of whole names after a delta: withdrawn names are buried, new ones appended."""
+    first = index.build(synthetic.listed(spark, sf_dir), "id", "name")
+    changed, lost = _list_delta(spark, sf_dir)
+    now = index.live(index.updated(first, changed, lost, "id", "name"))
+    keys = now.keys.filter(F.col("type").isin("exact", "phonetic")).join(now.classes.select("name", "rep"), "name")
+    return keys.groupBy("type").agg(F.count("*").alias("classes"), F.sum("rep").alias("reps"))
+
+
 @query("repeat_alert_suppression", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 90 AS suppressed FROM orders")
 def repeat_alert_suppression(spark, sf_dir):
     alerts_ = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", VS.content_hash("o_custkey").alias("content_hash"), F.col("o_orderdate").cast("date").alias("closed_at"))
