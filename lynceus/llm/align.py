@@ -150,10 +150,13 @@ class Aligner:
         first = offsets[:-1][np.diff(offsets) > 0]
         start = units_of(data, first) if self.by_unit else first
         end = np.append(start[1:], len(data))
-        hashes = byte_hashes(data, start, end, 1)
+        size, pieces = end - start, _pieces(start, end)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(byte_hashes(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i], 1) for i, j in pieces)])
         _, top, which = np.unique(hashes, return_index=True, return_inverse=True)
-        size = end - start
-        same = (size[top][which] == size).all() and (data[np.repeat(start[top][which] - start, size) + np.arange(len(data))] == data).all()
+        same = bool((size[top][which] == size).all())
+        for i, j in pieces if same else []:  # every unit against the one that stands for it
+            like = np.repeat(start[top][which[i:j]] - start[i:j], size[i:j]) + np.arange(start[i], end[j - 1])
+            same = same and bool((data[like] == data[start[i] : end[j - 1]]).all())
         if not same:  # two units share a hash: each counts as one of its own
             top = which = np.arange(len(start))
         raw = data.tobytes()
@@ -172,6 +175,16 @@ class Aligner:
         return Run(per_text, n_a, n_b, n_links, links, groups)
 
 
+def _pieces(start: np.ndarray, end: np.ndarray, most: int = 512 << 10) -> list[tuple[int, int]]:
+    """(from, to) of runs of units that span so many bytes at most, or one longer unit."""
+    out, i = [], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + most, "right")))
+        out.append((i, j))
+        i = j
+    return out
+
+
 def _is_text(raw: bytes) -> bool:
     try:
         raw.decode()
@@ -314,6 +327,8 @@ def _answered():
 
 
 def _looked_up(files: tuple[str, ...], schema: pa.Schema):
+    digest = schema.names[-1] == "groups_sha256"
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -333,13 +348,12 @@ def _looked_up(files: tuple[str, ...], schema: pa.Schema):
             each = np.array([run.n_a, run.n_b, run.n_links, run.n_links, n_best, n_sum], np.int64)
             for mine in run.per_text:
                 numbers.append(each[:, mine].sum(axis=1))
-                groups.append("".join([run.groups[i] for i in mine.tolist()])[:-1])
+                said = "".join([run.groups[i] for i in mine.tolist()])[:-1]
+                groups.append(hashlib.sha256(said.encode()).hexdigest() if digest and said else said)
         table = docs.combine_chunks().drop_columns(["block", docs.column_names[2]])
         columns = np.array(numbers, np.int64).reshape(-1, 6).T
         for name, values in zip(COLUMNS, columns):
             table = table.append_column(name, pa.array(values))
-        if "groups_sha256" in schema.names:
-            groups = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
         return table.append_column(schema.names[-1], pa.array(groups, pa.string())).cast(schema)
 
     return run
