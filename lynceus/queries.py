@@ -250,6 +250,7 @@ def designation_flags(spark, sf_dir):
 
 from lynceus.functions import names as NM  # noqa: E402
 from lynceus.functions import phonetics as PH  # noqa: E402
+from lynceus.operators import alignment as AL  # noqa: E402
 from lynceus.operators import benchmark as BM  # noqa: E402
 from lynceus.operators import blocking as B  # noqa: E402
 from lynceus.operators import evidence as EV  # noqa: E402
@@ -524,6 +525,70 @@ def request_outcomes(spark, sf_dir):
     return screening.outcomes(synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir))
 
 
+def sql_gain(x: str, y: str) -> str:
+    long = f"greatest(length({x}.t), length({y}.t))"
+    alike = f"((({long} - levenshtein({x}.t, {y}.t)) * 1000000) // {long})"
+    return f"CASE WHEN {alike} >= 700000 THEN ({alike} * least({x}.w, {y}.w)) // 1000000 ELSE 0 END"
+
+
+def sql_fraction(t: str, w: str) -> str:
+    words = lambda x: ", ".join(map(repr, x))
+    cases = " ".join(f"WHEN {t} IN ({words(some)}) THEN {w} // {part}" for some, part in reversed(AL.FRACTIONS))
+    return f"CASE {cases} ELSE {w} END"
+
+
+#: Every way to assign words is tried.
+ALIGNED = SCORED.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""", df AS (
+  SELECT t, floor(1000000 * ln((n + 1)::DOUBLE / (count(*) + 1)) / ln(n + 1) + 0.5)::BIGINT AS idf FROM (SELECT unnest(list_distinct({sql_tokens('name')})) AS t FROM rw), (SELECT count(*) AS n FROM rw) GROUP BY t, n
+), w AS (
+  SELECT name, list({{'t': t, 'w': {sql_fraction('t', 'coalesce(idf, 1000000)')}}} ORDER BY t) AS ws FROM (
+    SELECT name, unnest(list_distinct({sql_tokens('name')})) AS t FROM (SELECT name FROM lw UNION SELECT name FROM rw)) LEFT JOIN df USING (t) GROUP BY name
+), p AS (
+  SELECT l, r, entity_type, CASE WHEN entity_type = 'INDIVIDUAL' THEN [{{'t': x.t, 'w': 1000000::BIGINT}} for x in a.ws] ELSE a.ws END AS a,
+    CASE WHEN entity_type = 'INDIVIDUAL' THEN [{{'t': x.t, 'w': 1000000::BIGINT}} for x in b.ws] ELSE b.ws END AS b FROM k JOIN w a ON a.name = l JOIN w b ON b.name = r
+), u AS (
+  SELECT *, [x for x in a if NOT list_contains([y.t for y in b], x.t)] AS x, [y for y in b if NOT list_contains([x.t for x in a], y.t)] AS y FROM p
+), gn AS (
+  SELECT *, [[{sql_gain('i', 'j')} for j in y] for i in x] AS gains FROM u
+), tried AS (
+  SELECT l, r, 0 AS i, []::BIGINT[] AS used, 0::BIGINT AS total FROM gn
+  UNION ALL
+  SELECT l, r, i + 1, CASE WHEN j = 0 THEN used ELSE list_append(used, j) END, total + CASE WHEN j = 0 THEN 0 ELSE gains[i + 1][j] END
+  FROM (SELECT t.*, gains, len(x) AS n, unnest(range(0, len(y) + 1)) AS j FROM tried t JOIN gn USING (l, r)) WHERE i < n AND NOT list_contains(used, j)
+), best AS (
+  SELECT l, r, max(total) AS best FROM tried GROUP BY 1, 2
+), sums AS (
+  SELECT gn.*, coalesce(list_sum([i.w for i in a]), 0)::BIGINT - coalesce(list_sum([i.w for i in x]), 0)::BIGINT + best AS both_, coalesce(list_sum([i.w for i in a]), 0)::BIGINT + coalesce(list_sum([i.w for i in b]), 0)::BIGINT AS all_,
+    coalesce(list_max(list_concat([x[i].w for i in range(1, len(x) + 1) if coalesce(list_max(gains[i]), 0) = 0], [y[j].w for j in range(1, len(y) + 1) if coalesce(list_max([q[j] for q in gains]), 0) = 0])), 0) AS missing
+  FROM gn JOIN best USING (l, r)
+), al AS (
+  SELECT l, r, entity_type, round(coalesce(both_::DOUBLE / nullif(all_ - both_, 0), 0) * (10000000 - CASE WHEN entity_type <> 'INDIVIDUAL' AND missing >= 500000 THEN missing * 5 ELSE 0 END) / 10000000, 6) AS alignment FROM sums
+)
+"""
+
+
+def _compared(spark, sf_dir):
+    """Candidate pairs with features, and the list's classes."""
+    left, right = screening.classes(synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir))
+    pairs = B.candidates(left, right).join(left.select(F.col("name").alias("l"), "entity_type"), "l")
+    return SC.features(pairs), right
+
+
+@query("soft_alignment", ALIGNED + "SELECT * FROM al")
+def soft_alignment(spark, sf_dir):
+    return AL.aligned(*_compared(spark, sf_dir)).select("l", "r", "entity_type", "alignment")
+
+
+@query("organisation_score", ALIGNED + """, os AS (
+  SELECT l, r, round(jw::DECIMAL(7,6) * 0.25 + alignment::DECIMAL(7,6) * 0.30 + ph::DECIMAL(7,6) * 0.10 + ed::DECIMAL(7,6) * 0.15 + ng::DECIMAL(7,6) * 0.20, 6)::DOUBLE AS s FROM k JOIN al USING (l, r) WHERE k.entity_type <> 'INDIVIDUAL'
+)
+SELECT l, r, round(s * 100, 4) AS score, CASE WHEN round(s * 100, 4) >= 92 THEN 'STRONG' WHEN round(s * 100, 4) >= 75 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS band FROM os
+""")
+def organisation_score(spark, sf_dir):
+    """Organisations under the configuration that weighs words by the corpus."""
+    return AL.scored(*_compared(spark, sf_dir)).filter("entity_type <> 'INDIVIDUAL'").select("l", "r", "score", "band")
+
+
 @query("explanation", SCORED + "SELECT l, r, score, score AS recomputed FROM k")
 def explanation(spark, sf_dir):
     return _screened(spark, sf_dir).select("l", "r", "score", SC.recomputed(F.col("explanation")).alias("recomputed"))
