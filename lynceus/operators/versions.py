@@ -78,3 +78,29 @@ def fingerprint(rows: DataFrame) -> DataFrame:
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents, key, "left_anti")
+
+
+def in_force(requests: DataFrame, versions: DataFrame, at: str, start: str, payload: list[str], as_: str, key: tuple[str, ...] = (), days: int = 7) -> DataFrame:
+    """Every request with ``as_``, the payload of the version in force at its own time, null before the first one.
+
+    A version is in force from its start on, until the next one of the same key (of the whole table without a key);
+    of versions that start at once the greatest payload counts.  A request without a time has none.  Time is cut
+    into buckets of ``days``: what is in force when a bucket begins is found among versions and buckets alone, and
+    requests meet only the versions of their bucket, so neither a key with most of the requests nor a table of
+    versions for all of them is one task's work.
+    """
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    width = days * 86400
+    keys = [F.col(c) for c in key]
+    once = versions.groupBy(*key, F.col(start).alias("_t")).agg(F.max(F.struct(*payload)).alias("_p"))
+    once = once.select(*keys, F.col("_t").cast("timestamp").alias("_t"), F.lit(0).alias("_kind"), "_p")
+    asked = requests.select(*keys, F.col(at).cast("timestamp").alias("_t"), F.lit(1).alias("_kind"), F.floor(second(at) / width).alias("_bucket"), F.struct(*requests.columns).alias("_r"))
+    begin = (F.col("_bucket") * width).cast("timestamp")
+    marks = asked.select(*keys, "_bucket").distinct().select(*keys, begin.alias("_t"), F.lit(-1).alias("_kind"), "_bucket")
+    so_far = lambda by: F.last("_p", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    every = once.unionByName(marks, allowMissingColumns=True).withColumn("_p", so_far(key or [F.lit(0)]))
+    marks = every.filter("_kind = -1")
+    inside = once.withColumn("_bucket", F.floor(F.unix_timestamp("_t") / width))
+    rows = asked.unionByName(marks, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True)
+    found = rows.withColumn("_p", so_far([*key, "_bucket"])).filter("_kind = 1")
+    return found.select("_r.*", F.when(F.col("_t").isNotNull(), F.col("_p")).alias(as_))

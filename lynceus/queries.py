@@ -852,6 +852,32 @@ def point_in_time(spark, sf_dir):
     return VS.as_of(_versions(spark, sf_dir), F.lit("1996-06-30").cast("timestamp_ntz")).select("o_custkey", "o_orderkey")
 
 
+@query("requests_as_of", """
+WITH req AS (
+  SELECT l_orderkey, l_linenumber, l_shipdate AS at, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), rec AS (
+  SELECT o_custkey, o_orderdate AS start, max(o_orderkey) AS version FROM orders GROUP BY ALL
+), conf AS (
+  SELECT o_orderdate AS start, max(o_orderkey) AS version FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 1 GROUP BY ALL
+), white AS (
+  SELECT o_custkey, o_orderdate AS start, max(o_orderkey) AS entry FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL
+)
+SELECT l_orderkey, l_linenumber, rec.version AS record_version, conf.version AS config_version, coalesce(req.at < white.start + INTERVAL 30 DAY, false) AS whitelisted
+FROM req ASOF LEFT JOIN rec ON req.o_custkey = rec.o_custkey AND req.at >= rec.start ASOF LEFT JOIN conf ON req.at >= conf.start
+  ASOF LEFT JOIN white ON req.o_custkey = white.o_custkey AND req.at >= white.start
+""")
+def requests_as_of(spark, sf_dir):
+    """Line items as requests at their ship dates: their customer's record, the configuration and the whitelist entry in force then."""
+    orders = load(spark, sf_dir, "orders")
+    requests = load(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at"), "o_custkey")
+    rows = VS.in_force(requests, orders, "at", "o_orderdate", ["o_orderkey"], "record", ("o_custkey",))
+    rows = VS.in_force(rows, orders.filter("o_orderpriority = '1-URGENT' and o_orderkey % 40 = 1"), "at", "o_orderdate", ["o_orderkey"], "config")
+    entries = orders.filter("o_orderstatus = 'F'").withColumn("until", F.col("o_orderdate") + F.expr("interval 30 days"))
+    rows = VS.in_force(rows, entries, "at", "o_orderdate", ["o_orderkey", "until"], "entry", ("o_custkey",))
+    white = F.coalesce(F.col("at") < F.col("entry.until"), F.lit(False))
+    return rows.select("l_orderkey", "l_linenumber", F.col("record.o_orderkey").alias("record_version"), F.col("config.o_orderkey").alias("config_version"), white.alias("whitelisted"))
+
+
 @query("list_fingerprint", "SELECT count(*) AS n, sum(('0x' || substr(sha256('=' || c_mktsegment || chr(31) || '=' || c_name || chr(31) || '=' || c_nationkey), 1, 8))::BIGINT)::BIGINT AS checksum FROM customer")
 def list_fingerprint(spark, sf_dir):
     return VS.fingerprint(_lists(spark, sf_dir)[0])
