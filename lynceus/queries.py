@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lynceus.functions import narrative as N
 from lynceus.operators import facts as FX
 from lynceus.operators import reports as R
+from lynceus.operators.shared import shared_folder
 from lynceus.plans.synthetic import narratives
 from lynceus.plans.synthetic import notices as synthetic_notices
 
@@ -261,6 +265,7 @@ from lynceus.operators import versions as VS  # noqa: E402
 from lynceus.plans import screening, synthetic  # noqa: E402
 from lynceus.plans.synthetic import load  # noqa: E402
 from lynceus.sources import adapters  # noqa: E402
+from lynceus.sources import lines as LN  # noqa: E402
 from lynceus.streaming import rescreen  # noqa: E402
 
 
@@ -1190,3 +1195,36 @@ def list_sources(spark, sf_dir):
 def strided_sample(spark, sf_dir):
     rows = load(spark, sf_dir, "customer").withColumn("ordinal", F.col("c_custkey") + 1)
     return FX.strided(rows, "ordinal", 7, 1000).select("c_custkey")
+
+
+#: The customers as a delivery: every 97th line is broken, every 89th record has no name.
+DELIVERY = """
+WITH d AS (
+  SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS ordinal, c_custkey % 97 = 5 AS broken, c_custkey % 89 = 7 AS nameless FROM customer
+)
+"""
+
+
+def _delivery(spark, sf_dir):
+    """A table written as JSON lines in several files, by key, and read again as a feed."""
+    key = F.col("c_custkey")
+    record = F.to_json(F.struct("c_custkey", F.when(key % 89 != 7, F.col("c_name")).alias("c_name"), "c_nationkey"))
+    line = F.when(key % 97 == 5, F.concat(F.left(record, F.length(record) - 9), F.lit("}"))).otherwise(record)
+    rows = load(spark, sf_dir, "customer").repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey")
+    path = f"{shared_folder(spark)}/delivery-{uuid.uuid4().hex}"
+    rows.select(line.alias("value")).write.text(path)
+    schema = T.StructType().add("c_custkey", "long").add("c_name", "string").add("c_nationkey", "integer")
+    return LN.parsed(LN.lined(spark, path), schema, "json")
+
+
+@query("feed_sample", DELIVERY + "SELECT c_custkey, ordinal FROM d WHERE ordinal % 7 = 0 AND ordinal <= 1000 AND NOT broken")
+def feed_sample(spark, sf_dir):
+    """Every seventh record by its place in the feed, over several files and splits."""
+    return FX.strided(_delivery(spark, sf_dir).filter("_corrupt_record is null"), "ordinal", 7, 1000).select("c_custkey", "ordinal")
+
+
+@query("feed_quarantine", DELIVERY + "SELECT ordinal, CASE WHEN broken THEN 'MALFORMED' ELSE 'MISSING_C_NAME' END AS reason FROM d WHERE broken OR nameless")
+def feed_quarantine(spark, sf_dir):
+    """Lines that are no records or lack a name; each names its file and line, which tell the place in the feed."""
+    rows = _delivery(spark, sf_dir)
+    return LN.quarantined(rows, ("c_name",)).join(rows.select("file", "line", "ordinal"), ["file", "line"]).select("ordinal", "reason")
