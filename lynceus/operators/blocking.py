@@ -219,6 +219,42 @@ def candidates(left: DataFrame, right: DataFrame, identified: DataFrame | None =
     return found.unionByName(more).groupBy("l", "r").agg(every.alias("strategies"))
 
 
+OUTCOME = "array<struct<strategy:string,outcome:string,found:bigint>>"
+
+
+def accounted(
+    left: DataFrame, right: DataFrame, failing: dict[str, Column] | None = None, most: int | None = None, identified: DataFrame | None = None, can_identify: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates as candidates() has them, and how each strategy ended for each class of ``left``.
+
+    ``failing`` says by strategy for which classes (name, words, trigrams, sounds) it gave no answer: what only such
+    a strategy would have found is not among the candidates, and is accounted for.  The second table has (l, outcome,
+    found, by_strategy, gaps): by_strategy lists COMPLETE, PARTIAL (it failed) or TRUNCATED (it found more than
+    ``most``) and what it found; ``gaps`` the strategies that could not be tried, as the class has nothing that they
+    compare.  One PARTIAL strategy makes the class PARTIAL, else one TRUNCATED makes it TRUNCATED.  No class is left
+    out: one without candidates has an outcome, too.  ``identified`` are pairs by identifiers, which only classes for
+    which ``can_identify`` holds have, all of them if it is not given.
+    """
+    left, right = (x if "sounds" in x.columns else settled(keyed(x), "classes") for x in (left, right))
+    names = [s for s in STRATEGIES if s != "identifier" or identified is not None]
+    failing = {s: F.coalesce((failing or {}).get(s, F.lit(False)), F.lit(False)) for s in names}
+    tried = {"exact": F.lit(True), "token": F.size("words") > 0, "trigram": F.size("trigrams") > 0, "phonetic": F.col("sounds") != "", "identifier": F.lit(True) if can_identify is None else can_identify}
+    some = lambda flags: F.array_compact(F.array(*[F.when(flag, F.lit(s)) for s, flag in flags.items()]))
+    state = left.select(F.col("name").alias("l"), some(failing).alias("failed"), some({s: ~tried[s] for s in names}).alias("gaps"))
+    state = settled(state, "states")
+    found = candidates(left, right, identified).join(state.select("l", "failed"), "l")
+    found = found.withColumn("strategies", F.array_except("strategies", "failed")).drop("failed").filter(F.size("strategies") > 0)
+    found = settled(found, "candidates")
+    counts = found.select("l", F.explode("strategies").alias("s")).groupBy("l").agg(*[F.count_if(F.col("s") == s).alias(s) for s in names])
+    total = found.groupBy("l").agg(F.count("*").alias("found"))
+    rows = state.join(counts, "l", "left").join(total, "l", "left").fillna(0, [*names, "found"])
+    each = F.array(*[F.struct(F.lit(s).alias("strategy"), F.when(F.array_contains("failed", s), "PARTIAL").when(F.col(s) > (most if most is not None else 1 << 62), "TRUNCATED").otherwise("COMPLETE").alias("outcome"), F.col(s).alias("found")) for s in names])
+    rows = rows.withColumn("by_strategy", F.filter(each, lambda x: ~F.array_contains("gaps", x["strategy"])).cast(OUTCOME))
+    any_ = lambda word: F.exists("by_strategy", lambda x: x["outcome"] == word)
+    outcome = F.when(any_("PARTIAL"), "PARTIAL").when(any_("TRUNCATED"), "TRUNCATED").otherwise("COMPLETE")
+    return found, rows.select("l", outcome.alias("outcome"), "found", "by_strategy", "gaps")
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(strategy, n_true, n_found, recall): of true pairs (l, r), by strategy and by all of them."""
     hits = truth.distinct().join(found, ["l", "r"], "left")

@@ -128,3 +128,23 @@ def outcomes(
     found = rows.withColumn("_of", F.struct(*keys)).transform(lambda x: SC.request_outcome(x, "_of"))
     joined = asked.withColumn("_of", F.struct(*keys)).join(found, "_of", "left")
     return joined.select("id", "l", F.when(F.col("l") == "", "ERROR").otherwise(F.coalesce("outcome", F.lit("NO_MATCH"))).alias("outcome"))
+
+
+def accounted(left: DataFrame, right: DataFrame, failing: dict, most: int | None = None, config: dict = SC.CONFIG, sources: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Scored candidates of keyed classes, and (l, candidates, outcome) of every class asked.
+
+    A class for which a strategy failed is an ERROR, with its candidates; others are as if nothing had failed.  The
+    explanation also has the strategies with their outcomes, the sources consulted and the capability gaps.
+    """
+    pairs, account = B.accounted(left, right, failing, most)
+    account = settled(account, "accounts")
+    pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), "entity_type"), "l")
+    pairs = pairs.join(right.select(F.col("name").alias("r"), F.col("rep").alias("entity")), "r")
+    pairs = pairs.join(account.select("l", (F.col("outcome") != "PARTIAL").alias("complete"), F.col("by_strategy").alias("_by"), "gaps"), "l")
+    rows = SC.ranked(SC.scored(SC.features(pairs), config), "l")
+    consulted = F.array(*map(F.lit, sources)).cast("array<string>")
+    more = F.struct(F.col("explanation.*"), F.col("strategies"), F.col("_by").alias("strategyOutcomes"), consulted.alias("sourcesConsulted"), F.col("gaps").alias("capabilityGaps"))
+    rows = rows.withColumn("explanation", more).drop("_by", "gaps")
+    best = SC.request_outcome(rows, "l").withColumnRenamed("outcome", "_band")
+    told = account.join(best, "l", "left").withColumn("band", F.when(F.col("outcome") == "PARTIAL", "ERROR").otherwise(F.coalesce("_band", F.lit("NO_MATCH"))))
+    return rows, told.select("l", F.col("outcome").alias("candidates"), F.col("band").alias("outcome"), "found", "by_strategy", "gaps")

@@ -683,6 +683,45 @@ def identifier_lift(spark, sf_dir):
     return rows.select("l", "r", "name_score", "identifier_match", "score", "band")
 
 
+#: Classes for which a strategy gives no answer: by sound for names from a to c, by trigrams for short names.
+ACCOUNTED = SCORED + """, fl AS (
+  SELECT name AS l, name < 'd' AS no_sound, length(name) < 12 AS no_trigram FROM lw
+), left_ AS (
+  SELECT k.l, k.r, k.band, exact, token, trigram AND NOT no_trigram AS trigram, phonetic AND NOT no_sound AS phonetic FROM k JOIN fl USING (l)
+), kept AS (
+  SELECT * FROM left_ WHERE exact OR token OR trigram OR phonetic
+), acc AS (
+  SELECT l, any_value(no_sound OR no_trigram) AS partial, count(r) AS found, greatest(count(*) FILTER (exact), count(*) FILTER (token), count(*) FILTER (trigram), count(*) FILTER (phonetic)) AS most,
+    max(CASE band WHEN 'STRONG' THEN 2 WHEN 'POSSIBLE' THEN 1 ELSE 0 END) AS grave FROM fl LEFT JOIN kept USING (l) GROUP BY 1
+)
+"""
+
+
+def _accounted(spark, sf_dir):
+    left, right = screening.classes(synthetic.subjects(spark, sf_dir), synthetic.listed(spark, sf_dir))
+    return screening.accounted(left, right, {"phonetic": F.col("name") < "d", "trigram": F.length("name") < 12}, 3)
+
+
+@query("candidate_outcomes", ACCOUNTED + """
+SELECT l, found, CASE WHEN partial THEN 'PARTIAL' WHEN most > 3 THEN 'TRUNCATED' ELSE 'COMPLETE' END AS candidates,
+  CASE WHEN partial THEN 'ERROR' WHEN grave = 2 THEN 'STRONG' WHEN grave = 1 THEN 'POSSIBLE' ELSE 'NO_MATCH' END AS outcome FROM acc
+""")
+def candidate_outcomes(spark, sf_dir):
+    """How the candidates of every name were found, where two strategies fail for some; these names alone are errors."""
+    return _accounted(spark, sf_dir)[1].select("l", "found", "candidates", "outcome")
+
+
+@query("explained_strategies", ACCOUNTED + """
+SELECT l, r, array_to_string(list_sort([x.s for x in [{'s': 'exact', 'y': exact}, {'s': 'token', 'y': token}, {'s': 'trigram', 'y': trigram}, {'s': 'phonetic', 'y': phonetic}] if x.y]), ',') AS strategies,
+  concat_ws(',', CASE WHEN no_trigram THEN 'trigram' END, CASE WHEN no_sound THEN 'phonetic' END) AS failed FROM kept JOIN fl USING (l)
+""")
+def explained_strategies(spark, sf_dir):
+    """Of every candidate the strategies that found it, and those that failed for its name."""
+    e = F.col("explanation")
+    failed = F.transform(F.filter(e["strategyOutcomes"], lambda x: x["outcome"] == "PARTIAL"), lambda x: x["strategy"])
+    return _accounted(spark, sf_dir)[0].select("l", "r", F.array_join(e["strategies"], ",").alias("strategies"), F.array_join(failed, ",").alias("failed"))
+
+
 @query("candidate_pages", SCORED + "SELECT l, r, rank, ((rank - 1) // 10 + 1)::INT AS page, max((rank - 1) // 10 + 1) OVER (PARTITION BY l)::INT AS pages FROM k")
 def candidate_pages(spark, sf_dir):
     return SC.paged(_screened(spark, sf_dir), "l", 10).select("l", "r", "rank", "page", "pages")
