@@ -33,12 +33,14 @@ def _numbered(batches):
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(number), batch.column("value")], names=["file", "block", "n", "value"])
 
 
-def lined(spark: SparkSession, path: str) -> DataFrame:
+def lined(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(file, line, ordinal, value) of every line of the files, both numbers from 1; files follow each other by path.
 
-    Empty lines count and are kept.  The result is a table: a split's lines are read once.
+    Empty lines count and are kept.  Lines end at ``separator``, if one is given.  The result is a table: a split's
+    lines are read once.
     """
-    scan = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    scan = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     rows = settled(scan.mapInArrow(_numbered, SPLIT_LINES), "lines")
     splits = rows.groupBy("file", "block").agg(F.count("*").alias("lines"))
     before = lambda *by: F.coalesce(F.sum("lines").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
