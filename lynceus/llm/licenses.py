@@ -2,8 +2,10 @@
 
 All rolling word k-gram hashes of the documents are joined to the template positions that have them.
 A hit at document word i and template word j, verified word by word, votes for the diagonal i - j.
-Votes are aggregated by diagonal, neighbouring diagonals of a template merge into a span, and a span
-is kept when it covers enough of the template.
+Votes are aggregated by diagonal, and neighbouring diagonals of a template merge into a span: those from one
+diagonal on, as far as words may have been added or left out in all, so that a span is hardly longer than its
+template and has its words in their order.  A span is kept when it covers enough of the template, and of spans
+that share diagonals the one that covers most.
 """
 
 from __future__ import annotations
@@ -88,34 +90,32 @@ def spans(keyed: DataFrame, templates: DataFrame, drift: int = 2, least: float =
     """Verified spans: (doc_key, template, label, whole, share, first, last), words counted from 0.
 
     ``keyed`` has doc_key and text.  Every vote is verified word by word.  ``whole`` templates need all
-    k-grams on one diagonal; the others need ``least`` of their k-grams on diagonals of which each is
-    within ``drift`` of the next, so that words may be missing, added or changed.
+    k-grams on one diagonal; the others need ``least`` of their k-grams on diagonals that are no more than
+    ``drift``, or a quarter of the template's length, apart in all, so that words may be missing, added or changed.
     """
     rolled = keyed.select("doc_key", F.posexplode(grams(words_of(F.col("text")))).alias("pos", "g")).select(
         "doc_key", "pos", F.col("g.gram").alias("gram"), F.col("g.parts").alias("found")
     )
+    longest = templates.agg(F.max("length")).first()[0] or 0
     if templates.limit(SMALL + 1).count() <= SMALL:
         templates = F.broadcast(templates)
     votes = rolled.join(templates, "gram").filter(F.col("found") == F.col("parts"))
     diagonals = votes.groupBy(
         "doc_key", "template", "label", "whole", "length", (F.col("pos") - F.col("at")).alias("diagonal")
     ).agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    most = max(drift, longest // 4)
+    own = F.when(F.col("whole"), 0).otherwise(F.greatest(F.lit(drift), F.floor(F.col("length") / 4)))
     near = Window.partitionBy("doc_key", "template").orderBy("diagonal")
-    apart = F.col("whole") | (F.col("diagonal") - F.lag("diagonal", 1, -(10**9)).over(near) > drift)
-    return (
-        diagonals.filter(~F.col("whole") | (F.size("ats") == F.col("length") - (K - 1)))
-        .withColumn("apart", apart.cast("int"))
-        .withColumn("span", F.sum("apart").over(near))
-        .groupBy("doc_key", "template", "label", "whole", "length", "span")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_grams"),
-            F.min("first").cast("long").alias("first"),
-            (F.max("last") + (K - 1)).cast("long").alias("last"),
-        )
-        .withColumn("share", F.col("n_grams") / (F.col("length") - (K - 1)))
-        .filter(F.col("share") >= least)
-        .drop("length", "span", "n_grams")
-    )
+    ahead = F.collect_list(F.struct("diagonal", "ats", "first", "last")).over(near.rangeBetween(0, most))
+    merged = diagonals.withColumn("ahead", F.filter(F.transform(ahead, lambda x: F.struct((x["diagonal"] - F.col("diagonal")).alias("off"), x.alias("d"))), lambda x: x["off"] <= own))
+    of = lambda name: F.transform("ahead", lambda x: x["d"][name])
+    share = F.size(F.array_distinct(F.flatten(of("ats")))) / (F.col("length") - (K - 1))
+    found = merged.select(
+        "doc_key", "template", "label", "whole", "diagonal", share.alias("share"), F.array_min(of("first")).cast("long").alias("first"),
+        (F.array_max(of("last")) + (K - 1)).cast("long").alias("last"),
+    ).filter(F.col("share") >= F.when(F.col("whole"), 1.0).otherwise(least))
+    best = F.max(F.struct("share", (-F.col("diagonal")).alias("d"))).over(near.rangeBetween(-most, most))
+    return found.withColumn("best", best).filter(F.col("whole") | (F.col("best.d") == -F.col("diagonal"))).drop("diagonal", "best")
 
 
 def key_of(own_id: Column, text: Column) -> Column:
