@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynceus.sources.lines import lined
+
 CRLF = "\r\n"
 VERSION = "WARC/1.1" + CRLF
 #: References in text: decimal, hexadecimal, named; and the characters of the named ones, as HTML defines them.
@@ -19,7 +22,9 @@ REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")} | {"nbsp": " "}
 LINK = r"(?i)<a[ \t\r\n\f](?:[^>]*?[ \t\r\n\f])?href[ \t\r\n\f]*=[ \t\r\n\f]*(\"[^\"]*\"|'[^']*'|[^ \t\r\n\f\"'>]+)"
 UNSEEN = r"(?is)<!--.*?-->|<(?:script|style|title)\b[^>]*>.*?</(?:script|style|title)\s*>"
-BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|aside|main|form|body|html|blockquote|pre)\b[^>]*>"
+#: Elements that end a line.
+BLOCK = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|thead|tbody|tfoot|caption|table|article|section|nav|header|footer|aside|main|form|fieldset|legend|option|select|body|html|blockquote|pre|figure|figcaption|address|details|summary|dialog|center|hgroup|search|menu"
+BREAKS = rf"(?i)</?(?:{BLOCK})\b[^>]*>"
 
 
 def _character(reference: Column) -> Column:
@@ -95,7 +100,9 @@ def derivatives(source: DataFrame, id_col: str = "page_id") -> DataFrame:
     links = F.transform(
         F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.when(x.rlike("^[\"']"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
     )
-    headers = F.filter(F.split("http_headers", CRLF), lambda x: x.contains(": "))
+    unfolded = F.regexp_replace("http_headers", r"\r?\n[ \t]+", " ")  # a line that begins with a blank goes on with the one before
+    named = F.filter(F.split(unfolded, r"\r?\n"), lambda x: x.rlike(r"^[^:\s]+[ \t]*:"))
+    headers = F.transform(named, lambda x: F.concat(F.rtrim(F.substring_index(x, ":", 1)), F.lit(": "), F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
     lines = F.concat(
         F.array(F.concat(F.lit("title: "), title)),
         F.transform(headers, lambda x: F.concat(F.lit("source-"), x)),
@@ -143,20 +150,45 @@ def write_records(made: DataFrame, path: str) -> None:
     made.select(F.expr("substring(record, 1, length(record) - 4)").alias("record")).write.option("lineSep", CRLF + CRLF).text(path)
 
 
+def _chained(table: pa.Table) -> pa.Table:
+    """Of one file's pieces in order, the piece that each one's record begins with."""
+    table = table.sort_by("line")
+    lines, sizes, needs = (table.column(c).to_pylist() for c in ("line", "bytes", "need"))
+    begins, first, left = [], None, 0
+    for line, size, need in zip(lines, sizes, needs):
+        if first is None or left <= 0:
+            first, left = line, need or 0
+        begins.append(first)
+        left -= size
+    return pa.Table.from_arrays([table.column("file"), table.column("line"), pa.array(begins, pa.int64())], names=["file", "line", "begin"])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(warc_type, record_id, refers_to, target_uri, content_length, headers, block, whole) of written records.
+    """(warc_type, record_id, refers_to, target_uri, content_length, headers, block, whole) of written records, of any version.
 
-    Files are split between tasks where one record ends and the next begins; ``whole`` tells whether the
-    block has the length that its header states.
+    Files, gzipped or not, are split between tasks where one record may end and the next begin.  A record ends where
+    its Content-Length says: pieces that its block reaches into are put together again, so a block may quote other
+    records.  Only the sizes of a file's pieces meet in one task.  ``whole`` tells whether the file has the whole block.
     """
-    rows = spark.read.option("lineSep", CRLF + CRLF + VERSION).text(path)
-    text = F.regexp_replace("value", "^" + VERSION, "")
-    rows = rows.select(F.split(F.regexp_replace(text, "(" + CRLF + "){2}$", ""), CRLF + CRLF, 2).alias("r")).filter(F.size("r") == 2)
-    lines = F.transform(F.split(F.col("r")[0], CRLF), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("name"), F.regexp_replace(x, "^[^:]*: ?", "").alias("value")))
-    rows = rows.select(lines.alias("headers"), F.col("r")[1].alias("block"))
+    pieces = lined(spark, path, CRLF + CRLF + "WARC/").select("file", "line", F.regexp_replace("value", "^WARC/", "").alias("value"))
+    head = F.substring_index("value", CRLF + CRLF, 1)
+    stated = F.regexp_extract(head, r"(?i)\r\n(?:content-length)[ \t]*:[ \t]*(\d+)[ \t]*(?:\r\n|$)", 1)
+    need = F.when(stated != "", F.octet_length(head) + 4 + stated.cast("long"))
+    sizes = pieces.select("file", "line", (F.octet_length("value") + 9).cast("long").alias("bytes"), need.cast("long").alias("need"))
+    begins = sizes.groupBy("file").applyInArrow(_chained, "file string, line long, begin long")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"])  # one record's pieces
+    whole = pieces.join(begins, ["file", "line"]).groupBy("file", "begin").agg(F.array_join(parts, CRLF + CRLF + "WARC/").alias("value"))
+    rows = whole.select(F.split("value", CRLF + CRLF, 2).alias("r")).filter(F.size("r") == 2)
+    unfolded = F.regexp_replace(F.col("r")[0], r"\r\n[ \t]+", " ")
+    lines = F.transform(
+        F.filter(F.split(unfolded, CRLF), lambda x: x.contains(":")),
+        lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")),
+    )
+    rows = rows.select(lines.alias("headers"), F.col("r")[1].alias("rest"))
     of = lambda name: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
     length = of("content-length").cast("long")
+    block = F.decode(F.substring(F.col("rest").cast("binary"), F.lit(1), F.coalesce(length, F.octet_length("rest")).cast("int")), "UTF-8")
     return rows.select(
         of("warc-type").alias("warc_type"), of("warc-record-id").alias("record_id"), of("warc-refers-to").alias("refers_to"),
-        of("warc-target-uri").alias("target_uri"), length.alias("content_length"), "headers", "block", (F.octet_length("block") == length).alias("whole"),
+        of("warc-target-uri").alias("target_uri"), length.alias("content_length"), "headers", block.alias("block"), (F.octet_length("rest") >= length).alias("whole"),
     )
