@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +35,8 @@ OPAQUE = 0.35
 HIDDEN, PATH, TERMS, SHARES = 12, 48, 16, 4
 WIDTH = PATH + TERMS + SHARES
 CELL = 3.0
+#: Blocks, padding included, that the network reads at once.
+CELLS = 20_000
 
 #: Elements that stand inside a block's text, and elements without an end.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,14 +44,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style template noscript title textarea select option iframe object svg math head".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+RAW = re.compile(r"(script|style|template|noscript|textarea|title)\b", re.I)
+ELEMENT = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+SPECIAL = re.compile(r"[>\"']")
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -57,6 +55,80 @@ ASIDE = frozenset("nav header footer aside form menu sidebar ad ads advert banne
 MAIN = frozenset("article main".split())
 
 
+class Tags:
+    """Start and end of every tag, comment and declaration of a page, from left to right, in time linear in its length.
+
+    A tag ends at the first ``>`` outside of quotes.  Where none follows, what was looked at is remembered, so that
+    no later tag looks at it again: whether a tag ends depends only on the next of ``>``, ``"`` and ``'`` outside of quotes.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.least = page, page.rfind("<"), page.rfind(">")
+        self.hopeless: set[int] = set()
+        self.next = (0, -1)  # from, to: no special character between them
+        self.none: dict[str, int] = {}
+
+    def _special(self, at: int) -> int:
+        if not self.next[0] <= at <= self.next[1]:
+            found = SPECIAL.search(self.page, at) if at < self.none.get("", len(self.page)) else None
+            if not found:
+                self.none[""] = min(at, self.none.get("", at))
+                return -1
+            self.next = at, found.start()
+        return self.next[1]
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; -1 if it does not."""
+        seen = []
+        while (q := self._special(at)) >= 0 and q not in self.hopeless:
+            quote = self.page[q]
+            if quote == ">":
+                return q
+            seen.append(q)
+            close = -1 if q >= self.none.get(quote, len(self.page)) else self.page.find(quote, q + 1)
+            if close < 0:
+                self.none[quote] = min(q, self.none.get(quote, q))
+                break
+            at = close + 1
+        self.hopeless.update(seen)
+        return -1
+
+    def __iter__(self):
+        """(start, end, name, is an end tag, attributes); no name for what is no element of the text."""
+        page, at, n = self.page, 0, len(self.page)
+        while (i := page.find("<", at)) >= 0:
+            at = i + 1
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                at = n if end < 0 else end + 3
+                yield i, at, None, False, ""
+                continue
+            closing = page.startswith("/", i + 1)
+            name = ELEMENT.match(page, i + 1 + closing)
+            if name:
+                end = self._end(name.end())
+                if end >= 0:
+                    at = end + 1
+                    raw = None if closing else RAW.match(page, i + 1)
+                    if raw:
+                        close = re.compile(rf"</{raw[1]}\s*>", re.I).search(page, at)
+                        at = close.end() if close else n
+                        yield i, at, None, False, ""
+                    else:
+                        yield i, at, name[0].lower(), closing, page[name.end() : end]
+                elif i == self.last and self.least < i:  # the page ends inside the tag
+                    at = n
+                    yield i, at, None, False, ""
+            elif page.startswith(("<!", "<?"), i):
+                end = page.find(">", i) if i < self.least else -1
+                at = n if end < 0 else end + 1
+                yield i, at, None, False, ""
+
+
+#: Of more open elements than this, the path has so many outermost and innermost ones.
+DEEP = 64
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters in links) of the page's leaf blocks that have text.
 
@@ -71,47 +143,54 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                path = tuple(x for _, names, _, _ in stack for x in names)
+                shown = stack if len(stack) <= 2 * DEEP else stack[:DEEP] + stack[-DEEP:]
+                path = tuple(x for _, names, _, _ in shown for x in names)
                 out.append((path, text, linked))
             parts.clear()
         linked = 0
 
+    opened: Counter[str] = Counter()
+
+    def close(k: int):
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
+    for start, end, name, closing, attributes in Tags(page):
+        if start > at:
             if not stack or not stack[-1][2]:
-                parts.append(page[at : m.start()])
+                parts.append(page[at:start])
                 if stack and stack[-1][3]:
-                    linked += m.start() - at
-        at = m.end()
-        name = m[3]
+                    linked += start - at
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name not in INLINE:
             flush()
         elif name == "br":
             parts.append(" ")
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+        if closing:
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
             continue
-        if name not in INLINE:
+        if name not in INLINE and (opened["p"] or opened[name]):
             for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before
                 if stack[k][0] == "p" or stack[k][0] == name and name in CLOSES_ITSELF:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             names = (name,)
-            if m[4]:
-                for found in NAMING.finditer(m[4]):
+            if attributes:
+                for found in NAMING.finditer(attributes):
                     names += tuple("." + x for x in NAME.findall((found[1] or found[2] or found[3] or "").lower()))
             _, _, unseen, link = stack[-1] if stack else ("", (), False, False)
             stack.append((name, names, unseen or name in UNSEEN, link or name == "a"))
+            opened[name] += 1
     if at < len(page):
         if not stack or not stack[-1][2]:
             parts.append(page[at:])
@@ -356,8 +435,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
                 parts = np.split(rows, ends[:-1])
                 good: list[np.ndarray] = [np.zeros(0, bool)] * len(cut)
                 order = sorted(range(len(cut)), key=lambda k: len(cut[k]))
-                for k in range(0, len(order), 16):  # pages of about one length, to pad little
-                    some = order[k : k + 16]
+                while order:  # pages of about one length, to pad little; padded to at most CELLS, or a single one
+                    n = 1
+                    while n < len(order) and (n + 1) * len(cut[order[-1]]) <= CELLS:
+                        n += 1
+                    some, order = order[-n:], order[:-n]
                     x, mask = padded([parts[j] for j in some])
                     z = model.logits(x, mask) > 0
                     for row, j in enumerate(some):
