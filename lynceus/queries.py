@@ -266,6 +266,7 @@ from lynceus.plans import screening, synthetic  # noqa: E402
 from lynceus.plans.synthetic import load  # noqa: E402
 from lynceus.sources import adapters  # noqa: E402
 from lynceus.sources import lines as LN  # noqa: E402
+from lynceus.sources import profiles as PF  # noqa: E402
 from lynceus.streaming import rescreen  # noqa: E402
 
 
@@ -1267,3 +1268,57 @@ def feed_quarantine(spark, sf_dir):
     """Lines that are no records or lack a name; each names its file and line, which tell the place in the feed."""
     rows = _delivery(spark, sf_dir)
     return LN.quarantined(rows, ("c_name",)).join(rows.select("file", "line", "ordinal"), ["file", "line"]).select("ordinal", "reason")
+
+
+def _records(spark, sf_dir):
+    """Customers as nested records with their orders."""
+    each = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.split("o_orderpriority", "-")).alias("tags"))))
+    orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(each.alias("orders"))
+    rows = load(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    person = F.struct(F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("name"), F.col("c_nationkey").alias("nation"))
+    return rows.select("c_custkey", person.alias("person"), "c_mktsegment", "orders")
+
+
+RECORDS = """
+WITH o AS (
+  SELECT o_custkey, o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN string_split(o_orderpriority, '-') END AS tags FROM orders
+), v AS (
+  SELECT 'c_custkey' AS path, c_custkey, c_custkey::VARCHAR AS v FROM customer UNION ALL SELECT 'person.name', c_custkey, c_name FROM customer WHERE c_custkey % 4 <> 0
+  UNION ALL SELECT 'person.nation', c_custkey, c_nationkey::VARCHAR FROM customer UNION ALL SELECT 'c_mktsegment', c_custkey, c_mktsegment FROM customer
+  UNION ALL SELECT 'orders[].o_orderkey', o_custkey, o_orderkey::VARCHAR FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'orders[].status', o_custkey, status FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'orders[].tags[]', o_custkey, unnest(tags) FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer)
+)
+"""
+
+
+@query("profile_nested", RECORDS + """
+SELECT path, (SELECT count(*) FROM customer) AS records, count(DISTINCT c_custkey) AS filled, count(*) AS n, min(v) AS least, max(v) AS greatest,
+  CASE WHEN count(DISTINCT v) <= 100 THEN count(DISTINCT v) END AS "distinct" FROM v GROUP BY path
+""")
+def profile_nested(spark, sf_dir):
+    """Nested records by path, arrays included, from the profiles of four loads; distinct values where few, whose sketch is exact."""
+    rows = _records(spark, sf_dir)
+    loads = None
+    for k in range(4):
+        part = PF.profile(rows.filter(F.col("c_custkey") % 4 == k), f"load-{k}")
+        loads = part if loads is None else loads.unionByName(part)
+    whole = PF.told(PF.united(loads)).filter("path <> '$'")
+    return whole.select("path", "records", "filled", "n", "least", "greatest", F.when(F.col("distinct") <= 100, F.col("distinct")).alias("distinct"))
+
+
+@query("profile_changes", RECORDS + """
+, w AS (
+  SELECT path, c_custkey % 4 AS load, count(DISTINCT c_custkey) AS filled FROM v WHERE c_custkey % 4 < 2 GROUP BY ALL
+), n AS (
+  SELECT c_custkey % 4 AS load, count(*) AS records FROM customer GROUP BY 1
+), c AS (
+  SELECT path, load, round(filled / records::DOUBLE, 6) AS coverage FROM w JOIN n USING (load)
+)
+SELECT path, CASE WHEN a.coverage IS NULL THEN 'NEW' WHEN b.coverage IS NULL THEN 'GONE' WHEN b.coverage - a.coverage < -0.05 THEN 'FILLS_LESS' WHEN b.coverage - a.coverage > 0.05 THEN 'FILLS_MORE' ELSE 'SAME' END AS change
+FROM (SELECT * FROM c WHERE load = 0) a FULL JOIN (SELECT * FROM c WHERE load = 1) b USING (path)
+""")
+def profile_changes(spark, sf_dir):
+    """What differs between the profiles of two loads."""
+    rows = _records(spark, sf_dir)
+    one, two = (PF.profile(rows.filter(F.col("c_custkey") % 4 == k), str(k)) for k in (0, 1))
+    return PF.compared(one, two).select("path", "change")
