@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lynceus.operators.ordinals import numbered
+from lynceus.operators.shared import settled
+
 
 def latest(events: DataFrame, key: str, at: str, tie: str, *columns: str) -> DataFrame:
     """The columns of each key's last event, ties by the greater ``tie``."""
@@ -86,3 +89,70 @@ def audit_chain(events: DataFrame, stream: str, order: list[str], payload: str)
     chain = F.aggregate(entries, seed, lambda a, e: F.struct(step(a, e).alias("hash"), F.array_append(a["all"], step(a, e)).alias("all")), lambda a: a["all"])
     grouped = rows.groupBy(stream).agg(entries.alias("entries"), chain.alias("hashes"))
     return grouped.select(stream, F.inline(F.arrays_zip("entries", "hashes"))).select(stream, "entries.*", F.col("hashes").alias("chain_hash")).drop("_p")
+
+
+def latency_sketches(events: DataFrame, by: list[str], value: str, day: Column, k: int = 800) -> DataFrame:
+    """(by, day, requests, alerts, sketch): what a day's usage report needs, with the values as a quantile sketch.
+
+    Sketches are small, combine before the shuffle and are stored; ``usage_of`` merges days to any period.
+    """
+    out = events.groupBy(*by, day.alias("day"))
+    return out.agg(F.count("*").alias("requests"), F.count_if("alert").alias("alerts"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def usage_of(sketches: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Volume, alert rate and latency quantiles, within a percent of rank, from stored sketches alone."""
+    merged = sketches.groupBy(*by).agg(F.sum("requests").alias("requests"), F.sum("alerts").alias("alerts"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    each = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{q * 100:g}".replace(".", "_")) for q in quantiles]
+    return merged.select(*by, "requests", F.round(F.col("alerts") / F.col("requests"), 6).alias("alert_rate"), *each)
+
+
+#: Digests that one node of an audit tree covers.
+AUDIT_ARITY = 16
+
+
+def audit_tree(events: DataFrame, day: Column, order: list[str], payload: str) -> DataFrame:
+    """(day, level, place, digest): a Merkle tree for each day of audit events, by aggregation alone.
+
+    Leaves are hashes of payloads in order (``ordinals.numbered``, so no day is one task's work); each level hashes
+    16 nodes of the one below, and the topmost level of a day has its root at place 0.  A day that was closed is
+    never touched again: another day's events add rows and change none.
+    """
+    leaves = events.select(day.alias("day"), *order, F.sha2(F.concat(F.lit("leaf"), F.coalesce(F.col(payload).cast("string"), F.lit(""))), 256).alias("digest"))
+    level = settled(numbered(leaves, ["day"], [*order, "digest"]).select("day", F.lit(0).alias("level"), "place", "digest", "total"), "audit")
+    out, k = level, 0
+    while (level.agg(F.max("total")).first()[0] or 0) > 1:
+        k += 1
+        run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "")  # 16 at most
+        up = level.filter("total > 1").groupBy("day", F.floor(F.col("place") / AUDIT_ARITY).alias("place"), F.ceil(F.col("total") / AUDIT_ARITY).alias("total"))
+        level = settled(up.agg(F.sha2(F.concat(F.lit("node"), run), 256).alias("digest")).select("day", F.lit(k).alias("level"), "place", "digest", "total"), "audit")
+        out = out.unionByName(level)
+    return out.select("day", "level", "place", "digest", "total")
+
+
+def audit_roots(tree: DataFrame) -> DataFrame:
+    """(day, root, n): the root of each day and how many events it has."""
+    n = tree.filter("level = 0").groupBy("day").agg(F.count("*").alias("n"))
+    return tree.filter("total = 1").select("day", F.col("digest").alias("root")).join(n, "day")
+
+
+def audit_proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(day, place, leaf, path) of the wanted (day, place): at each level the run of digests that the node stands in, and where."""
+    levels = tree.filter("total > 1").agg(F.max("level")).first()[0]
+    rows = wanted.select("day", "place").distinct().join(tree.filter("level = 0").select("day", "place", F.col("digest").alias("leaf")), ["day", "place"])
+    rows = rows.withColumns({"_at": F.col("place"), "path": F.array().cast("array<struct<at:int,run:array<string>>>")})
+    for k in range((levels if levels is not None else -1) + 1):
+        runs = tree.filter((F.col("level") == k) & (F.col("total") > 1)).withColumn("_run", F.floor(F.col("place") / AUDIT_ARITY))
+        runs = runs.groupBy("day", "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]).alias("run"))
+        step = F.struct((F.col("_at") % AUDIT_ARITY).cast("int").alias("at"), F.col("run"))
+        rows = rows.withColumn("_run", F.floor(F.col("_at") / AUDIT_ARITY)).join(runs, ["day", "_run"], "left")
+        rows = rows.withColumns({"path": F.when(F.col("run").isNotNull(), F.array_append("path", step)).otherwise(F.col("path")), "_at": F.col("_run")}).drop("_run", "run")
+    return rows.select("day", "place", "leaf", "path")
+
+
+def audit_verified(proofs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The proofs with ``verified``: whether the leaf stands in each run where it should and folds up to its day's root."""
+    start = F.struct(F.col("leaf").alias("h"), F.lit(True).alias("ok"))
+    up = lambda a, s: F.struct(F.sha2(F.concat(F.lit("node"), F.array_join(s["run"], "")), 256).alias("h"), (a["ok"] & F.coalesce(F.get(s["run"], s["at"]) == a["h"], F.lit(False))).alias("ok"))
+    end = F.aggregate("path", start, up)
+    return proofs.join(roots.select("day", "root"), "day", "left").withColumn("verified", F.coalesce(end["ok"] & (end["h"] == F.col("root")), F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from lynceus.functions import narrative as N
 from lynceus.operators import facts as FX
 from lynceus.operators import reports as R
-from lynceus.operators.shared import shared_folder
+from lynceus.operators.shared import settled, shared_folder
 from lynceus.plans.synthetic import narratives
 from lynceus.plans.synthetic import notices as synthetic_notices
 
@@ -1191,6 +1191,42 @@ def audit_chain(spark, sf_dir):
     return OP.audit_chain(rows, "stream", ["ts", "event_id"], "event_type").select("stream.user_id", "event_id", "chain_hash")
 
 
+@query("usage_quantiles", "SELECT event_type, count(*) AS requests, round(avg((value > 50)::INT), 6) AS alert_rate, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM events GROUP BY 1")
+def usage_quantiles(spark, sf_dir):
+    """Usage of the whole period from sketches by day; each quantile is held against the exact rank of its value."""
+    events = load(spark, sf_dir, "events").withColumn("alert", F.col("value") > 50)
+    days = settled(OP.latency_sketches(events, ["event_type"], "value", F.col("ts").cast("date")), "usage")
+    whole = OP.usage_of(days, ["event_type"])
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    near = lambda c, q: ((F.sum((F.col("value") < F.col(c)).cast("long")) / F.count("*") <= q + 0.01) & (F.sum((F.col("value") <= F.col(c)).cast("long")) / F.count("*") >= q - 0.01)).alias(f"{c}_ok")
+    held = events.select("event_type", "value").join(whole, "event_type").groupBy("event_type", "requests", "alert_rate")
+    return held.agg(*[near(c, q) for c, q in names.items()])
+
+
+@query("audit_roots", """
+WITH RECURSIVE t AS (
+  SELECT ts::DATE AS day, 0 AS level, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) - 1 AS place, sha256('leaf' || event_type) AS digest, count(*) OVER (PARTITION BY ts::DATE) AS total FROM events
+  UNION ALL
+  SELECT day, level + 1, place // 16, sha256('node' || string_agg(digest, '' ORDER BY place)), (total + 15) // 16 FROM t WHERE total > 1 GROUP BY day, level, place // 16, total
+)
+SELECT day, digest AS root, (SELECT count(*) FROM events WHERE ts::DATE = t.day) AS n FROM t WHERE total = 1
+""")
+def audit_roots(spark, sf_dir):
+    """A tree of each day's events; no stream is folded in one row."""
+    rows = load(spark, sf_dir, "events")
+    return OP.audit_roots(OP.audit_tree(rows, F.col("ts").cast("date"), ["ts", "event_id"], "event_type"))
+
+
+@query("audit_proofs", "SELECT ts::DATE AS day, count(*) AS n, true AS verified, false AS forged FROM events GROUP BY 1")
+def audit_proofs(spark, sf_dir):
+    """Every event proves that it belongs to its day, and none does with another payload."""
+    tree = OP.audit_tree(load(spark, sf_dir, "events"), F.col("ts").cast("date"), ["ts", "event_id"], "event_type")
+    roots, proofs = OP.audit_roots(tree), settled(OP.audit_proofs(tree, tree.filter("level = 0").select("day", "place")), "proofs")
+    forged = OP.audit_verified(proofs.withColumn("leaf", F.sha2(F.concat(F.lit("leaf forged"), "leaf"), 256)), roots).select("day", "place", F.col("verified").alias("forged"))
+    rows = OP.audit_verified(proofs, roots).join(forged, ["day", "place"])
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.every("verified").alias("verified"), F.some("forged").alias("forged"))
+
+
 @query("usage_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def usage_windows(spark, sf_dir):
     out = rescreen.alert_rates(load(spark, sf_dir, "events"))

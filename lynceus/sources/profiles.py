@@ -71,7 +71,8 @@ def united(profiles: DataFrame, *by: str) -> DataFrame:
 
 def told(profiles: DataFrame) -> DataFrame:
     """The profiles with estimates in place of sketches: coverage, distinct values and the most frequent ones."""
-    top = F.transform(F.expr(f"approx_top_k_estimate(frequent, {FREQUENT})"), lambda x: F.struct(F.left(x["item"], F.lit(SHOWN)).alias("value"), x["count"].alias("n")))
+    items = F.filter(F.expr(f"approx_top_k_estimate(frequent, {FREQUENT + 1})"), lambda x: x["item"].isNotNull())  # records without a value count there, too
+    top = F.transform(F.slice(items, 1, FREQUENT), lambda x: F.struct(F.left(x["item"], F.lit(SHOWN)).alias("value"), x["count"].alias("n")))
     return profiles.withColumns({"coverage": F.round(F.col("filled") / F.col("records"), 6), "distinct": F.hll_sketch_estimate("distinct"), "frequent": top})
 
 
