@@ -267,6 +267,7 @@ from lynceus.plans.synthetic import load  # noqa: E402
 from lynceus.sources import adapters  # noqa: E402
 from lynceus.sources import lines as LN  # noqa: E402
 from lynceus.sources import profiles as PF  # noqa: E402
+from lynceus.sources import published as PB  # noqa: E402
 from lynceus.streaming import rescreen  # noqa: E402
 
 
@@ -842,6 +843,22 @@ def tombstones(spark, sf_dir):
     return VS.tombstones(*_lists(spark, sf_dir), "c_custkey").select("c_custkey")
 
 
+@query("published_versions", LISTS + """
+SELECT 'before' AS reader, count(*) AS rows_, sum(c_nationkey)::BIGINT AS nations FROM live UNION ALL SELECT 'after', count(*), sum(c_nationkey)::BIGINT FROM staged UNION ALL SELECT 'rolled back', count(*), sum(c_nationkey)::BIGINT FROM live
+""")
+def published_versions(spark, sf_dir):
+    """Two versions of a list: a reader from before the promotion, one from after it, and one from after the roll-back."""
+    one, two = _lists(spark, sf_dir)
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    first, second = PB.stage(one, path, "1", "c_custkey"), PB.stage(two, path, "2", "c_custkey")
+    out = None
+    for name, staged in (("before", first), ("after", second), ("rolled back", first)):
+        PB.promote(spark, path, staged, "c_custkey")
+        told = PB.live(spark, path).agg(F.count("*").alias("rows_"), F.sum("c_nationkey").cast("long").alias("nations")).select(F.lit(name).alias("reader"), "rows_", "nations")
+        out = told if out is None else out.unionByName(told)  # read only when all promotions are over
+    return out
+
+
 @query("delta_gate", LISTS + """, c AS (
   SELECT count(*) FILTER (change = 'ADDED') AS added, count(*) FILTER (change = 'AMENDED') AS amended, count(*) FILTER (change = 'DELISTED') AS delisted, count(*) FILTER (change = 'UNCHANGED') AS unchanged FROM ch
 )
@@ -1227,6 +1244,27 @@ def audit_proofs(spark, sf_dir):
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.every("verified").alias("verified"), F.some("forged").alias("forged"))
 
 
+@query("stream_suppression", """
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k FROM events
+), c AS (
+  SELECT user_id, ts, event_type, k, event_type AS said, ts + INTERVAL 2 DAY AS until, false AS suppressed FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.ts, e.event_type, e.k, CASE WHEN s THEN said ELSE e.event_type END, CASE WHEN s THEN until ELSE e.ts + INTERVAL 2 DAY END, s
+  FROM (SELECT e.*, said, until, said = e.event_type AND e.ts <= until AS s FROM e JOIN c ON e.user_id = c.user_id AND e.k = c.k + 1) e
+)
+SELECT user_id, ts, event_type, suppressed FROM c
+""")
+def stream_suppression(spark, sf_dir):
+    """The events as a stream of alerts of each user, of which like ones within two days are suppressed."""
+    schema = load(spark, sf_dir, "events").schema
+    # a stream reads folders: the table by a pattern that it alone fits
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    path = f"{shared_folder(spark)}/suppressed-{uuid.uuid4().hex}"
+    rescreen.run_to(rescreen.suppress_repeats(rows, ["user_id"], "at", "event_type", 2), path, path + "-state")
+    return spark.read.parquet(path).select("user_id", F.col("at").cast("timestamp_ntz").alias("ts"), "event_type", "suppressed")
+
+
 @query("usage_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def usage_windows(spark, sf_dir):
     out = rescreen.alert_rates(load(spark, sf_dir, "events"))
