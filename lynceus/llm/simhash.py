@@ -39,8 +39,8 @@ WIDE, PARTS, PART_RADIUS = 8, 16, 1
 FAR = 160
 #: Rows that one key is spread over in joins on keys that may be hot.
 SALTS = 8
-#: Pairs that may be left for each row of the buckets before they are paired off; and rounds at most.
-PAIRS_A_ROW, ROUNDS = 4, 4
+#: Pairs that may be left for each row of the buckets when they are paired off.
+PAIRS_A_ROW = 4
 
 
 def fingerprint_bits(words: list[bytes], size: int = SHINGLE) -> int:
@@ -213,8 +213,12 @@ def collisions(distinct: DataFrame) -> DataFrame:
 
     bucket = Window.partitionBy("sig")
     met = distinct.select("node", F.explode(F.concat(*map(ball, range(PARTS)))).alias("sig"))
-    met = met.withColumns({"k": F.count("*").over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
+    ends = {"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}
+    met = met.withColumns({"k": F.count("*").over(bucket), **ends, "members": F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(bucket)})
     met = written(met.filter("k > 1"), "collisions")
+    # texts with a part in common meet on all its variants: of buckets with the same members one is enough
+    once = met.filter("node = low").groupBy("k", "low", "high", "members").agg(F.min("sig").alias("sig"))
+    met = written(met.join(once.select("sig"), "sig", "left_semi"), "collisions")
     side = lambda c: distinct.select(F.col("node").alias(c), F.col("fp").alias(c + "_fp"))
     two = met.filter("k = 2 and node = low").select("low", "high").distinct()
     apart = F.aggregate(F.zip_with("low_fp", "high_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
@@ -227,28 +231,31 @@ def collisions(distinct: DataFrame) -> DataFrame:
 def verified(buckets: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """(a, b) links that join the nodes of (sig, node, n, weight) as all similar pairs in a bucket would.
 
-    Buckets are not paired off: each is verified against its most central member first, and only members
-    that are still in different components meet again.
+    Buckets are not paired off: each is verified against its most central members first, one and then twice as
+    many in each round, and only members that are still in different components meet again.  What is paired off
+    at the end is at most ``PAIRS_A_ROW`` times the rows that are left.
     """
-    bucket = Window.partitionBy("sig")
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-    rows, found = buckets.withColumn("root", F.col("node")), None
-    for _ in range(ROUNDS):
+    rows, found, hubs = buckets.withColumn("root", F.col("node")), None, 1
+    while True:
         roots = rows.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig")
         each = roots.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
         size = each.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not size[0] or size[1] <= PAIRS_A_ROW * size[0]:
             break
-        hubs = rows.withColumn("hub", F.max(F.struct("weight", "node", "n", "root")).over(bucket))
-        apart = hubs.filter((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
-        pairs = apart.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        central = rows.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.col("weight").desc(), "node")))
+        hub = central.filter(F.col("place") <= hubs).select("sig", *[F.col(c).alias("hub_" + c) for c in ("node", "n", "root", "place")])
+        apart = central.join(hub, "sig").filter((F.col("place") > F.col("hub_place")) & (F.col("root") != F.col("hub_root")) & fits(F.col("n"), F.col("hub_n")))
+        pairs = apart.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct()
         new = written(similar(pairs, whole, similarity), "links")
         found = new if found is None else found.unionByName(new)
         roots = components(found).withColumnRenamed("root", "now")
-        left = hubs.filter("node <> hub.node").drop("hub", "root").join(roots, "node", "left")
+        left = central.filter(F.col("place") > hubs).drop("place", "root").join(roots, "node", "left")
         left = left.withColumn("root", F.coalesce("now", "node")).drop("now")
+        bucket = Window.partitionBy("sig")
         ends = {"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}
         rows = written(left.withColumns(ends).filter("low < high").drop("low", "high"), "buckets")
+        hubs *= 2
     # pairs of different roots: those outside of a bucket's largest one with all others
     sizes = rows.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig")
     rows = rows.join(sizes.agg(F.max_by("root", F.struct("k", "root")).alias("main")), "sig")
