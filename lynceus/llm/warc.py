@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynceus.functions.narrative import let
 from lynceus.sources.lines import lined
 
 CRLF = "\r\n"
@@ -40,19 +41,22 @@ def _character(reference: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """The text with each reference replaced once; one that HTML does not know stays as it stands."""
-    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
     one = lambda r: F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";")))
-    after = F.array_append(F.transform(found, one), F.lit(""))
-    return F.when(text.contains("&"), F.array_join(F.zip_with(F.split(text, REFERENCE, -1), after, lambda p, r: F.concat(p, r)), "")).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        after = F.array_append(F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(1)), one), F.lit(""))
+        return F.when(t.contains("&"), F.array_join(F.zip_with(F.split(t, REFERENCE, -1), after, lambda p, r: F.concat(p, r)), "")).otherwise(t)
+
+    return let(text, replaced)  # the text is made once, whatever it takes
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page, a line for each block; white space inside a line is one space."""
     text = F.regexp_replace(html, UNSEEN, "")
-    text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
+    text = F.regexp_replace(text, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]*>", "")
     text = F.regexp_replace(decoded(text), " *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(text, " +", " "), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(text, " {2,}", " "), F.lit(" \n"))
 
 
 def digest(text: Column) -> Column:
