@@ -80,13 +80,13 @@ def live(index: Index, version: int | None = None) -> Index:
     return index._replace(keys=kept(index.keys), classes=kept(index.classes), version=version)
 
 
-def probed(index: Index, asked: DataFrame) -> DataFrame:
-    """(l, r, strategies): the index's classes l that meet the keyed classes r of ``asked``."""
-    now = live(index)
-    keys = settled(B.postings(asked, index.counts), "keys")
-    pairs = settled(B.met(now.keys.drop("version"), keys), "pairs")
-    few = now.classes.join(pairs.select(F.col("l").alias("name")).distinct(), "name", "left_semi")
-    return B.strategies(pairs, few, asked)
+def probed(index: Index, asked: DataFrame, listed: dict[str, str] | None = None) -> DataFrame:
+    """(l, r, strategies, carried columns): the index's classes l that meet the keyed classes r of ``asked``.
+
+    ``listed`` names the columns of ``asked`` that pairs carry, as in ``blocking.candidates``.
+    """
+    keys = settled(B.postings(asked, index.counts, *(listed or ())), "keys")
+    return B.strategies(B.met(live(index).keys.drop("version"), keys), None, listed)
 
 
 def rescreened(index: Index, delta: DataFrame, id_col: str, name_col: str, config: dict = SC.CONFIG) -> DataFrame:
@@ -96,9 +96,8 @@ def rescreened(index: Index, delta: DataFrame, id_col: str, name_col: str, confi
     over the whole list has of these records' names; no name of an unchanged record is read.
     """
     asked = settled(B.keyed(B.name_classes(delta, id_col, name_col)), "classes")
-    pairs = probed(index, asked)
     people = live(index).classes.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects"), "entity_type")
-    pairs = pairs.join(people, "l").join(asked.select(F.col("name").alias("r"), F.col("rep").alias("entity"), F.col("n").alias("n_entities")), "r")
+    pairs = probed(index, asked, {"rep": "entity", "n": "n_entities"}).join(people, "l")
     return SC.scored(SC.features(pairs), config).withColumn("config_version", F.lit(config["version"]))
 
 

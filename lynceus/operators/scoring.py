@@ -176,7 +176,9 @@ def paged(rows: DataFrame, subject: str, size: int) -> DataFrame:
 def request_outcome(rows: DataFrame, subject: str) -> DataFrame:
     """(subject, outcome): the gravest band, ERROR above all."""
     grave = F.when(F.col("band") == "ERROR", 3).when(F.col("band") == "STRONG", 2).when(F.col("band") == "POSSIBLE", 1).otherwise(0)
-    return rows.groupBy(subject).agg(F.max_by("band", grave).alias("outcome"))
+    bands = F.array(*map(F.lit, ("NO_MATCH", "POSSIBLE", "STRONG", "ERROR")))
+    # a number is combined before the shuffle without sorting the candidates
+    return rows.groupBy(subject).agg(F.max(grave).alias("_grave")).select(subject, F.get(bands, F.col("_grave")).alias("outcome"))
 
 
 def alerts(rows: DataFrame, threshold: float = CONFIG["possible"]) -> DataFrame:

@@ -16,6 +16,9 @@ from lynceus.operators.shared import settled
 ASKED = {"entity_type": "entity_type", "dob": "dob", "country": "country"}
 LISTED = {"entity_type": "listed_type", "dob": "listed_dob", "country": "listed_country", "whitelisted": "whitelisted", "status": "status"}
 
+#: What pairs carry of their classes on either side, and what they call it.
+BEARERS, LISTED_BEARERS = {"rep": "subject", "n": "n_subjects"}, {"rep": "entity", "n": "n_entities"}
+
 
 def profiled(rows: DataFrame, attributes: dict[str, str], hits: DataFrame | None, name: str, rep: str, n: str) -> DataFrame:
     """The rows with their profile: normalised name, attributes, least id and number of those that have the same.
@@ -98,9 +101,7 @@ def identified_classes(subjects: DataFrame, listed: DataFrame, subject_ids: Data
 
 def screen_classes(left: DataFrame, right: DataFrame, identified: DataFrame | None, config: dict = SC.CONFIG) -> DataFrame:
     """As screen(), of whole classes; pairs (l, r) of ``identified`` are candidates too, and strong ones."""
-    pairs = B.candidates(left, right, identified)
-    pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects"), "entity_type"), "l")
-    pairs = pairs.join(right.select(F.col("name").alias("r"), F.col("rep").alias("entity"), F.col("n").alias("n_entities")), "r")
+    pairs = B.candidates(left, right, identified, BEARERS | {"entity_type": "entity_type"}, LISTED_BEARERS)
     if identified is not None:
         pairs = pairs.withColumn("identifier_match", F.array_contains("strategies", "identifier"))
     rows = SC.scored(SC.features(pairs), config)
@@ -136,15 +137,13 @@ def accounted(left: DataFrame, right: DataFrame, failing: dict, most: int | None
     A class for which a strategy failed is an ERROR, with its candidates; others are as if nothing had failed.  The
     explanation also has the strategies with their outcomes, the sources consulted and the capability gaps.
     """
-    pairs, account = B.accounted(left, right, failing, most)
+    pairs, account = B.accounted(left, right, failing, most, asked={"rep": "subject", "entity_type": "entity_type"}, listed={"rep": "entity"})
     account = settled(account, "accounts")
-    pairs = pairs.join(left.select(F.col("name").alias("l"), F.col("rep").alias("subject"), "entity_type"), "l")
-    pairs = pairs.join(right.select(F.col("name").alias("r"), F.col("rep").alias("entity")), "r")
-    pairs = pairs.join(account.select("l", (F.col("outcome") != "PARTIAL").alias("complete"), F.col("by_strategy").alias("_by"), "gaps"), "l")
-    rows = SC.ranked(SC.scored(SC.features(pairs), config), "l")
+    scored = SC.scored(SC.features(pairs), config)
+    rows = SC.ranked(scored.join(account.select("l", F.col("by_strategy").alias("_by"), "gaps"), "l"), "l")
     consulted = F.array(*map(F.lit, sources)).cast("array<string>")
     more = F.struct(F.col("explanation.*"), F.col("strategies"), F.col("_by").alias("strategyOutcomes"), consulted.alias("sourcesConsulted"), F.col("gaps").alias("capabilityGaps"))
     rows = rows.withColumn("explanation", more).drop("_by", "gaps")
-    best = SC.request_outcome(rows, "l").withColumnRenamed("outcome", "_band")
+    best = SC.request_outcome(scored, "l").withColumnRenamed("outcome", "_band")
     told = account.join(best, "l", "left").withColumn("band", F.when(F.col("outcome") == "PARTIAL", "ERROR").otherwise(F.coalesce("_band", F.lit("NO_MATCH"))))
     return rows, told.select("l", F.col("outcome").alias("candidates"), F.col("band").alias("outcome"), "found", "by_strategy", "gaps")

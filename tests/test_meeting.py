@@ -1,0 +1,29 @@
+"""Pairs are compared where they meet: what goes on is no more than what holds."""
+
+from pyspark.sql import functions as F
+
+from lynceus.operators import blocking as B
+
+
+def test_only_pairs_that_hold_go_on_and_once_for_each_strategy(spark):
+    # a word in common alone makes no pair, though all names meet on it
+    names = [f"the {a}{b} {b}{a}" for a in ("kor", "vum", "zel", "pix") for b in ("dat", "lom", "wug")] + ["the", "the kordat", "datkor kordat the"]
+    classes = B.keyed(B.name_classes(spark.createDataFrame(list(enumerate(names)), "id long, name string"), "id", "name"))
+    counts = B.item_counts(classes)
+    met = B.met(B.postings(classes, counts), B.postings(classes, counts))
+    rows = [(r.l, r.r, r.type) for r in met.collect()]
+    found = B.candidates(classes, classes)
+    assert len(rows) == len(set(rows)) and set(rows) == {(r.l, r.r, s) for r in found.collect() for s in r.strategies}
+    pairs = found.select("l", "r").collect()
+    assert len(pairs) == len(set(pairs)) < len(names) ** 2
+
+
+def test_pairs_carry_columns_of_their_classes(spark):
+    rows = spark.createDataFrame([(1, "Ann Lee"), (2, "Ann Lee"), (3, "Lee Ann Poe")], "id long, name string")
+    classes = B.keyed(B.name_classes(rows, "id", "name"))
+    given = spark.createDataFrame([("ann lee", "ann lee"), ("lee ann poe", "ann lee")], "l string, r string")
+    found = B.candidates(classes, classes, given, {"rep": "subject"}, {"n": "n_entities"}).withColumn("s", F.array_join("strategies", ","))
+    assert {(r.l, r.r, r.subject, r.n_entities, r.s) for r in found.collect()} == {
+        ("ann lee", "ann lee", 1, 2, "exact,identifier,phonetic,token,trigram"), ("ann lee", "lee ann poe", 1, 1, "token"),
+        ("lee ann poe", "ann lee", 3, 2, "identifier,token"), ("lee ann poe", "lee ann poe", 3, 1, "exact,phonetic,token,trigram"),
+    }
