@@ -1,8 +1,11 @@
 """Pairs are compared where they meet: what goes on is no more than what holds."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from lynceus.functions import names as NM
 from lynceus.operators import blocking as B
+from lynceus.queries import sql_norm
 
 
 def test_only_pairs_that_hold_go_on_and_once_for_each_strategy(spark):
@@ -27,3 +30,12 @@ def test_pairs_carry_columns_of_their_classes(spark):
         ("ann lee", "ann lee", 1, 2, "exact,identifier,phonetic,token,trigram"), ("ann lee", "lee ann poe", 1, 1, "token"),
         ("lee ann poe", "ann lee", 3, 2, "identifier,token"), ("lee ann poe", "lee ann poe", 3, 1, "exact,phonetic,token,trigram"),
     }
+
+
+def test_sql_joins_articles_and_reads_digits_as_the_query_does(spark):
+    names = ["El el enenre.", "al-el al x", "a0b0c", "a1b1c 10", "el 5", "el", "Al'el y"]
+    con = duckdb.connect()
+    said = [con.execute(f"SELECT {sql_norm('x')} FROM (SELECT ? AS x)", [n]).fetchone()[0] for n in names]
+    assert said[0] == "elelenenre"
+    frame = spark.createDataFrame(list(enumerate(names)), "k int, x string")
+    assert said == [r[0] for r in frame.orderBy("k").select(NM.normalised(F.col("x"))).collect()]
