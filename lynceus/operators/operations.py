@@ -137,17 +137,28 @@ def audit_roots(tree: DataFrame) -> DataFrame:
 
 
 def audit_proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(day, place, leaf, path) of the wanted (day, place): at each level the run of digests that the node stands in, and where."""
-    levels = tree.filter("total > 1").agg(F.max("level")).first()[0]
-    rows = wanted.select("day", "place").distinct().join(tree.filter("level = 0").select("day", "place", F.col("digest").alias("leaf")), ["day", "place"])
-    rows = rows.withColumns({"_at": F.col("place"), "path": F.array().cast("array<struct<at:int,run:array<string>>>")})
-    for k in range((levels if levels is not None else -1) + 1):
-        runs = tree.filter((F.col("level") == k) & (F.col("total") > 1)).withColumn("_run", F.floor(F.col("place") / AUDIT_ARITY))
-        runs = runs.groupBy("day", "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]).alias("run"))
-        step = F.struct((F.col("_at") % AUDIT_ARITY).cast("int").alias("at"), F.col("run"))
-        rows = rows.withColumn("_run", F.floor(F.col("_at") / AUDIT_ARITY)).join(runs, ["day", "_run"], "left")
-        rows = rows.withColumns({"path": F.when(F.col("run").isNotNull(), F.array_append("path", step)).otherwise(F.col("path")), "_at": F.col("_run")}).drop("_run", "run")
-    return rows.select("day", "place", "leaf", "path")
+    """(day, place, leaf, path) of the wanted (day, place): at each level the run of digests that the node stands in, and where.
+
+    Paths grow from the root down, once for each run of nodes, and leaves take theirs where their run is: what is
+    shuffled has a path for 16 leaves, and none is carried through the levels by every leaf.
+    """
+    height = tree.filter("total > 1").agg(F.max("level")).first()[0] or 0
+    parents = lambda rows: rows.groupBy("day", F.floor(F.col("place") / AUDIT_ARITY).alias("_run")).agg(F.collect_set("place").alias("_wanted"))  # 16 at most
+    asked = [parents(wanted)]
+    for _ in range(height):
+        asked.append(parents(asked[-1].select("day", F.col("_run").alias("place"))))
+    none, above = F.array().cast("array<struct<at:int,run:array<string>>>"), None
+    at = (F.col("place") % AUDIT_ARITY).cast("int")
+    for k in reversed(range(height + 1)):
+        nodes = tree.filter(F.col("level") == k).groupBy("day", F.floor(F.col("place") / AUDIT_ARITY).alias("_run"))
+        runs = nodes.agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]).alias("run"))
+        runs = runs.join(asked[k], ["day", "_run"])
+        runs = runs.withColumn("path", none) if above is None else runs.join(above, ["day", "_run"], "left").withColumn("path", F.coalesce("path", none))
+        each = runs.select("day", "total", "run", "path", F.explode("_wanted").alias("place"))
+        path = F.when(F.col("total") > 1, F.concat(F.array(F.struct(at.alias("at"), "run")), "path")).otherwise(F.col("path"))
+        above = each.select("day", F.col("place").alias("_run"), F.get("run", at).alias("leaf"), path.alias("path"))
+        above = above.drop("leaf") if k else above
+    return above.withColumnRenamed("_run", "place").filter("leaf is not null")
 
 
 def audit_verified(proofs: DataFrame, roots: DataFrame) -> DataFrame:
