@@ -1,6 +1,7 @@
 """Operator 13: base spans against a plain scan, the battery against simulation, discoveries against planted runs."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -76,6 +77,23 @@ def test_battery_is_uniform_on_random_symbols_and_low_on_text():
         assert secrets.battery(np.array(pattern, np.int8), np.array([len(pattern)]), 16)[0] < 1e-3
 
 
+def test_every_symbol_of_text_is_in_a_window_of_every_encoding_and_class():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (0, 3, 40, 700)] + ["9 " * 300 + "AB cd " * 50]
+    groups = np.bincount(secrets.decoys_of(texts) // secrets.BINS, minlength=len(secrets.ENCODINGS) * len(secrets.CLASSES))
+    want = []
+    for _, letters in secrets.ENCODINGS:
+        held = [sum(x in letters for x in t) for t in texts]
+        want += [sum(-(-n // c) for n in held if n >= c) for c in secrets.CLASSES]
+    assert groups.tolist() == want
+
+
+def test_tail_is_that_of_a_normal():
+    z = np.linspace(-9, 30, 4001)
+    want = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in z])
+    assert (abs(secrets._tail(z) - want) <= 2e-7 * want).all()
+
+
 def test_empty_table_and_query(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert secrets.digests(secrets.scan(none)).collect() == []
