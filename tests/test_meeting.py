@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lynceus.functions import names as NM
 from lynceus.operators import blocking as B
+from lynceus.operators import scoring as SC
 from lynceus.queries import sql_norm
 
 
@@ -39,3 +40,11 @@ def test_sql_joins_articles_and_reads_digits_as_the_query_does(spark):
     assert said[0] == "elelenenre"
     frame = spark.createDataFrame(list(enumerate(names)), "k int, x string")
     assert said == [r[0] for r in frame.orderBy("k").select(NM.normalised(F.col("x"))).collect()]
+
+
+def test_a_filter_on_the_score_does_not_compare_names_again(spark):
+    pairs = spark.createDataFrame([("ann lee", "ann leo", "INDIVIDUAL"), ("ann lee", "bob poe", "INDIVIDUAL")], "l string, r string, entity_type string")
+    found = SC.alerts(SC.scored(SC.features(pairs))).select("l", "r", "score")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.r for r in found.collect()] == ["ann leo"]
