@@ -38,6 +38,16 @@ def test_audit_tree_by_hand_and_appended_day(spark):
     assert OP.audit_roots(OP.audit_tree(table("abcd").limit(0), F.col("d"), ["k"], "payload")).count() == 0
 
 
+def test_leaves_take_their_paths_after_all_joins(spark):
+    events = spark.range(300).select(F.lit("a").alias("d"), F.col("id").alias("k"), F.col("id").cast("string").alias("payload"))
+    tree = OP.audit_tree(events, F.col("d"), ["k"], "payload")
+    proofs = OP.audit_proofs(tree, tree.filter("level = 0").select("day", "place"))
+    plan = proofs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Join")
+    held = OP.audit_verified(proofs, OP.audit_roots(tree)).collect()
+    assert sorted(r.place for r in held) == list(range(300)) and all(r.verified and len(r.path) == 3 for r in held)
+
+
 def test_usage_from_sketches_of_days(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.randrange(30), rng.lognormvariate(3, 1)) for _ in range(20_000)]
