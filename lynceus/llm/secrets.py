@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ ENCODINGS = (
 #: Least lengths of the classes; a run shorter than the first is no candidate, as no test could tell it from text.
 CLASSES = (16, 20, 24, 32, 48, 64, 128)
 #: Windows of ordinary text that are put to the battery at a time.
-WINDOWS = 1 << 14
+WINDOWS = 1 << 13
 #: A score is -4 log10 of the combined p-value, in whole steps.
 BINS, STEPS = 64, 4
 #: False discoveries that are accepted among the runs called random.
@@ -60,6 +62,8 @@ _SYMBOL = np.full((len(ENCODINGS), 256), -1, np.int8)
 for _e, (_, _letters) in enumerate(ENCODINGS):
     _SYMBOL[_e, np.frombuffer(_letters.encode(), np.uint8)] = np.arange(len(_letters))
 _SYMBOL[-1, [ord("-"), ord("_")]] = 62, 63
+# for bytes.translate: each byte's symbol, and the bytes that an alphabet does not have
+_REDUCED = [(np.maximum(row, 0).astype(np.uint8).tobytes(), np.flatnonzero(row < 0).astype(np.uint8).tobytes()) for row in _SYMBOL]
 _SIZE = np.array([len(x) for _, x in ENCODINGS])
 # fixed values: Chebyshev coefficients of erfc by 1 / (1 + z / 2), within 1.2e-7 of the value at every z (Numerical Recipes, erfcc)
 _ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
@@ -77,49 +81,107 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.where(z < 0, 1 - above, above)
 
 
+def _uniformity(squares: np.ndarray, n: np.ndarray | int, size: int) -> np.ndarray:
+    """-ln of the p-value of a symbol's counts, given as the sum of their squares over n draws.
+
+    Pearson's statistic has its exact mean and variance for n draws, and is made normal by a cube root.
+    """
+    pearson, mean, var = squares * size / n - n, size - 1.0, 2 * (size - 1) * (n - 1) / n
+    shape = 2 * mean**2 / var  # degrees of freedom of the scaled chi-squared law of that mean and variance
+    uniform = _tail((np.cbrt(pearson / mean) - (1 - 2 / (9 * shape))) / np.sqrt(2 / (9 * shape)))
+    return -np.log(np.maximum(uniform, 1e-300))
+
+
+def _turning(runs: np.ndarray, up: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """-ln of the p-value of the runs above and below the alphabet's middle, of n symbols of which ``up`` are above."""
+    expected = 1 + 2 * up * (n - up) / n
+    spread = np.sqrt(np.maximum((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    one_sided = np.minimum(up, n - up) < 1
+    running = np.where(one_sided, 2.0 ** (1 - np.minimum(n, 1000)), 2 * _tail(np.abs(runs - expected) / spread))
+    return -np.log(np.maximum(running, 1e-300))
+
+
+def _serial(total: np.ndarray, power: np.ndarray, cross: np.ndarray, ends: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """-ln of the p-value of the serial correlation of neighbours.
+
+    From sums of the symbols, of their squares and of the products of neighbours, and the first symbol plus the last.
+    """
+    level = total / n
+    power = power - total * level
+    cross = cross - level * (2 * total - ends) + (n - 1) * level**2
+    serial = np.where(power > 0.5, 2 * _tail(np.abs(cross / np.maximum(power, 0.5) + 1 / n) * np.sqrt(n)), 0)
+    return -np.log(np.maximum(serial, 1e-300))
+
+
+def _fisher(half: np.ndarray) -> np.ndarray:
+    """The p-value of three by the sum of their -ln."""
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
 def battery(symbols: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
     """The combined p-value of each of the sequences that lie end to end in ``symbols``, over an alphabet of ``size``."""
     k, n = len(lengths), lengths.astype(float)
     first = np.cumsum(lengths) - lengths
     last = first + lengths - 1
-    # uniformity: Pearson's statistic with its exact mean and variance for n draws, through a cube root
     squares = np.zeros(k)
     for a in range(0, k, 1 << 12):
         b = min(k, a + (1 << 12))
         key = np.repeat(np.arange(b - a, dtype=np.int32) * size, lengths[a:b]) + symbols[first[a] : last[b - 1] + 1]
         counts = np.bincount(key, minlength=(b - a) * size).reshape(-1, size)
         squares[a:b] = np.einsum("ij,ij->i", counts, counts)
-    pearson, mean, var = squares * size / n - n, size - 1.0, 2 * (size - 1) * (n - 1) / n
-    shape = 2 * mean**2 / var  # degrees of freedom of the scaled chi-squared law of that mean and variance
-    uniform = _tail((np.cbrt(pearson / mean) - (1 - 2 / (9 * shape))) / np.sqrt(2 / (9 * shape)))
-    # runs above and below the alphabet's middle; what lies between two sequences is no turn
+    # what lies between two sequences is no turn and no neighbour
     sums = lambda x: np.add.reduceat(x, first, dtype=np.int64).astype(float)
     high = symbols >= (size + 1) // 2
     turns = np.zeros(len(symbols), bool)
     np.not_equal(high[1:], high[:-1], out=turns[1:])
     turns[first] = False
-    runs, up = 1 + sums(turns), sums(high)
-    expected = 1 + 2 * up * (n - up) / n
-    spread = np.sqrt(np.maximum((expected - 1) * (expected - 2) / (n - 1), 1e-9))
-    one_sided = np.minimum(up, n - up) < 1
-    running = np.where(one_sided, 2.0 ** (1 - np.minimum(n, 1000)), 2 * _tail(np.abs(runs - expected) / spread))
-    # serial correlation of neighbours, from plain sums
     x = symbols.astype(np.int32)
     products = np.zeros(len(x), np.int32)
     np.multiply(x[1:], x[:-1], out=products[1:])
     products[first] = 0
-    total = sums(x)
-    level = total / n
-    power = sums(x * x) - total * level
-    cross = sums(products) - level * (2 * total - x[first] - x[last]) + (n - 1) * level**2
-    serial = np.where(power > 0.5, 2 * _tail(np.abs(cross / np.maximum(power, 0.5) + 1 / n) * np.sqrt(n)), 0)
-    half = -np.log(np.maximum(uniform, 1e-300)) - np.log(np.maximum(running, 1e-300)) - np.log(np.maximum(serial, 1e-300))
-    return np.exp(-half) * (1 + half + half * half / 2)
+    serial = _serial(sums(x), sums(x * x), sums(products), x[first] + x[last], n)
+    return _fisher(_uniformity(squares, n, size) + _turning(1 + sums(turns), sums(high), n) + serial)
+
+
+@lru_cache(maxsize=len(ENCODINGS) * len(CLASSES))
+def _tables(size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_uniformity`` by the sum of squares, and ``_turning`` by turns and symbols above, of windows of one length."""
+    turns, up = np.divmod(np.arange(length * (length + 1)), length + 1)
+    return _uniformity(np.arange(length * length + 1.0), length, size), _turning(turns + 1.0, up.astype(float), length)
+
+
+def windows(symbols: np.ndarray, size: int):
+    """A function (starts, length) -> ``battery`` of these windows of ``symbols``, which may overlap.
+
+    Sums over a window are differences of running sums, made once for all lengths.  A running sum has several of them
+    side by side, as none of a window exceeds its field: what one carries over goes from the difference again.
+    """
+    x = np.arange(64, dtype=np.int64)
+    above = x >= (size + 1) // 2
+    running = lambda y: np.concatenate(([0], np.cumsum(y)))
+    single = running((x * x << 32 | x << 16 | above)[symbols])
+    double = running(((x[:, None] * x) << 16 | (above[:, None] != above)).ravel()[symbols[:-1].astype(np.int16) << 6 | symbols[1:]])
+    cells = (np.arange(WINDOWS) * size)[:, None]
+
+    def measured(starts: np.ndarray, length: int) -> np.ndarray:
+        k, last = len(starts), starts + (length - 1)
+        own, pairs = single[last + 1] - single[starts], double[last] - double[starts]
+        counts = np.bincount((cells[:k] + sliding_window_view(symbols, length)[starts]).ravel(), minlength=k * size).reshape(-1, size)
+        uniform, turning = _tables(size, length)
+        ends = symbols[starts] + symbols[last].astype(np.int64)
+        serial = _serial((own >> 16 & 0xFFFF).astype(float), (own >> 32).astype(float), (pairs >> 16).astype(float), ends, length)
+        turned = turning[(pairs & 0xFFFF) * (length + 1) + (own & 0xFFFF)]
+        return _fisher(uniform[np.einsum("ij,ij->i", counts, counts)] + turned + serial)
+
+    return measured
 
 
 def codes(encoding: int, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Encoding, length class and score bin of each sequence as one number."""
-    p = battery(symbols, lengths, int(_SIZE[encoding]))
+    return _codes(encoding, battery(symbols, lengths, int(_SIZE[encoding])), lengths)
+
+
+def _codes(encoding: int, p: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     bins = np.minimum(-STEPS * np.log10(np.maximum(p, 1e-300)), BINS - 1).astype(np.int64)
     group = np.searchsorted(CLASSES, lengths, "right") - 1
     return (encoding * len(CLASSES) + group) * BINS + np.maximum(bins, 0)
@@ -158,13 +220,12 @@ def decoys_of(texts: list[str]) -> np.ndarray:
     symbol on; a last window ends with the text, so each symbol is in a window wherever the text is long enough.
     """
     plain = [RUN.sub(" ", text).encode("ascii", "ignore") for text in texts]
-    data, ends = np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0] + [len(x) for x in plain])
     found = [np.zeros(0, np.int64)]
-    for e in range(len(ENCODINGS)):
-        symbols = _SYMBOL[e][data]
-        fits = symbols >= 0
-        bounds = np.concatenate(([0], np.cumsum(fits)))[ends]
-        symbols, first, size = symbols[fits], bounds[:-1], np.diff(bounds)
+    for e, (table, others) in enumerate(_REDUCED):
+        reduced = [x.translate(table, others) for x in plain]
+        size = np.array([len(x) for x in reduced])
+        symbols, first = np.frombuffer(b"".join(reduced), np.int8), np.cumsum(size) - size
+        measured = windows(symbols, int(_SIZE[e]))
         for length in CLASSES:
             n = np.where(size >= length, -(-size // length), 0)
             if not n.any():
@@ -172,8 +233,7 @@ def decoys_of(texts: list[str]) -> np.ndarray:
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             starts = np.repeat(first, n) + np.minimum(place * length, np.repeat(size, n) - length)
             for k in range(0, len(starts), WINDOWS):
-                part = starts[k : k + WINDOWS]
-                found.append(codes(e, symbols[(part[:, None] + np.arange(length)).ravel()], np.full(len(part), length)))
+                found.append(_codes(e, measured(starts[k : k + WINDOWS], length), length))
     return np.concatenate(found)
 
 

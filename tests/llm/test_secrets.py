@@ -88,6 +88,19 @@ def test_every_symbol_of_text_is_in_a_window_of_every_encoding_and_class():
     assert groups.tolist() == want
 
 
+def test_windows_have_what_the_battery_says_of_each():
+    rng = np.random.default_rng(6)
+    for e, (_, letters) in enumerate(secrets.ENCODINGS):
+        size = len(letters)
+        # highest symbols, so many that the running sums wrap round, then random and constant ones
+        symbols = np.concatenate([np.full(600_000, size - 1), rng.integers(0, size, 3000), np.full(300, 2)]).astype(np.int8)
+        measured = secrets.windows(symbols, size)
+        for length in secrets.CLASSES:
+            starts = np.concatenate([np.arange(0, 400, 7), np.arange(599_000, len(symbols) - length + 1, 5), [len(symbols) - length]])
+            apart = symbols[(starts[:, None] + np.arange(length)).ravel()]
+            assert (measured(starts, length) == secrets.battery(apart, np.full(len(starts), length), size)).all()
+
+
 def test_tail_is_that_of_a_normal():
     z = np.linspace(-9, 30, 4001)
     want = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in z])
