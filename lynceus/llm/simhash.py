@@ -202,41 +202,72 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = S
     return docs.select(id_col, text_col).mapInArrow(run, schema.add("fp", T.ArrayType(T.LongType())))
 
 
-def collisions(distinct: DataFrame) -> DataFrame:
-    """(sig, node, n) of the buckets in which (node, n, fp) rows meet on a part's variant."""
-    masks = _longs(flips(range(32), PART_RADIUS))
+def parts_of(distinct: DataFrame) -> DataFrame:
+    """(part, node): the 32-bit parts of each (node, fp), with their places."""
 
-    def ball(k: int) -> Column:
+    def part(k: int) -> Column:
         word = F.col("fp")[k // 2]
-        part = (F.shiftrightunsigned(word, 32) if k % 2 else word).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.transform(masks, lambda m: part.bitwiseXOR(m) + F.lit(k << 32))
+        return (F.shiftrightunsigned(word, 32) if k % 2 else word).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(k << 32)
+
+    return distinct.select("node", F.explode(F.array(*map(part, range(PARTS)))).alias("part"))
+
 
+def collisions(distinct: DataFrame, parts: DataFrame) -> DataFrame:
+    """(sig, part) of the buckets in which different parts of (part, node) meet on a variant.
+
+    Texts that share a part are in its buckets together, so a part is there once, however many have it.  Two parts
+    meet on two variants, which differ from each other in the bits that the parts flip to get there, and count at the
+    one without the higher of these bits: a bucket keeps the parts up to the highest flip that takes a bit away.
+    """
+    masks = _longs(flips(range(32), PART_RADIUS))
+    ball = F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m)))
     bucket = Window.partitionBy("sig")
-    met = distinct.select("node", F.explode(F.concat(*map(ball, range(PARTS)))).alias("sig"))
-    ends = {"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}
-    met = met.withColumns({"k": F.count("*").over(bucket), **ends, "members": F.sum(F.xxhash64("node").cast("decimal(38,0)")).over(bucket)})
-    met = written(met.filter("k > 1"), "collisions")
-    # texts with a part in common meet on all its variants: of buckets with the same members one is enough
-    once = met.filter("node = low").groupBy("k", "low", "high", "members").agg(F.min("sig").alias("sig"))
-    met = written(met.join(once.select("sig"), "sig", "left_semi"), "collisions")
+    flip = F.col("part").bitwiseXOR(F.col("sig"))
+    own = parts.groupBy("part").agg(F.min("node").alias("node"), (F.min("node") == F.max("node")).alias("one"))
+    met = own.select("part", "node", "one", ball.alias("sig"))
+    met = met.withColumn("most", F.max(F.when(F.col("part") > F.col("sig"), flip)).over(bucket)).filter(flip <= F.col("most"))
+    met = met.withColumns({"k": F.count("*").over(bucket), "ones": F.min("one").over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
+    met = written(met.filter("k > 1").select("sig", "part", "low", "high", (F.col("ones") & (F.col("k") == 2)).alias("alone")), "collisions")
+    # two texts that meet alone do so once, and are told by the whole fingerprint
     side = lambda c: distinct.select(F.col("node").alias(c), F.col("fp").alias(c + "_fp"))
-    two = met.filter("k = 2 and node = low").select("low", "high").distinct()
+    two = met.filter("alone").groupBy("low", "high").agg(F.min("sig").alias("sig"))
     apart = F.aggregate(F.zip_with("low_fp", "high_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    two = two.join(side("low"), "low").join(side("high"), "high").filter(apart <= FAR)
-    pairs = two.select(F.xxhash64("low", "high").alias("sig"), F.explode(F.array("low", "high")).alias("node"))
-    rows = met.filter("k > 2").select("sig", "node").unionByName(pairs)
-    return rows.join(distinct.select("node", "n"), "node").select("sig", "node", "n")
+    near = two.join(side("low"), "low").join(side("high"), "high").filter(apart <= FAR)
+    return met.filter("not alone").select("sig", "part").unionByName(met.filter("alone").join(near, "sig", "left_semi").select("sig", "part"))
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """The (sig, node) rows with a node's ``weight``: how many its buckets have on average."""
+    rows = rows.withColumn("k", F.count("*").over(Window.partitionBy("sig")))
+    return written(rows.withColumn("weight", F.avg("k").over(Window.partitionBy("node"))).drop("k"), "buckets")
+
 
+def rooted(rows: DataFrame, tree: DataFrame, node: str = "node") -> DataFrame:
+    """The rows with the ``root`` of their node, which is the node itself where the tree has none."""
+    own = tree.select(F.col("node").alias(node), F.col("root").alias("now"))
+    return rows.join(own, node, "left").withColumn("root", F.coalesce("now", node)).drop("now")
 
-def verified(buckets: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+
+def apart(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets in which there is more than one root."""
+    bucket = Window.partitionBy("sig")
+    ends = {"_low": F.min("root").over(bucket), "_high": F.max("root").over(bucket)}
+    return rows.withColumns(ends).filter("_low < _high").drop("_low", "_high")
+
+
+def verified(buckets: DataFrame, whole: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """(a, b) links that join the nodes of (sig, node, n, weight) as all similar pairs in a bucket would.
 
+    Where buckets have ``root`` too, nodes of one root are joined by the ``known`` links, which are among the result.
+
     Buckets are not paired off: each is verified against its most central members first, one and then twice as
     many in each round, and only members that are still in different components meet again.  What is paired off
     at the end is at most ``PAIRS_A_ROW`` times the rows that are left.
     """
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
-    rows, found, hubs = buckets.withColumn("root", F.col("node")), None, 1
+    rows, found, hubs = buckets, known, 1
+    if "root" not in rows.columns:
+        rows = rows.withColumn("root", F.col("node"))
     while True:
         roots = rows.groupBy("sig", "root").agg(F.count("*").alias("k")).groupBy("sig")
         each = roots.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
@@ -278,13 +309,37 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = written(wide_fingerprints(docs, id_col, text_col, size), "fingerprints")
     firsts = prints.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"))
     firsts = written(firsts, "sets")
-    met = written(collisions(firsts), "buckets")
-    sizes = met.groupBy("sig").agg(F.count("*").alias("k"))
-    central = met.join(sizes, "sig").groupBy("node").agg(F.avg("k").alias("weight"))
-    buckets = written(met.join(central, "node"), "buckets")
-    some = written(central.join(firsts, "node").select("node", "least"), "suspects")
+    parts = written(parts_of(firsts), "parts")
+    met = written(collisions(firsts, parts), "collisions")
+    alike = Window.partitionBy("part")
+    shared = parts.withColumns({"low": F.min("node").over(alike), "high": F.max("node").over(alike)}).filter("low < high")
+    shared = written(shared.select(F.col("part").alias("sig"), "node"), "shared")
+    held = written(parts.join(met.select("part").distinct(), "part", "left_semi"), "parts")
+    some = held.select("node").unionByName(shared.select("node")).distinct()
+    some = written(some.join(firsts.select("node", "n", "least"), "node"), "suspects")
     rows = docs.select(id_col, text_col)
     rows = rows.join(some.select("least").distinct(), F.col(id_col).eqNullSafe(F.col("least")), "left_semi")
     whole = sets(rows, text_col, size).join(some.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    labels = named(firsts.select("node", "least"), components(verified(buckets, written(whole, "sets"), similarity)), "node")
+    whole, sized = written(whole, "sets"), some.select("node", "n")
+    found = met_links(shared.join(sized, "node"), held.join(sized, "node"), met, whole, similarity)
+    labels = named(firsts.select("node", "least"), components(found), "node")
     return prints.select(id_col, "node").join(labels, "node").select(id_col, "component_id")
+
+
+def met_links(shared: DataFrame, held: DataFrame, met: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links that join nodes as all similar pairs that share a part, or have parts that meet, would.
+
+    The texts of one part (``shared``: sig, node, n) come first; then in each bucket of parts (``met``: sig, part) one
+    text for each part and component; then all texts (``held``: part, node, n) of the buckets that are still apart.
+    """
+    buckets = weighed(shared)
+    found = written(verified(buckets, whole, similarity), "links")
+    weights = buckets.groupBy("node").agg(F.max("weight").alias("weight"))
+    own = rooted(held, components(found)).join(weights, "node", "left")
+    own = own.groupBy("part", "root").agg(F.max_by(F.struct("node", "n"), F.struct(F.coalesce("weight", F.lit(0.0)), "node")).alias("c"))
+    first = written(apart(met.join(own, "part")), "buckets")
+    found = written(verified(weighed(first.select("sig", "c.*", "root")), whole, similarity, found), "links")
+    tree = components(found)
+    left = apart(rooted(first.select("sig", F.col("root").alias("before")), tree, "before")).select("sig").distinct()
+    rows = met.join(written(left, "buckets"), "sig", "left_semi").join(rooted(held, tree), "part")
+    return verified(weighed(rows.select("sig", "node", "n", "root")), whole, similarity, found)

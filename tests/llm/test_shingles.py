@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from lynceus.llm import simhash
 
 from .test_operators import components, prose
@@ -60,3 +61,34 @@ def test_nothing_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "x")], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in simhash.similar_texts(docs).collect()]
     assert sorted(got, key=str) == sorted([(None, 4), (4, 4), (4, 4), (None, None)], key=str)
+
+
+def test_parts_meet_in_a_bucket_once_however_many_texts_have_them(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 32, simhash.PARTS, dtype=np.uint64)
+    fps = np.repeat(base[None], 400, axis=0)
+    for row in fps:  # near copies: some parts differ from the first text's in up to three bits
+        for k in rng.choice(simhash.PARTS, 6, replace=False):
+            row[k] ^= np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, int(rng.integers(1, 4)), dtype=np.uint64))
+    words = fps[:, 0::2] | fps[:, 1::2] << np.uint64(32)
+    rows = [(i, w.view(np.int64).tolist()) for i, w in enumerate(words)]
+    distinct = spark.createDataFrame(rows, "node long, fp array<long>")
+    parts = simhash.parts_of(distinct)
+    held = {(r.part, r.node) for r in parts.collect()}
+    assert held == {((k << 32) | int(x), i) for i, row in enumerate(fps) for k, x in enumerate(row)}
+    met = {}
+    for r in simhash.collisions(distinct, parts).collect():
+        met.setdefault(r.sig, []).append(r.part)
+    each, texts = sorted({p for p, _ in held}), {}
+    for p, i in held:
+        texts.setdefault(p, set()).add(i)
+    together = {(a, b) for x in met.values() for a in x for b in x if a < b}
+    close = {(a, b) for i, a in enumerate(each) for b in each[i + 1 :] if a >> 32 == b >> 32 and (a ^ b).bit_count() <= 2}
+    assert together <= close
+    # two texts that meet alone do so once; whatever else meets does so at every part
+    of = lambda pairs: {(min(i, j), max(i, j)) for a, b in pairs for i in texts[a] for j in texts[b]}
+    assert of(together) == of(close)
+    assert all(len(texts[a]) == len(texts[b]) == 1 for a, b in close - together)
+    # each part is in less than half of its 33 buckets, and is there once for all texts that have it
+    assert sum(map(len, met.values())) < 16 * len(each) and all(len(set(x)) == len(x) for x in met.values())
+    assert len(each) < len(held) / 2
