@@ -34,6 +34,8 @@ from .words import mix
 SHINGLE, SEED, RADIUS = 4, 42, 2
 #: A text's wide fingerprint: so many words of 64 bits, as twice as many parts; the parts' balls have radius 1.
 WIDE, PARTS, PART_RADIUS = 8, 16, 1
+#: Bits that tell which of a part's bits a variant flips, or none.
+FLIP_BITS = 6
 #: Bits of the wide fingerprint in which colliding texts may differ.  At a similarity of 0.8 it is 78 with a
 #: deviation of 8, for unlike texts 256 with one of 11, so no more than chance collisions are turned away.
 FAR = 160
@@ -212,22 +214,34 @@ def parts_of(distinct: DataFrame) -> DataFrame:
     return distinct.select("node", F.explode(F.array(*map(part, range(PARTS)))).alias("part"))
 
 
+def company(parts: DataFrame) -> DataFrame:
+    """(sig, part) of the buckets in which different ones of the distinct parts meet on a variant.
+
+    Two parts meet on two variants, which differ from each other in the bits that the parts flip to get there, and count
+    at the one without the higher of these bits: a bucket keeps the parts up to the highest flip that takes a bit away.
+    These rows are most of what near-dedup shuffles: each is one number, the variant and the place of its flip.
+    """
+    masks = _longs([m << FLIP_BITS | k for k, m in enumerate(flips(range(32), PART_RADIUS))])
+    ball = F.explode(F.transform(masks, lambda m: F.shiftleft("part", FLIP_BITS).bitwiseXOR(m)))
+    sig, flip = F.shiftright("v", FLIP_BITS), F.col("v").bitwiseAND(F.lit((1 << FLIP_BITS) - 1)).cast("int")
+    dealt = parts.select(ball.alias("v")).repartition(sig).select(sig.alias("sig"), flip.alias("flip"))
+    bit = F.when(F.col("flip") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("flip") - 1)).otherwise(F.lit(0).cast("long"))
+    taken, bucket = (F.col("flip") > 0) & (F.col("sig").bitwiseAND(bit) == 0), Window.partitionBy("sig")
+    met = dealt.withColumn("most", F.max(F.when(taken, F.col("flip"))).over(bucket)).filter("flip <= most")
+    met = met.withColumn("k", F.count("*").over(bucket)).filter("k > 1")
+    return met.select("sig", F.col("sig").bitwiseXOR(bit).alias("part"))
+
+
 def collisions(distinct: DataFrame, parts: DataFrame) -> DataFrame:
     """(sig, part) of the buckets in which different parts of (part, node) meet on a variant.
 
-    Texts that share a part are in its buckets together, so a part is there once, however many have it.  Two parts
-    meet on two variants, which differ from each other in the bits that the parts flip to get there, and count at the
-    one without the higher of these bits: a bucket keeps the parts up to the highest flip that takes a bit away.
+    Texts that share a part are in its buckets together, so a part is there once, however many have it.
     """
-    masks = _longs(flips(range(32), PART_RADIUS))
-    ball = F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m)))
-    bucket = Window.partitionBy("sig")
-    flip = F.col("part").bitwiseXOR(F.col("sig"))
     own = parts.groupBy("part").agg(F.min("node").alias("node"), (F.min("node") == F.max("node")).alias("one"))
-    met = own.select("part", "node", "one", ball.alias("sig"))
-    met = met.withColumn("most", F.max(F.when(F.col("part") > F.col("sig"), flip)).over(bucket)).filter(flip <= F.col("most"))
+    own, bucket = written(own, "parts"), Window.partitionBy("sig")
+    met = company(own).join(own, "part")
     met = met.withColumns({"k": F.count("*").over(bucket), "ones": F.min("one").over(bucket), "low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-    met = written(met.filter("k > 1").select("sig", "part", "low", "high", (F.col("ones") & (F.col("k") == 2)).alias("alone")), "collisions")
+    met = written(met.select("sig", "part", "low", "high", (F.col("ones") & (F.col("k") == 2)).alias("alone")), "collisions")
     # two texts that meet alone do so once, and are told by the whole fingerprint
     side = lambda c: distinct.select(F.col("node").alias(c), F.col("fp").alias(c + "_fp"))
     two = met.filter("alone").groupBy("low", "high").agg(F.min("sig").alias("sig"))

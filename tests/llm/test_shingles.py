@@ -1,6 +1,7 @@
 """Texts alike by SimHash and shingle sets against brute-force Jaccard of five-word shingles, with edited copies."""
 
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -92,3 +93,22 @@ def test_parts_meet_in_a_bucket_once_however_many_texts_have_them(spark):
     # each part is in less than half of its 33 buckets, and is there once for all texts that have it
     assert sum(map(len, met.values())) < 16 * len(each) and all(len(set(x)) == len(x) for x in met.values())
     assert len(each) < len(held) / 2
+
+
+def test_rows_of_buckets_are_shuffled_as_one_number(spark):
+    """A row for each part and variant is most of what near-dedup shuffles: beside the variant it has the place of a bit."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 32, 60)
+    near = [int(x) ^ (1 << int(a)) ^ (1 << int(b)) for x in base for a, b in rng.integers(0, 32, (4, 2))]
+    parts = sorted({int(x) + (k << 32) for k in (0, 15) for x in [*base.tolist(), *near]})
+    rows = simhash.company(spark.createDataFrame([(x,) for x in parts], "part long"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    dealt = re.search(r"RepartitionByExpression.*\n.*?Project \[([^\]]*)\]|RepartitionByExpression.*\n.*Generate .*\[(v#\d+L)\]", plan)
+    assert dealt and "," not in (dealt[1] or dealt[2]), plan
+    buckets = {}
+    for sig, part in rows.collect():
+        assert (sig ^ part).bit_count() <= 1
+        buckets.setdefault(sig, set()).add(part)
+    met = [frozenset((a, b)) for x in buckets.values() for a in x for b in x if a < b]
+    near = {frozenset((a, b)) for a in parts for b in parts if a < b and (a ^ b) >> 32 == 0 and (a ^ b).bit_count() <= 2}
+    assert near and set(met) == near
