@@ -10,33 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions import narrative as N
+from lynceus.functions import vocab as V
 
 NO_CATEGORY = "(no-category)"
 SECTION = ("header", "body", "start", "kind", "parser", "context")
 
 
+HEADED = "array<struct<header:string,body:string,start:int,kind:string>>"
+
+
 def cut(records: DataFrame) -> DataFrame:
-    """uid, category, has_narrative and the array ``sections`` of headed sections with parser and context.
+    """uid, category, has_narrative and the array ``sections`` of headed sections.
 
     A null or blank category is ``(no-category)``; a null or blank narrative has no sections.
     """
     blank = F.regexp_replace(F.coalesce("category", F.lit("")), N.BLANK, "") == ""
     full = F.coalesce(F.col("narrative").rlike(r"\S"), F.lit(False))
-    rows = records.select(
+    headed = F.filter(F.when(full, N.sections(F.col("narrative"))), lambda s: s["header"].isNotNull())
+    return records.select(
         "uid",
         F.when(blank, NO_CATEGORY).otherwise(F.col("category")).alias("category"),
         full.alias("has_narrative"),
-        F.when(full, N.sections(F.col("narrative"))).alias("all"),
+        F.coalesce(headed, F.array().cast(HEADED)).alias("sections"),
     )
-    headed = F.transform(
-        F.filter("all", lambda s: s["header"].isNotNull()),
-        lambda s: F.struct(
-            s["header"], s["body"], s["start"], s["kind"],
-            N.parser_of(s["header"]).alias("parser"), N.canonical_source(s["header"]).alias("context"),
-        ),
-    )
-    empty = F.array().cast("array<struct<header:string,body:string,start:int,kind:string,parser:string,context:string>>")
-    return rows.select("uid", "category", "has_narrative", F.coalesce(headed, empty).alias("sections"))
 
 
 def sections(records: DataFrame) -> DataFrame:
@@ -46,8 +42,16 @@ def sections(records: DataFrame) -> DataFrame:
 
 
 def _of(records: DataFrame, *kinds: str) -> DataFrame:
+    """Rows of sections with parser and context, which are columns of rows: only sections of these kinds have theirs made, where used."""
     rows = cut(records).select("uid", "category", F.inline("sections"))
-    return rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
+    rows = rows.filter(F.col("kind").isin(*kinds)) if kinds else rows
+    return rows.withColumns({"parser": N.parser_of(F.col("header")), "context": N.canonical_source(F.col("header"))})
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    """The rows with the ``dated`` texts of sanctions sections, and where in the body each ``starts``."""
+    rows = rows.withColumn("dated", F.when(F.col("kind") == "SANCTIONS", N.dated(F.col("body"))))
+    return rows.withColumn("starts", N.starts(F.split("body", V.DATE_ACTION, -1), F.col("dated")))
 
 
 def _table(rows: DataFrame, facts: Column) -> DataFrame:
@@ -63,7 +67,12 @@ def _section() -> dict[str, Column]:
 
 def events(records: DataFrame) -> DataFrame:
     """(uid, category, list_source, action_type, raw_verb, year, provenance)"""
-    return _table(_of(records, "SANCTIONS"), N.events(_section()))
+    rows = _dated(_of(records, "SANCTIONS"))
+    rows = rows.select("uid", "category", "context", "parser", "start", "starts", F.inline(N.usable(F.col("dated"))))
+    rows = rows.withColumns({"act": N.action(F.col("v")), "year": N.year(F.col("text")), "_from": F.col("start") + F.get("starts", F.col("n"))})
+    rule = F.concat_ws(".", F.col("parser"), N.action_rule(F.col("act")))
+    place = F.concat(rule, F.lit("@"), F.col("_from").cast("string"), F.lit(":"), (F.col("_from") + F.length("text")).cast("string"))
+    return rows.select("uid", "category", F.col("context").alias("list_source"), F.col("act.type").alias("action_type"), F.col("v").alias("raw_verb"), "year", place.alias("provenance"))
 
 
 def ownership(records: DataFrame) -> DataFrame:
@@ -102,13 +111,16 @@ def quarantine(records: DataFrame) -> DataFrame:
     s = _section()
     reach = s["start"] + F.least(F.length(s["body"]), F.lit(200))
     unknown = F.array(N.quarantined(s["header"], F.lit("UNCLASSIFIED_SECTION"), F.left(s["body"], F.lit(200)), F.lit("SECTION.UNKNOWN"), s["start"], reach))
-    verbs = F.transform(
-        F.filter(N.events(s), lambda e: e["action_type"] == "UNCLASSIFIED"),
-        lambda e: N.quarantined(s["header"], F.lit("UNCLASSIFIED_ACTION_VERB"), e["raw_verb"], e["rule"], e["start"], e["end"]),
-    )
+    unread = F.filter(N.usable(F.col("dated")), lambda m: N.action(m["v"])["type"] == "UNCLASSIFIED")
+
+    def of_verb(m: Column) -> Column:
+        start = s["start"] + F.get("starts", m["n"])
+        return N.quarantined(s["header"], F.lit("UNCLASSIFIED_ACTION_VERB"), m["v"], F.concat_ws(".", s["parser"], F.lit("ACTION.UNCLASSIFIED")), start, start + F.length(m["text"]))
+
+    verbs = F.transform(unread, of_verb)
     stakes = F.when(s["body"].rlike(r"\S"), N.stakes(s)["quarantine"])
     found = F.when(s["kind"] == "SANCTIONS", verbs).when(s["kind"] == "OWNERSHIP", stakes).otherwise(unknown)
-    return _table(_of(records, "SANCTIONS", "OWNERSHIP", "UNKNOWN"), found)
+    return _table(_dated(_of(records, "SANCTIONS", "OWNERSHIP", "UNKNOWN")), found)
 
 
 def statuses(records: DataFrame) -> DataFrame:
@@ -116,14 +128,15 @@ def statuses(records: DataFrame) -> DataFrame:
 
     per_source is an array of (list_source, last_add, last_removal, unclassified, authorised, state).
     """
-    listed = F.filter("sections", lambda s: (s["kind"] == "SANCTIONS") & N.is_list_source(s["header"]))
-    evs = F.flatten(F.transform(F.filter("sections", lambda s: s["kind"] == "SANCTIONS"), N.events))
+    sanctions = F.filter("sections", lambda s: s["kind"] == "SANCTIONS")
+    listed = F.filter(sanctions, lambda s: N.is_list_source(s["header"]))
+    evs = F.flatten(F.transform(sanctions, lambda s: N.let(N.canonical_source(s["header"]), lambda source: N.happened(s["body"], source))))
     rows = cut(records).select(
         "uid",
         "category",
         "has_narrative",
         evs.alias("events"),
-        F.array_distinct(F.transform(listed, lambda s: s["context"])).alias("list_sources"),
+        F.array_distinct(F.transform(listed, lambda s: N.canonical_source(s["header"]))).alias("list_sources"),
         F.size("sections").alias("sections_seen"),
         F.size(F.filter("sections", lambda s: ~s["kind"].isin("PROSE", "UNKNOWN"))).alias("sections_parsed"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lynceus.functions import narrative as N
 from lynceus.functions import vocab as V
 from lynceus.operators import facts as FX
 
@@ -41,7 +42,7 @@ def parser_coverage(records: DataFrame) -> DataFrame:
     """Sections handled by each parser, those without any included, and their share in percent."""
     every = records.sparkSession.createDataFrame([(p, 0) for p in PARSERS], "parser_id string, n long")
     rows = FX.cut(records).select(F.inline("sections")).filter("kind = 'SANCTIONS'")
-    found = rows.groupBy(F.col("parser").alias("parser_id")).agg(F.count("*").alias("n"))
+    found = rows.groupBy(N.parser_of(F.col("header")).alias("parser_id")).agg(F.count("*").alias("n"))
     out = every.unionByName(found).groupBy("parser_id").agg(F.sum("n").alias("sections_handled"))
     total = F.sum("sections_handled").over(Window.partitionBy())  # over one row for each parser
     share = F.coalesce(F.try_divide(100.0 * F.col("sections_handled"), total), F.lit(0.0))
