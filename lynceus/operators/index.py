@@ -22,7 +22,7 @@ from lynceus.operators import scoring as SC
 from lynceus.operators.shared import settled, shared_folder
 
 #: Columns of a class that the index keeps beside its bearers.
-COMPARED = ("words", "trigrams", "sounds")
+COMPARED = ("words", "trigrams", "sounds", "codes", "turned")
 
 
 class Index(NamedTuple):
@@ -86,7 +86,7 @@ def probed(index: Index, asked: DataFrame, listed: dict[str, str] | None = None)
     ``listed`` names the columns of ``asked`` that pairs carry, as in ``blocking.candidates``.
     """
     keys = settled(B.postings(asked, index.counts, *(listed or ())), "keys")
-    return B.strategies(B.met(live(index).keys.drop("version"), keys), None, listed)
+    return B.strategies(B.met(live(index).keys.drop("version"), keys, as_placed=True), None, listed)
 
 
 def rescreened(index: Index, delta: DataFrame, id_col: str, name_col: str, config: dict = SC.CONFIG) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lynceus.functions import names as NM
+from lynceus.operators.shared import once
 
 FEATURES = ("jaro_winkler", "jaccard", "phonetic", "edit", "ngram")
 #: A configuration version: weights by entity type, thresholds and effects.
@@ -35,17 +36,27 @@ CONFIG = {
 }
 
 
+#: What is compared of a class, as ``blocking.keyed`` makes it; pairs may carry it with l_ and r_ before the name.
+COMPARED = ("words", "codes", "trigrams", "turned")
+
+
 def features(pairs: DataFrame) -> DataFrame:
-    """Pairs (l, r) of normalised names with the five features, rounded to 6 digits."""
-    words = lambda c: F.array_distinct(NM.tokens(F.col(c)))
+    """Pairs (l, r) of normalised names with the five features, rounded to 6 digits.
+
+    What pairs carry of their classes (``COMPARED``) is taken from there, and left out of the result.
+    """
+    own = {"words": lambda c: F.array_distinct(NM.tokens(c)), "codes": NM.phonetic, "trigrams": NM.trigrams, "turned": NM.sorted_tokens}
+    carried = {f"{side}_{c}" for side in "lr" for c in COMPARED} & set(pairs.columns)
+    both = lambda c: [F.col(f"{side}_{c}") if {f"l_{c}", f"r_{c}"} <= carried else own[c](F.col(side)) for side in "lr"]
     value = {
-        "jaro_winkler": NM.jaro_winkler(NM.sorted_tokens(F.col("l")), NM.sorted_tokens(F.col("r"))),
-        "jaccard": NM.jaccard(words("l"), words("r")),
-        "phonetic": NM.jaccard(NM.phonetic(F.col("l")), NM.phonetic(F.col("r"))),
+        "jaccard": NM.set_jaccard(*both("words")),
+        "phonetic": NM.set_jaccard(*both("codes")),
         "edit": NM.edit_ratio(F.col("l"), F.col("r")),
-        "ngram": NM.dice(NM.trigrams(F.col("l")), NM.trigrams(F.col("r"))),
+        "ngram": NM.dice(*both("trigrams")),
     }
-    return pairs.withColumns({k: F.round(v, 6) for k, v in value.items()})
+    rows = pairs.withColumns({k: F.round(v, 6) for k, v in value.items()})
+    # it takes one of the others, so that all these are made below it, once, whatever filters on the score do
+    return rows.withColumn("jaro_winkler", F.round(NM.jaro_winkler_of(*both("turned"), F.col("edit")), 6)).drop(*carried)
 
 
 def weights(kind: Column, config: dict = CONFIG) -> Column:
@@ -55,14 +66,22 @@ def weights(kind: Column, config: dict = CONFIG) -> Column:
 
 
 def name_score(values: Column, w: Column) -> Column:
-    """Sum of weight by feature over the sum of weights, from 0 to 1, to 6 digits.
-
-    Features have 6 digits and weights at most 4, so the sums are decimal and exact: a tie rounds up wherever it is computed.
-    """
+    """Sum of weight by feature over the sum of weights, from 0 to 1, to 6 digits."""
     places = range(len(FEATURES))
-    weight = [w[k].cast("decimal(5,4)") for k in places]
-    total = reduce(add, [values[k].cast("decimal(7,6)") * weight[k] for k in places])
-    return F.round(total / reduce(add, weight), 6).cast("double")
+    return _weighed([values[k] for k in places], [F.rint(w[k] * 10_000) for k in places])
+
+
+def _weighed(values: list[Column], weight: list[Column]) -> Column:
+    """Features have 6 digits and weights at most 4: sums of whole numbers are exact, and a tie rounds up wherever it is computed."""
+    total = reduce(add, [F.rint(v * 1_000_000) * w for v, w in zip(values, weight)])
+    whole = reduce(add, weight)
+    return F.floor(total / whole + 0.5) / 1_000_000
+
+
+def _of_kind(kind: Column, config: dict) -> Column:
+    """The name score by the weights of an entity type, as ``weights`` has them."""
+    own = {name: _weighed([F.col(f) for f in FEATURES], [F.lit(round(x * 10_000.0)) for x in w]) for name, w in config["weights"].items()}
+    return F.when(kind == "INDIVIDUAL", own["INDIVIDUAL"]).otherwise(own["ORGANISATION"])
 
 
 def dob_effect(asked: Column, listed: Column, config: dict = CONFIG) -> Column:
@@ -108,9 +127,9 @@ def validated(config: dict, slots: set[str]) -> dict:
     return config
 
 
-def composite(name: Column, effects: Column, identifier_match: Column, config: dict = CONFIG) -> Column:
-    """The clamped sum; an exact identifier lifts it to the strong threshold at least."""
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), name * 100 + F.aggregate(effects, F.lit(0.0), lambda a, e: a + e["effect"])))
+def composite(name: Column, effect: Column, identifier_match: Column, config: dict = CONFIG) -> Column:
+    """The clamped sum of the name's score and all effects; an exact identifier lifts it to the strong threshold at least."""
+    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), name * 100 + effect))
     return F.when(identifier_match, F.greatest(total, F.lit(config["strong"]))).otherwise(total)
 
 
@@ -140,8 +159,8 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
     }
     structs = F.array(*[F.struct(F.lit(k).alias("reason"), v.alias("effect")) for k, v in effects.items()])
     rows = pairs.withColumns({"_w": weights(F.col("entity_type"), config), "_v": F.array(*FEATURES), "_e": structs})
-    rows = rows.withColumn("name_score", name_score(F.col("_v"), F.col("_w")))
-    rows = rows.withColumn("score", F.round(composite(F.col("name_score"), F.col("_e"), yes("identifier_match"), config), 4))
+    rows = rows.withColumn("name_score", once(_of_kind(F.col("entity_type"), config)))
+    rows = rows.withColumn("score", F.round(composite(F.col("name_score"), reduce(add, effects.values(), F.lit(0.0)), yes("identifier_match"), config), 4))
     explanation = F.struct(
         F.lit(config["version"]).alias("config_version"),
         F.array(*map(F.lit, FEATURES)).alias("features"),
@@ -157,7 +176,8 @@ def scored(pairs: DataFrame, config: dict = CONFIG) -> DataFrame:
 def recomputed(explanation: Column, config: dict = CONFIG) -> Column:
     """The score again, from its explanation alone."""
     name = name_score(explanation["values"], explanation["weights"])
-    return F.round(composite(name, explanation["effects"], explanation["identifier_match"], config), 4)
+    effect = F.aggregate(explanation["effects"], F.lit(0.0), lambda a, e: a + e["effect"])
+    return F.round(composite(name, effect, explanation["identifier_match"], config), 4)
 
 
 def ranked(rows: DataFrame, subject: str, most: int | None = None) -> DataFrame:

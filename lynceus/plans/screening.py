@@ -101,7 +101,7 @@ def identified_classes(subjects: DataFrame, listed: DataFrame, subject_ids: Data
 
 def screen_classes(left: DataFrame, right: DataFrame, identified: DataFrame | None, config: dict = SC.CONFIG) -> DataFrame:
     """As screen(), of whole classes; pairs (l, r) of ``identified`` are candidates too, and strong ones."""
-    pairs = B.candidates(left, right, identified, BEARERS | {"entity_type": "entity_type"}, LISTED_BEARERS)
+    pairs = B.candidates(left, right, identified, *B.compared(BEARERS | {"entity_type": "entity_type"}, LISTED_BEARERS))
     if identified is not None:
         pairs = pairs.withColumn("identifier_match", F.array_contains("strategies", "identifier"))
     rows = SC.scored(SC.features(pairs), config)
@@ -137,7 +137,8 @@ def accounted(left: DataFrame, right: DataFrame, failing: dict, most: int | None
     A class for which a strategy failed is an ERROR, with its candidates; others are as if nothing had failed.  The
     explanation also has the strategies with their outcomes, the sources consulted and the capability gaps.
     """
-    pairs, account = B.accounted(left, right, failing, most, asked={"rep": "subject", "entity_type": "entity_type"}, listed={"rep": "entity"})
+    asked, listed = B.compared({"rep": "subject", "entity_type": "entity_type"}, {"rep": "entity"})
+    pairs, account = B.accounted(left, right, failing, most, asked=asked, listed=listed)
     account = settled(account, "accounts")
     scored = SC.scored(SC.features(pairs), config)
     rows = SC.ranked(scored.join(account.select("l", F.col("by_strategy").alias("_by"), "gaps"), "l"), "l")

@@ -1,11 +1,16 @@
 """Pairs are compared where they meet: what goes on is no more than what holds."""
 
+import random
+
 import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lynceus.functions import names as NM
 from lynceus.operators import blocking as B
 from lynceus.operators import scoring as SC
+from lynceus.operators import trigrams
 from lynceus.queries import sql_norm, sql_phonetic
 
 
@@ -60,3 +65,48 @@ def test_words_with_digits_sound_as_their_sql_says(spark):
     assert said[0] != said[1] == said[2]
     met = {(r.l, r.r) for r in B.by_phonetic(classes, classes).collect()}
     assert ("mail8", "mail9") in met and ("mail3", "mail8") not in met
+
+
+def _names(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    words = ["the", "of", "kor", "vum", "zel", "dat", "lom", "wug", "pix", "thanea", "ondrest", "esndha", "a"]
+    longer = [" ".join(rng.choice(words) + str(rng.randrange(9)) for _ in range(k)) for k in (5, 6, 9, 10, 12, 17)]
+    return [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 2, 3, 3, 3, 4)))) for _ in range(n)] + longer + [x + " kor" for x in longer] + [x.rsplit(" ", 3)[0] for x in longer]
+
+
+@pytest.mark.parametrize("block", [trigrams.BLOCK, 7])
+def test_strategies_find_all_pairs_of_short_and_long_names(spark, monkeypatch, block):
+    monkeypatch.setattr(trigrams, "BLOCK", block)  # 7: common trigrams have a cell for every two blocks
+    left, right = (B.keyed(B.name_classes(spark.createDataFrame(list(enumerate(_names(k, 60))), "id long, name string"), "id", "name")) for k in (1, 2))
+    grams = lambda x: {f"  {x} "[i : i + 3] for i in range(len(x) + 1)}
+    x, y = ([r.name for r in side.select("name").collect()] for side in (left, right))
+    token = {(a, b) for a in x for b in y if len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.5}
+    trigram = {(a, b) for a in x for b in y if 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b))) >= 0.7}
+    for found, want in ((B.by_token(left, right), token), (B.by_trigram(left, right), trigram)):
+        rows = [(r.l, r.r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    rows = [(r.l, r.r, s) for r in B.candidates(left, right).collect() for s in r.strategies if s in ("token", "trigram")]
+    assert len(rows) == len(set(rows)) and set(rows) == {(*p, "token") for p in token} | {(*p, "trigram") for p in trigram}
+
+
+def test_names_of_three_words_meet_on_two_of_them(spark):
+    # fifty names with one word in common and no other: none of them is brought to another
+    rows = [(k, f"the {a}{b}x {b}{a}y") for k, (a, b) in enumerate((a, b) for a in "kvzpm" for b in ("dat", "lom", "wug", "pix", "eor", "anu", "sil", "bek", "tor", "fen"))]
+    classes = B.keyed(B.name_classes(spark.createDataFrame(rows, "id long, name string"), "id", "name"))
+    keys = B.postings(classes, B.item_counts(classes)).filter("type = 'token'")
+    assert keys.groupBy("key").count().filter("count > 1").count() == 0
+
+
+def test_many_names_are_compared_as_one_is():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcde é") for _ in range(rng.choice((1, 2, 5, 13, 17, 33, 63, 64)))) for _ in range(2000)]
+    b = [x[: 1 + rng.randrange(len(x))] + rng.choice("abé") if rng.random() < 0.5 and len(x) < 60 else rng.choice(a) for x in a]
+    assert list(NM._jaro_winklers(a, b)) == [NM._jaro_winkler(x, y) for x, y in zip(a, b)]
+    a, b = a + ["", "x" * 90, "ab" * 40, "z"], b + ["a", "x" * 90, "ba" * 40, ""]
+    assert list(NM._compared(pd.Series(a), pd.Series(b))) == [NM._jaro_winkler(x, y) for x, y in zip(a, b)]
+
+
+def test_a_filter_on_the_score_makes_no_feature_again(spark):
+    pairs = spark.createDataFrame([("ann lee", "ann leo", "INDIVIDUAL"), ("ann lee", "bob poe", "INDIVIDUAL")], "l string, r string, entity_type string")
+    found = SC.alerts(SC.scored(SC.features(pairs))).select("l", "r", "score")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein") == 1
