@@ -1,7 +1,7 @@
 """A persisted index of name keys, kept up to date by deltas, that screening joins against.
 
 Three tables: ``keys`` has the postings of every name class (``blocking.postings``), bucketed by key, so that a
-join on keys moves only what is asked; ``classes`` has what pairs are compared by and their bearers, bucketed by
+join on keys moves only what is asked (trigrams apart, which meet in cells of their own); ``classes`` has what pairs are compared by and their bearers, bucketed by
 name; ``counts`` orders items from rare to common.  The order stays as it was when the index was built: any order
 gives the same pairs, as long as both sides use it, and an item that came later counts as the rarest.
 
@@ -96,8 +96,9 @@ def rescreened(index: Index, delta: DataFrame, id_col: str, name_col: str, confi
     over the whole list has of these records' names; no name of an unchanged record is read.
     """
     asked = settled(B.keyed(B.name_classes(delta, id_col, name_col)), "classes")
-    people = live(index).classes.select(F.col("name").alias("l"), F.col("rep").alias("subject"), F.col("n").alias("n_subjects"), "entity_type")
-    pairs = probed(index, asked, {"rep": "entity", "n": "n_entities"}).join(people, "l")
+    own, listed = B.compared({"rep": "subject", "n": "n_subjects", "entity_type": "entity_type"}, {"rep": "entity", "n": "n_entities"})
+    people = live(index).classes.select(F.col("name").alias("l"), *[F.col(c).alias(as_) for c, as_ in own.items()])
+    pairs = probed(index, asked, listed).join(people, "l")
     return SC.scored(SC.features(pairs), config).withColumn("config_version", F.lit(config["version"]))
 
 
